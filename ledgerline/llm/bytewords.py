@@ -51,24 +51,8 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of the batch: its row, first byte, end byte and hash."""
-    row = np.zeros(0, np.int64)
-    if not len(data):
-        return row, row, row, np.zeros(0, np.uint64)
-    inside = ~_BLANK[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    cuts = offsets[1:-1]
-    cuts = cuts[cuts < len(data)]
-    first[cuts] |= inside[cuts]
-    start = np.flatnonzero(first)
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    if len(cuts):
-        before = cuts[cuts > 0] - 1
-        last[before] |= inside[before]
-    end = np.flatnonzero(last) + 1
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in order and do not overlap."""
     up, down = _grow(1 << 16)
     hashes = np.empty(len(start), np.uint64)
     # Pieces of bounded length: prefix sums wrap, powers stay in one table.
@@ -88,8 +72,29 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
         s, e = start[lo:hi] - base, end[lo:hi] - base
         hashes[lo:hi] = (total[e] - total[s]) * down[s]
         lo = hi
+    return mix(hashes)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of the batch: its row, first byte, end byte and hash."""
+    row = np.zeros(0, np.int64)
+    if not len(data):
+        return row, row, row, np.zeros(0, np.uint64)
+    inside = ~_BLANK[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    cuts = offsets[1:-1]
+    cuts = cuts[cuts < len(data)]
+    first[cuts] |= inside[cuts]
+    start = np.flatnonzero(first)
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    if len(cuts):
+        before = cuts[cuts > 0] - 1
+        last[before] |= inside[before]
+    end = np.flatnonzero(last) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
-    return row, start, end, mix(hashes)
+    return row, start, end, hash_spans(data, start, end, lower)
 
 
 def _long_word(part: np.ndarray, lower: bool) -> np.uint64:
