@@ -75,12 +75,27 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
     return mix(hashes)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def folded(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII and Latin-1 capitals made small."""
+    low = _LOWER[data]
+    if len(data) > 1:
+        capital = np.zeros(len(data), bool)
+        capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        low[capital] += 0x20
+    return low
+
+
+#: Bytes that are no part of a token of letters and digits; bytes of longer characters are part of it.
+NO_TOKEN = np.ones(256, dtype=bool)
+NO_TOKEN[48:58] = NO_TOKEN[65:91] = NO_TOKEN[97:123] = NO_TOKEN[128:] = False
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each word of the batch: its row, first byte, end byte and hash."""
     row = np.zeros(0, np.int64)
     if not len(data):
         return row, row, row, np.zeros(0, np.uint64)
-    inside = ~_BLANK[data]
+    inside = ~blank[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = offsets[1:-1]

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii_spans, quality_ledger, secret_spans, url_lists
+from . import kneser_ney, packing, pii_spans, quality_ledger, secret_spans, spaced_seeds, url_lists
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_kneser_ney": kneser_ney.op2_kneser_ney,
         "op3_quality_ledger": quality_ledger.op3_quality_ledger,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_spaced_seeds": spaced_seeds.op5_spaced_seeds,
         "op6_secret_spans": secret_spans.op6_secret_spans,
         "op7_url_lists": url_lists.op7_url_lists,
         "op10_pii_spans": pii_spans.op10_pii_spans,
