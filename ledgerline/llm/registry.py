@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, packing, pii_spans, quality_ledger, secret_spans, spaced_seeds, url_lists
+from . import kneser_ney, packing, page_diff, pii_spans, quality_ledger, secret_spans, spaced_seeds, url_lists
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_page_diff": page_diff.op1_page_diff,
         "op2_kneser_ney": kneser_ney.op2_kneser_ney,
         "op3_quality_ledger": quality_ledger.op3_quality_ledger,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
