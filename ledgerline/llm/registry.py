@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, packing, page_diff, pii_spans, quality_ledger, secret_spans, spaced_seeds, suffix_dedup, url_lists
+from . import kneser_ney, packing, page_diff, pii_spans, quality_ledger, secret_spans, set_join, spaced_seeds, suffix_dedup, url_lists
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,10 +18,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_spaced_seeds": spaced_seeds.op5_spaced_seeds,
         "op6_secret_spans": secret_spans.op6_secret_spans,
         "op7_url_lists": url_lists.op7_url_lists,
+        "op8_set_join": set_join.op8_set_join,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_pii_spans": pii_spans.op10_pii_spans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_ledger": quality_ledger.ORACLE, "op7_url_lists": url_lists.ORACLE}
+    return {"op3_quality_ledger": quality_ledger.ORACLE, "op7_url_lists": url_lists.ORACLE, "op8_set_join": set_join.ORACLE}
