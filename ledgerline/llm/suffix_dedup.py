@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .exchange import dealt, grouped, slices
 from .shared import materialise
 
 WIDTH = 200
@@ -82,26 +83,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int =
         yield row[start], start + lo - offsets[row[start]], count, grams[anchor[start]], context
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the keys, and where each distinct one starts and ends in it."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    return order, first, np.append(first[1:], len(keys))[: len(first)]
-
-
-def _dealt(to: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order, first, end = _grouped(to)
-    for a, b in zip(first, end, strict=True):
-        yield int(to[order[a]]), records[order[a:b]].tobytes()
-
-
 def _send_runs(groups: int, targets: int, width: int, gram: int):
     """Runs of the documents, dealt by anchor; repeats within the task's batch go straight to their document's target."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1, 16 << 20):
+            for part in slices(batch, 1, 16 << 20):
                 data, offsets = bw.raw_bytes(part.column(1))
                 keys = part.column(0).to_numpy()
                 found = [np.concatenate(x) for x in zip(*runs(data, offsets, width, gram), strict=True)]
@@ -117,27 +104,17 @@ def _send_runs(groups: int, targets: int, width: int, gram: int):
                 many = np.diff(np.append(spot, len(order))) > 1
                 record["n"][order[spot[many]]] |= TWICE
                 again = order[~first]
-                rows = [(g, x) for g, x in _dealt(((anchor[order[spot]] >> np.uint64(32)) % np.uint64(groups)).astype(np.int64), record[order[spot]])]
+                rows = [(g, x) for g, x in dealt(((anchor[order[spot]] >> np.uint64(32)) % np.uint64(groups)).astype(np.int64), record[order[spot]])]
                 reply = np.zeros(len(again), REPLY)
                 for field in ("key", "start", "n"):
                     reply[field] = record[field][again]
                 reply["what"] = REPEATED
-                rows += [(-1 - t, x) for t, x in _dealt(reply["key"] % targets, reply)]
+                rows += [(-1 - t, x) for t, x in dealt(reply["key"] % targets, reply)]
                 yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["grp", "data"])
 
     return send
 
 
-def _slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes in the column; one row at least."""
-    _, offsets = bw.raw_bytes(batch.column(column))
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1)
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def _resolve(targets: int, split: int):
     """What each run of one group of anchors is: repeated, in need of bytes, or neither (no reply)."""
 
@@ -163,7 +140,7 @@ def _resolve(targets: int, split: int):
         reply["what"] = repeated[keep] * REPEATED + needed[keep] * BYTES
         reply["blocks"] = np.where(needed[keep], -(-kinds[keep] // split), 0)
         reply["anchor"] = np.where(needed[keep], (np.uint64(group) << np.uint64(32)) | r["anchor"][keep].astype(np.uint64), np.uint64(0))
-        rows = list(_dealt(reply["key"] % targets, reply))
+        rows = list(dealt(reply["key"] % targets, reply))
         return pa.table({"target": pa.array([t for t, _ in rows], pa.int32()), "data": pa.array([x for _, x in rows], pa.binary())})
 
     return resolve
@@ -180,7 +157,7 @@ def _per_document(width: int):
         need = np.zeros(len(b), NEED)
         for field in NEED.names:
             need[field] = b[field]
-        order, first, ends = _grouped(b["key"])
+        order, first, ends = grouped(b["key"])
         blobs = [need[order[x:y]].tobytes() for x, y in zip(first, ends, strict=True)]
         keys = b["key"][order[first]]
         n = len(lo)
@@ -214,7 +191,7 @@ def _send_contexts(groups: int, width: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1, 16 << 20):
+            for part in slices(batch, 1, 16 << 20):
                 out: list[list] = [[], [], [], [], []]
                 for key, text, need in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
                     raw = memoryview(text.as_buffer())
@@ -324,20 +301,18 @@ def _sort_group(width: int):
         many = np.bincount(kind)[kind] > 1 if len(kind) else np.zeros(0, bool)
         lo, hi, keys = _united(key[context[many]], start[context[many]] + place[many], start[context[many]] + place[many] + width)
         n = len(lo)
-        # Strings of anchors dealt over blocks: one row a class, to meet its like of other blocks.
+        # Strings of anchors dealt over blocks: one row a class, to meet its like of other blocks.  Only a string
+        # alone in its block still has something to learn there.
         s = np.flatnonzero(split[context])
-        first = np.flatnonzero(np.append(True, kind[s][1:] != kind[s][:-1])) if len(s) else np.zeros(0, np.int64)
-        classes = [int.from_bytes(hashlib.blake2b(contexts[context[i]][place[i] : place[i] + width], digest_size=8).digest(), "little", signed=True) for i in s[first]]
-        ends = np.append(first, len(s)).astype(np.int32)
-        members = lambda values, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
-        m = len(first)
+        s = s[np.append(True, kind[s][1:] != kind[s][:-1])[: len(s)]]
+        classes = [int.from_bytes(hashlib.blake2b(contexts[context[i]][place[i] : place[i] + width], digest_size=8).digest(), "little", signed=True) for i in s]
+        lone = ~many[s]
+        at = start[context[s]] + place[s]
         return pa.table({
-            "key": pa.concat_arrays([pa.array(keys, pa.int64()), pa.nulls(m, pa.int64())]),
-            "lo": pa.concat_arrays([pa.array(lo, pa.int64()), pa.nulls(m, pa.int64())]),
-            "hi": pa.concat_arrays([pa.array(hi, pa.int64()), pa.nulls(m, pa.int64())]),
+            "key": pa.concat_arrays([pa.array(keys, pa.int64()), pa.array(key[context[s]], pa.int64(), mask=~lone)]),
+            "lo": pa.concat_arrays([pa.array(lo, pa.int64()), pa.array(at, pa.int64(), mask=~lone)]),
+            "hi": pa.concat_arrays([pa.array(hi, pa.int64()), pa.array(at + width, pa.int64(), mask=~lone)]),
             "class": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(classes, pa.int64())]),
-            "keys": pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), members(key[context[s]], pa.int64())]),
-            "starts": pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), members(start[context[s]] + place[s], pa.int64())]),
         })
 
     return sort
@@ -359,11 +334,11 @@ def removed_stretches(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, sp
     # Equal rows have one key and only repeated runs, so a key in need has one row.
     bodies = keyed.select("key", "body").join(need, "key")
     contexts = bodies.select("key", "body", "need").mapInArrow(_send_contexts(groups, width), "grp int, key long, start int, split boolean, context binary")
-    found = materialise(contexts.groupBy("grp").applyInArrow(_sort_group(width), "key long, lo long, hi long, class long, keys array<long>, starts array<long>"))
-    classes = found.filter(F.col("class").isNotNull()).select("class", "keys", "starts")
+    found = materialise(contexts.groupBy("grp").applyInArrow(_sort_group(width), "key long, lo long, hi long, class long"))
+    classes = found.filter(F.col("class").isNotNull())
     met = classes.groupBy("class").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("class")
-    across = classes.join(met, "class").select(F.explode(F.arrays_zip("keys", "starts")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.starts").alias("lo"), (F.col("x.starts") + width).alias("hi"))
-    cuts = known.filter(F.col("lo").isNotNull()).select("key", "lo", "hi").union(found.filter(F.col("lo").isNotNull()).select("key", "lo", "hi")).union(across)
+    across = classes.filter(F.col("key").isNotNull()).join(met, "class").select("key", "lo", "hi")
+    cuts = known.filter(F.col("lo").isNotNull()).select("key", "lo", "hi").union(found.filter(F.col("class").isNull()).select("key", "lo", "hi")).union(across)
     return cuts.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
 
 
