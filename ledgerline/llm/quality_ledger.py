@@ -33,9 +33,9 @@ BASE = BITS["few_words"] | BITS["repeated_windows"]
 POLICIES: dict[str, int] = {"v1-base": BASE, "v2-all": sum(BITS.values())}
 
 
-def _measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _measured(docs: DataFrame, id_column: Column, text: str) -> DataFrame:
     t = F.coalesce(F.col("t"), F.lit(""))
-    step = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    step = docs.select(id_column.alias("doc_id"), F.col(text).alias("t"))
     step = step.select(
         "doc_id",
         F.array_remove(F.split(t, BLANKS), "").alias("w"),
@@ -66,9 +66,9 @@ def _covered(pairs: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
 
-def quality_ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_ledger(docs: DataFrame, doc_id: str | Column = "doc_id", text: str = "text") -> DataFrame:
     """Measurements and ``rule_bits`` of every document."""
-    m = _measured(docs, doc_id, text)
+    m = _measured(docs, F.col(doc_id) if isinstance(doc_id, str) else doc_id, text)
     bits = F.lit(0).cast("long")
     for name, test in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(test), F.lit(BITS[name]).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -81,6 +81,15 @@ def passes(policy: str, bits: str | Column = "rule_bits") -> Column:
     return bits.bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0
 
 
+def kept(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
+    """The documents that the policy keeps, with all their columns; the whole row travels in the ledger's id."""
+    ledger = quality_ledger(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text)
+    # The row number, never negative, keeps the optimizer from moving the test below the
+    # projections, where it would compute the measurements once for each use.
+    numbered = ledger.withColumn("row", F.monotonically_increasing_id())
+    return numbered.filter(passes(policy) & (F.col("row") >= 0)).select("doc_id.*")
+
+
 def ablation(ledger: DataFrame, policy: str) -> DataFrame:
     """For each rule of the policy: documents that fail it, that fail nothing else, and that pass without it.
 
