@@ -49,6 +49,7 @@ PLACE_BITS = 27
 RUN = np.dtype([("anchor", "<u4"), ("context", "<u8"), ("key", "<i8"), ("start", "<i4"), ("n", "<u2")])
 REPLY = np.dtype([("key", "<i8"), ("start", "<i4"), ("n", "<u2"), ("what", "u1"), ("blocks", "<u4"), ("anchor", "<u8")])
 NEED = np.dtype([("start", "<i4"), ("n", "<u2"), ("what", "u1"), ("blocks", "<u4"), ("anchor", "<u8")])
+CLASS = np.dtype([("string", "<u8"), ("key", "<i8"), ("start", "<i4"), ("lone", "u1")])
 TWICE = 1 << 15  # in n: the task has met the context twice
 REPEATED, BYTES = 1, 2  # in what
 
@@ -292,7 +293,7 @@ def repeats(contexts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.n
     return context, order - base[context], np.cumsum(~same) - 1
 
 
-def _sort_group(width: int):
+def _sort_group(targets: int, width: int):
     def sort(table: pa.Table) -> pa.Table:
         key, start = table.column("key").to_numpy(), table.column("start").to_numpy().astype(np.int64)
         split = table.column("split").to_numpy(zero_copy_only=False)
@@ -301,23 +302,39 @@ def _sort_group(width: int):
         many = np.bincount(kind)[kind] > 1 if len(kind) else np.zeros(0, bool)
         lo, hi, keys = _united(key[context[many]], start[context[many]] + place[many], start[context[many]] + place[many] + width)
         n = len(lo)
-        # Strings of anchors dealt over blocks: one row a class, to meet its like of other blocks.  Only a string
+        # Strings of anchors dealt over blocks: one record a class, to meet its like of other blocks.  Only a string
         # alone in its block still has something to learn there.
         s = np.flatnonzero(split[context])
         s = s[np.append(True, kind[s][1:] != kind[s][:-1])[: len(s)]]
-        classes = [int.from_bytes(hashlib.blake2b(contexts[context[i]][place[i] : place[i] + width], digest_size=8).digest(), "little", signed=True) for i in s]
-        lone = ~many[s]
-        at = start[context[s]] + place[s]
+        record = np.zeros(len(s), CLASS)
+        record["string"] = [int.from_bytes(hashlib.blake2b(contexts[context[i]][place[i] : place[i] + width], digest_size=8).digest(), "little") for i in s]
+        record["key"], record["start"], record["lone"] = key[context[s]], start[context[s]] + place[s], ~many[s]
+        rows = list(dealt((record["string"] % np.uint64(targets)).astype(np.int64), record))
+        m = len(rows)
         return pa.table({
-            "key": pa.concat_arrays([pa.array(keys, pa.int64()), pa.array(key[context[s]], pa.int64(), mask=~lone)]),
-            "lo": pa.concat_arrays([pa.array(lo, pa.int64()), pa.array(at, pa.int64(), mask=~lone)]),
-            "hi": pa.concat_arrays([pa.array(hi, pa.int64()), pa.array(at + width, pa.int64(), mask=~lone)]),
-            "class": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(classes, pa.int64())]),
+            "key": pa.concat_arrays([pa.array(keys, pa.int64()), pa.nulls(m, pa.int64())]),
+            "lo": pa.concat_arrays([pa.array(lo, pa.int64()), pa.nulls(m, pa.int64())]),
+            "hi": pa.concat_arrays([pa.array(hi, pa.int64()), pa.nulls(m, pa.int64())]),
+            "target": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array([t for t, _ in rows], pa.int32())]),
+            "data": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([x for _, x in rows], pa.binary())]),
         })
 
     return sort
 
 
+def _meet(width: int):
+    """Strings alone in their block that another block has too."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        r = np.frombuffer(b"".join(table.column("data").to_pylist()), CLASS)
+        _, number, many = np.unique(r["string"], return_inverse=True, return_counts=True)
+        r = r[(many[number] > 1) & (r["lone"] > 0)]
+        lo, hi, key = _united(r["key"], r["start"].astype(np.int64), r["start"].astype(np.int64) + width)
+        return pa.table({"key": pa.array(key, pa.int64()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
+
+    return meet
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     return docs.select(F.xxhash64(F.col(doc_id), body).alias("key"), F.col(doc_id).alias("doc_id"), body.alias("body"))
@@ -334,11 +351,9 @@ def removed_stretches(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, sp
     # Equal rows have one key and only repeated runs, so a key in need has one row.
     bodies = keyed.select("key", "body").join(need, "key")
     contexts = bodies.select("key", "body", "need").mapInArrow(_send_contexts(groups, width), "grp int, key long, start int, split boolean, context binary")
-    found = materialise(contexts.groupBy("grp").applyInArrow(_sort_group(width), "key long, lo long, hi long, class long"))
-    classes = found.filter(F.col("class").isNotNull())
-    met = classes.groupBy("class").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("class")
-    across = classes.filter(F.col("key").isNotNull()).join(met, "class").select("key", "lo", "hi")
-    cuts = known.filter(F.col("lo").isNotNull()).select("key", "lo", "hi").union(found.filter(F.col("class").isNull()).select("key", "lo", "hi")).union(across)
+    found = materialise(contexts.groupBy("grp").applyInArrow(_sort_group(n, width), "key long, lo long, hi long, target int, data binary"))
+    across = found.filter(F.col("target").isNotNull()).select("target", "data").groupBy("target").applyInArrow(_meet(width), "key long, lo long, hi long")
+    cuts = known.filter(F.col("lo").isNotNull()).select("key", "lo", "hi").union(found.filter(F.col("target").isNull()).select("key", "lo", "hi")).union(across)
     return cuts.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
 
 
