@@ -43,6 +43,8 @@ PERCENT, WORDS = 90, 3
 GROUPS = 16
 #: Slots of the usage counts that order shingles: 2 to this power, in every task and on the driver.
 USAGE_BITS = 18
+#: Bytes of text whose words are in memory at a time.
+SLICE = 4 << 20
 NO_ID = (1 << 63) - 1
 
 TOKEN = np.dtype([("token", "<u4"), ("key", "<i8"), ("known", "u1")])
@@ -64,7 +66,7 @@ def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _send_first(groups: int, targets: int, percent: int, k: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2, 16 << 20):
+            for part in slices(batch, 2, SLICE):
                 token, offsets = _sets(part.column(2), k)
                 key, doc = part.column(0).to_numpy(), part.column(1).to_numpy()
                 n = np.diff(offsets)
@@ -145,8 +147,9 @@ def _usage(bodies: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << USAGE_BITS, np.int64)
         for batch in batches:
-            token, _ = _sets(batch.column(0), k)
-            total += np.bincount((token >> np.uint64(64 - USAGE_BITS)).astype(np.int64), minlength=len(total))
+            for part in slices(batch, 0, SLICE):
+                token, _ = _sets(part.column(0), k)
+                total += np.bincount((token >> np.uint64(64 - USAGE_BITS)).astype(np.int64), minlength=len(total))
         for c in range(16):
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([total[c * chunk : (c + 1) * chunk].astype("<i4").tobytes()], pa.binary())], names=["chunk", "counts"])
 
@@ -168,7 +171,7 @@ def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFr
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 8 << 20):
+            for part in slices(batch, 1, SLICE):
                 token, offsets = _sets(part.column(1), k)
                 n = np.diff(offsets)
                 row = np.repeat(np.arange(len(n)), n)
