@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .exchange import slices
 from .shared import materialise
 
 CAPACITY = 4096
@@ -178,8 +179,7 @@ def tokenised(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokens(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, 1, 4 << 20):
                 flat, offsets = encoder.encode(part.column(1))
                 n = part.num_rows
                 full = np.empty(len(flat) + n, "<u4")

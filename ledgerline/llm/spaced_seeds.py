@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bytewords as bw
+from .exchange import slices
 
 # The masks.
 MASKS = ("11111", "1101011", "110010111", "1011001011")
@@ -149,8 +150,7 @@ def _finder(block: list, doc_type: pa.DataType, item_type: pa.DataType):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = SeedIndex(block)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, 1, 4 << 20):
                 rows = index.find(part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -175,9 +175,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
             index = SeedIndex(block)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for lo in range(0, batch.num_rows, 1000):
-                    for r in index.find(batch.column(at).slice(lo, 1000)):
+                lo = 0
+                for part in slices(batch, at, 4 << 20):
+                    for r in index.find(part.column(at)):
                         keep[lo + r[0]] = False
+                    lo += part.num_rows
                 yield batch.filter(pa.array(keep))
 
         return scan
