@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
-from ..functions.keys import decline_shape, recipe_dedup_key, with_source_key
+from ..functions.keys import decline_shape, with_source_key
 from ..functions.python_udfs import canonical_json, normalized_number
 from ..operators import audit, claims as C, dashboard as D, documents as DOC, dml, entities as E, extraction as X
 from ..sources import bridge as B
