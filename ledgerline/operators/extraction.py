@@ -43,7 +43,7 @@ def json_path(payload: Column, path: Column) -> Column:
     """First match that is not null; texts without quotes, all else as JSON."""
     many = _json(payload, path)
     listed = F.from_json(many, "array<string>")
-    first = F.when(path.contains("[*]") & listed.isNotNull(), F.element_at(F.filter(listed, lambda x: x.isNotNull()), 1)).otherwise(many)
+    first = F.when(path.contains("[*]") & listed.isNotNull(), F.get(F.filter(listed, lambda x: x.isNotNull()), F.lit(0))).otherwise(many)
     sound = _json(payload, F.lit("$")).isNotNull()
     return result(F.when(first != "null", first), F.when(sound, "no match").otherwise("not JSON"))
 
