@@ -40,9 +40,9 @@ from .exchange import dealt, slices
 from .shared import materialise
 
 PERCENT, WORDS = 90, 3
-GROUPS = 16
+GROUPS = 4
 #: Slots of the usage counts that order shingles: 2 to this power, in every task and on the driver.
-USAGE_BITS = 18
+USAGE_BITS = 22
 #: Bytes of text whose words are in memory at a time.
 SLICE = 4 << 20
 NO_ID = (1 << 63) - 1
@@ -143,30 +143,32 @@ def _per_document(percent: int):
 def _usage(bodies: DataFrame, k: int) -> np.ndarray:
     """How often each slot's shingles are used: one table of fixed size."""
     chunk = 1 << (USAGE_BITS - 4)
+    most = np.iinfo(np.uint8).max  # of a task's counts: what is used more often is as good as this
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << USAGE_BITS, np.int64)
+        total = np.zeros(1 << USAGE_BITS, np.int32)
         for batch in batches:
             for part in slices(batch, 0, SLICE):
                 token, _ = _sets(part.column(0), k)
-                total += np.bincount((token >> np.uint64(64 - USAGE_BITS)).astype(np.int64), minlength=len(total))
+                slot, n = np.unique(token >> np.uint64(64 - USAGE_BITS), return_counts=True)
+                total[slot.astype(np.int64)] += n.astype(np.int32)
         for c in range(16):
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([total[c * chunk : (c + 1) * chunk].astype("<i4").tobytes()], pa.binary())], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.minimum(total[c * chunk : (c + 1) * chunk], most).astype("u1").tobytes()], pa.binary())], names=["chunk", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x, "u1").astype(np.int32) for x in table.column("counts").to_pylist())
+        return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.astype("<i4").tobytes()], pa.binary())})
 
     rows = bodies.select("body").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros(1 << USAGE_BITS, np.int64)
+    out = np.zeros(1 << USAGE_BITS, np.int32)
     for r in rows:
-        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], "<i8")
+        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], "<i4")
     return out
 
 
 def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFrame:
     """Index entries: token, key, n, place, band and four words of parity bitmap."""
-    level = np.log2(np.maximum(usage, 1)).astype(np.uint64)
+    level = np.log2(np.maximum(usage, 1)).astype(np.uint8)
     shared = bodies.sparkSession.sparkContext.broadcast(level)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +242,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """key (hash of id and text), doc, n_shingles and component (least id reachable by links) of every row."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups, targets = n * GROUPS, 2 * n
+    groups, targets = n * GROUPS, n
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     keyed = docs.select(F.xxhash64(F.col(doc_id), body).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), body.alias("body"))
     sent = keyed.mapInArrow(_send_first(groups, targets, percent, k), "grp int, data binary")
