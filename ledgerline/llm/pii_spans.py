@@ -144,3 +144,40 @@ def digest(found: DataFrame) -> DataFrame:
 
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pii_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _oracle() -> str:
+    """The same in SQL, from the plain patterns; a word boundary stands for the look-arounds of IBANs."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    }
+    luhn = "list_sum(list_transform(range(1, length(g) + 1), lambda j: CAST(substr(reverse(g), j, 1) AS INT) * (2 - j % 2) - CASE WHEN j % 2 = 0 AND CAST(substr(reverse(g), j, 1) AS INT) > 4 THEN 9 ELSE 0 END)) % 10 = 0"
+    spelled = "list_transform(string_split(substr(q, 5) || substr(q, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
+    valid = f"""CASE kind WHEN 'email' THEN true
+      WHEN 'ip' THEN list_max(list_transform(string_split(m, '.'), lambda p: coalesce(TRY_CAST(p AS BIGINT), 999))) <= 255
+      WHEN 'card' THEN length(g) BETWEEN 14 AND 19 AND {luhn}
+      WHEN 'phone' THEN length(g) BETWEEN 10 AND 15
+      ELSE length(q) BETWEEN 15 AND 34 AND list_reduce({spelled}, lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1 END"""
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, t, {rank} AS rank, '{k.name}' AS kind, {str(k.base).lower()} AS base, {k.score} AS least, '(^|[^a-z])({k.words})([^a-z]|$)' AS words, regexp_extract_all(t, '{plain[k.name]}', 0) AS ms, string_split_regex(t, '{plain[k.name]}') AS gs FROM d"
+        for rank, k in enumerate(KINDS)
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in KINDS if k.base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({each}),
+x AS (SELECT doc_id, t, rank, kind, base, least, words, ms[i] AS m,
+        CAST(list_sum(list_transform(gs[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS s
+      FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0)),
+v AS (SELECT *, s + length(m) AS e, regexp_replace(m, '[^0-9]', '', 'g') AS g, replace(m, ' ', '') AS q FROM x),
+o AS (SELECT *, kind || ':' || s || ':' || e AS span,
+        printf('%.2f', least(1.0, least + CASE WHEN regexp_matches(lower(substr(t, greatest(s - {CONTEXT}, 0) + 1, s - greatest(s - {CONTEXT}, 0)) || ' ' || substr(t, e + 1, {CONTEXT})), words) THEN 0.2 ELSE 0 END)) AS score
+      FROM v WHERE {valid}),
+r AS (SELECT doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (WHERE base), '')) AS base_sha256, string_agg(span, ',' ORDER BY s, rank) AS spans, string_agg(score, ',' ORDER BY s, rank) AS scores FROM o GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in KINDS if k.base)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+
+ORACLE = _oracle()

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_ledger": quality_ledger.ORACLE, "op7_url_lists": url_lists.ORACLE, "op8_set_join": set_join.ORACLE}
+    return {"op3_quality_ledger": quality_ledger.ORACLE, "op7_url_lists": url_lists.ORACLE, "op8_set_join": set_join.ORACLE, "op10_pii_spans": pii_spans.ORACLE}
