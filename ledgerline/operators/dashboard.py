@@ -43,14 +43,18 @@ def coverage(expected: DataFrame, bound: DataFrame) -> DataFrame:
 
 def lineage(recipes: DataFrame, start: str, parent: str, cap: int = 32) -> DataFrame:
     """The chain of parents from each start row, newest first: root, depth, recipe_id; a chain ends at a missing parent, a known id or the cap."""
-    links = recipes.select(F.col("recipe_id").alias("_id"), F.col(parent).alias("_next"))
-    chain = recipes.filter(start).select(F.col("recipe_id").alias("root"), F.lit(0).alias("depth"), "recipe_id", F.col(parent).alias("next"), F.array("recipe_id").alias("path"))
-    found = chain
-    for depth in range(1, cap):
-        chain = chain.filter(F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))).join(links, F.col("next") == F.col("_id"))
-        chain = chain.select("root", F.lit(depth).alias("depth"), F.col("_id").alias("recipe_id"), F.col("_next").alias("next"), F.concat("path", F.array("_id")).alias("path"))
-        found = found.unionByName(chain)
-    return found.select("root", "depth", "recipe_id", (F.col("next").isNotNull() & F.array_contains("path", F.col("next"))).alias("cycle"))
+    return recipes.sparkSession.sql(
+        f"""
+        WITH RECURSIVE chain (root, depth, recipe_id, next, path) AS (
+          SELECT recipe_id, 0, recipe_id, {parent}, array(recipe_id) FROM {{recipes}} WHERE {start}
+          UNION ALL
+          SELECT c.root, c.depth + 1, r.recipe_id, r.{parent}, array_append(c.path, r.recipe_id)
+          FROM chain c JOIN {{recipes}} r ON r.recipe_id = c.next
+          WHERE c.depth + 1 < {cap} AND NOT array_contains(c.path, c.next))
+        SELECT root, depth, recipe_id, next IS NOT NULL AND array_contains(path, next) AS cycle FROM chain
+        """,
+        recipes=recipes,
+    )
 
 
 def chart_domain(df: DataFrame, key: str, value: str) -> DataFrame:
