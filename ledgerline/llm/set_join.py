@@ -167,7 +167,7 @@ def _usage(bodies: DataFrame, k: int) -> np.ndarray:
 
 
 def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFrame:
-    """Index entries: token, key, n, place, band and four words of parity bitmap."""
+    """Index entries: token, key, n, place, band, four words of parity bitmap, and the two shingles before."""
     level = np.log2(np.maximum(usage, 1)).astype(np.uint8)
     shared = bodies.sparkSession.sparkContext.broadcast(level)
 
@@ -183,13 +183,15 @@ def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFr
                 place = np.arange(len(token)) - offsets[row]
                 keep = place < (_misses(n, percent) + 1)[row]
                 r = row[keep]
+                first = token[order].view(np.int64)
+                before = [pa.array(np.roll(first, j)[keep], pa.int64(), mask=place[keep] < j) for j in (1, 2)]
                 band = np.floor(np.log(n[r]) / math.log(100 / percent)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[order][keep].view(np.int64)), part.column(0).take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(band), *[pa.array(np.ascontiguousarray(bitmap[r, j])) for j in range(4)]],
-                    names=["token", "key", "n", "place", "band", "w0", "w1", "w2", "w3"],
+                    [pa.array(token[order][keep].view(np.int64)), part.column(0).take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(band), *[pa.array(np.ascontiguousarray(bitmap[r, j])) for j in range(4)], *before],
+                    names=["token", "key", "n", "place", "band", "w0", "w1", "w2", "w3", "p1", "p2"],
                 )
 
-    return bodies.select("key", "body").mapInArrow(entries, "token long, key long, n int, place int, band int, w0 long, w1 long, w2 long, w3 long")
+    return bodies.select("key", "body").mapInArrow(entries, "token long, key long, n int, place int, band int, w0 long, w1 long, w2 long, w3 long, p1 long, p2 long")
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -268,7 +270,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = materialise(marked.join(mixed, "token"))
     larger = open_.withColumn("block", F.explode(F.array("band", F.col("band") - 1)))
     smaller = open_.withColumn("block", F.col("band"))
-    near = smaller.alias("x").join(larger.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") != F.col("y.label")) & F.expr("x.n < y.n OR (x.n = y.n AND x.key < y.key)") & _possible("x", "y", percent))
+    # A pair is made at its first common shingle: later lists leave it out where one of the two shingles before is common.
+    first_met = F.expr("NOT (coalesce(x.p1 = y.p1, false) OR coalesce(x.p1 = y.p2, false) OR coalesce(x.p2 = y.p1, false) OR coalesce(x.p2 = y.p2, false))")
+    near = smaller.alias("x").join(larger.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") != F.col("y.label")) & F.expr("x.n < y.n OR (x.n = y.n AND x.key < y.key)") & first_met & _possible("x", "y", percent))
     more = _verified(near.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct(), bodies, percent, k)
     label = components(links.union(more))
 

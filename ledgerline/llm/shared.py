@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -16,4 +17,8 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # Shuffle files of the lineage that was cut go when the driver collects its garbage; that may be long after.
+    gc.collect()
+    context._jvm.System.gc()
+    return done
