@@ -26,14 +26,16 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .exchange import slices
-from .shared import materialise
+from .shared import giving_back, materialise
 
 CAPACITY = 4096
 END_TOKEN = 1
 #: Equal lengths are dealt over so many groups.
 SALTS = 64
 #: Entries of a worker's table of known word pieces; it starts anew beyond them.
-KNOWN_PIECES = 1_500_000
+KNOWN_PIECES = 600_000
+#: Bytes of text tokenised at a time.
+SLICE = 1 << 20
 #: Fillings looked at for one sequence, and sequences tried, before the incumbent stands.
 FILL_NODES, PLAN_NODES = 4_000, 20_000
 
@@ -176,10 +178,11 @@ def _tokens(path: str) -> WordTokens:
 def tokenised(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_token: int = END_TOKEN, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids themselves if asked for."""
 
+    @giving_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokens(tokenizer)
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, SLICE):
                 flat, offsets = encoder.encode(part.column(1))
                 n = part.num_rows
                 full = np.empty(len(flat) + n, "<u4")
@@ -383,6 +386,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> D
     starts = spark.sparkContext.broadcast((first[:-1, None] + before).astype(np.int64))
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")))
 
+    @giving_back
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, each, number, offset = table.value
         for batch in batches:

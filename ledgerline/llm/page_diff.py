@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import giving_back, materialise
 
 BLOCK = 256
 #: Neighbours on each side, nearest first.
@@ -222,6 +222,7 @@ def shared_lines(hosts: list[str], keys: list[int], hashed: list[list[int]], own
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
+    @giving_back
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashed = [line_hashes(lines(x.as_py())) for x in batch.column(3)]
@@ -252,6 +253,7 @@ def _gone(pages: DataFrame) -> DataFrame:
     to = F.array_compact(F.array(block, F.when(place < REACH, block - 1), F.when(place >= BLOCK - REACH, block + 1)))
     dealt = ranked.select("key", "host", "hashes", "rank", block.alias("home"), F.explode(to).alias("block"))
 
+    @giving_back
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("rank")
         home, block = table.column("home").to_numpy(), table.column("block").to_numpy()
@@ -268,6 +270,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     kind = pages.schema[page_id].dataType.simpleString()
     p = pages.select(F.xxhash64(page_id, url, html).alias("key"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
 
+    @giving_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []

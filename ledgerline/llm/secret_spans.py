@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import giving_back
+
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -129,6 +131,7 @@ def as_text(spans: list[tuple[int, int, int]]) -> str:
 def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_cost: float = MIN_COST) -> DataFrame:
     """Per document the counts, the digest of the base spans and all spans."""
 
+    @giving_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -164,6 +167,7 @@ def masked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: st
                 seen = end
         return "".join([*out, t[seen:]])
 
+    @giving_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)

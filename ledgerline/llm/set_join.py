@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .exchange import dealt, slices
-from .shared import materialise
+from .shared import giving_back, materialise
 
 PERCENT, WORDS = 90, 3
 GROUPS = 4
@@ -64,6 +64,7 @@ def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send_first(groups: int, targets: int, percent: int, k: int):
+    @giving_back
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, SLICE):
@@ -105,6 +106,7 @@ def _send_first(groups: int, targets: int, percent: int, k: int):
 
 
 def _count_shared(targets: int):
+    @giving_back
     def count(table: pa.Table) -> pa.Table:
         group = table.column("grp")[0].as_py()
         blob = b"".join(table.column("data").to_pylist())
@@ -122,6 +124,7 @@ def _count_shared(targets: int):
 
 
 def _per_document(percent: int):
+    @giving_back
     def gather(table: pa.Table) -> pa.Table:
         is_info = table.column("info").to_numpy(zero_copy_only=False)
         blobs = table.column("data").to_pylist()
@@ -145,6 +148,7 @@ def _usage(bodies: DataFrame, k: int) -> np.ndarray:
     chunk = 1 << (USAGE_BITS - 4)
     most = np.iinfo(np.uint8).max  # of a task's counts: what is used more often is as good as this
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << USAGE_BITS, np.int32)
         for batch in batches:
@@ -155,6 +159,7 @@ def _usage(bodies: DataFrame, k: int) -> np.ndarray:
         for c in range(16):
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.minimum(total[c * chunk : (c + 1) * chunk], most).astype("u1").tobytes()], pa.binary())], names=["chunk", "counts"])
 
+    @giving_back
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, "u1").astype(np.int32) for x in table.column("counts").to_pylist())
         return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.astype("<i4").tobytes()], pa.binary())})
@@ -171,6 +176,7 @@ def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFr
     level = np.log2(np.maximum(usage, 1)).astype(np.uint8)
     shared = bodies.sparkSession.sparkContext.broadcast(level)
 
+    @giving_back
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, SLICE):
@@ -209,6 +215,7 @@ def _possible(x: str, y: str, percent: int) -> Column:
 def _verified(pairs: DataFrame, bodies: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (x, y) whose whole sets reach the similarity."""
 
+    @giving_back
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

@@ -1,10 +1,14 @@
-"""What several operators need: cutting lineage through the shared checkpoint folder."""
+"""What several operators need: cutting lineage through the shared checkpoint folder, and giving memory back."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import inspect
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -22,3 +26,29 @@ def materialise(df: DataFrame) -> DataFrame:
     gc.collect()
     context._jvm.System.gc()
     return done
+
+
+def _give_back() -> None:
+    """Freed memory that Arrow's pool and the C library still hold goes to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(f: Callable) -> Callable:
+    """f over batches or over one group; when it is done, its worker, which waits for further tasks, keeps no freed memory."""
+    if inspect.isgeneratorfunction(f):
+
+        def batches(it):
+            yield from f(it)
+            _give_back()
+
+        return batches
+
+    def group(table):
+        out = f(table)
+        _give_back()
+        return out
+
+    return group

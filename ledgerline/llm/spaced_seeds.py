@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bytewords as bw
 from .exchange import slices
+from .shared import giving_back
 
 # The masks.
 MASKS = ("11111", "1101011", "110010111", "1011001011")
@@ -147,6 +148,7 @@ def schema_of(df: DataFrame, column: str) -> pa.DataType:
 
 
 def _finder(block: list, doc_type: pa.DataType, item_type: pa.DataType):
+    @giving_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = SeedIndex(block)
         for batch in batches:
@@ -171,6 +173,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     at = docs.columns.index(text)
 
     def sieve(block: list):
+        @giving_back
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = SeedIndex(block)
             for batch in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .exchange import dealt, grouped, slices
-from .shared import materialise
+from .shared import giving_back, materialise
 
 WIDTH = 200
 GRAM = 100
@@ -87,6 +87,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int =
 def _send_runs(groups: int, targets: int, width: int, gram: int):
     """Runs of the documents, dealt by anchor; repeats within the task's batch go straight to their document's target."""
 
+    @giving_back
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 16 << 20):
@@ -119,6 +120,7 @@ def _send_runs(groups: int, targets: int, width: int, gram: int):
 def _resolve(targets: int, split: int):
     """What each run of one group of anchors is: repeated, in need of bytes, or neither (no reply)."""
 
+    @giving_back
     def resolve(table: pa.Table) -> pa.Table:
         group = table.column("grp")[0].as_py()
         blob = b"".join(table.column("data").to_pylist())
@@ -150,6 +152,7 @@ def _resolve(targets: int, split: int):
 def _per_document(width: int):
     """Of one target's replies: each document's repeated stretches (key, lo, hi), or its runs in need of bytes (key, need)."""
 
+    @giving_back
     def gather(table: pa.Table) -> pa.Table:
         r = np.frombuffer(b"".join(table.column("data").to_pylist()), REPLY)
         d = r[(r["what"] & REPEATED) > 0]
@@ -190,6 +193,7 @@ def _united(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 def _send_contexts(groups: int, width: int):
     """The bytes of the runs in need, each with the group it is sorted in."""
 
+    @giving_back
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 16 << 20):
@@ -294,6 +298,7 @@ def repeats(contexts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.n
 
 
 def _sort_group(targets: int, width: int):
+    @giving_back
     def sort(table: pa.Table) -> pa.Table:
         key, start = table.column("key").to_numpy(), table.column("start").to_numpy().astype(np.int64)
         split = table.column("split").to_numpy(zero_copy_only=False)
@@ -325,6 +330,7 @@ def _sort_group(targets: int, width: int):
 def _meet(width: int):
     """Strings alone in their block that another block has too."""
 
+    @giving_back
     def meet(table: pa.Table) -> pa.Table:
         r = np.frombuffer(b"".join(table.column("data").to_pylist()), CLASS)
         _, number, many = np.unique(r["string"], return_inverse=True, return_counts=True)
@@ -358,6 +364,7 @@ def removed_stretches(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, sp
 
 
 def _cut(kind: str, keep_text: bool):
+    @giving_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
