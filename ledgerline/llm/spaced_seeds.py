@@ -109,12 +109,19 @@ class SeedIndex:
 
 
 def _stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Equal tokens and length of the stretch with the highest sum of 1 a match and -MISMATCH a mismatch."""
+    """Equal tokens and length of the stretch with the most equal tokens of those with at least four in five equal; the shortest of equals."""
+    # A stretch has four in five tokens equal if its sum of 1 a match and -MISMATCH a mismatch is not negative: for each end, the first start with no higher sum before it.
     score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
-    gain = score - np.minimum.accumulate(score)
-    end = int(gain.argmax())
-    start = int(np.flatnonzero(score[: end + 1] == score[: end + 1].min())[-1])
-    return int(equal[start:end].sum()), end - start
+    count = np.concatenate([[0], np.cumsum(equal)])
+    start = np.searchsorted(-np.minimum.accumulate(score), -score, side="left")
+    matched = count - count[start]
+    # Mismatches at the ends add nothing: only from the first match to the last.
+    hits = np.flatnonzero(equal)
+    if not len(hits):
+        return 0, 0
+    most = np.flatnonzero(matched == matched.max())
+    length = hits[count[most] - 1] + 1 - hits[count[start[most]]]
+    return int(matched.max()), int(length.min())
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str | None]]]:
