@@ -249,7 +249,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """key (hash of id and text), doc, n_shingles and component (least id reachable by links) of every row."""
+    """key (hash of id and text), doc, n_shingles, component (least id reachable by links) and label of every row.
+
+    The label is the component's own, the least key of its classes, and null for empty sets: unlinked components may have one least id.
+    """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups, targets = n * GROUPS, n
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
@@ -285,8 +288,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     named = classes.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("doc").alias("component"))
-    done = named.join(least, "label").select("a", "b", "n", "component")
-    return rows.join(done, ["a", "b", "n"], "left").select("key", "doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    done = named.join(least, "label").select("a", "b", "n", "component", "label")
+    return rows.join(done, ["a", "b", "n"], "left").select("key", "doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component"), "label")
 
 
 def _possible_flat(percent: int) -> Column:
@@ -300,7 +303,7 @@ def _possible_flat(percent: int) -> Column:
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """docs with one row of each component, the one with the least id; rows without a word all stay."""
     found = near_duplicates(docs, doc_id, text, percent, k)
-    best = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc", "key")).alias("first")).select(F.col("first.key").alias("_kept_key"))
+    best = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc", "key")).alias("first")).select(F.col("first.key").alias("_kept_key"))
     key = F.xxhash64(F.col(doc_id), F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
     lone = found.filter("n_shingles = 0").select(F.col("key").alias("_kept_key"))
     kept = docs.withColumn("_kept_key", key)

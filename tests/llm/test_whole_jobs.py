@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerline.llm import spaced_seeds
+from ledgerline.llm import set_join, spaced_seeds
 
 
 def _best_stretch(equal):
@@ -51,3 +51,15 @@ def test_stretches_over_runs_of_changes():
     assert stretch("1" * 12 + "000" + "1" * 10) == (22, 25)
     assert stretch("000" + "1" * 5 + "0") == (5, 5)
     assert stretch("0000") == (0, 0)
+
+
+def test_unlinked_rows_under_one_id_all_stay(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(40))
+
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("e") + " more"), (8, text("d") + " more"), (9, None), (None, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in set_join.deduplicated(df).collect()), key=str)
+    ends = [(d, t) for d, t in kept if t and d == 7 and t.startswith("e0")]
+    assert len(ends) == 1  # either of two near copies under one id
+    assert sorted([x for x in kept if x not in ends], key=str) == sorted([(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (9, None), (None, ""), (None, "")], key=str)
