@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import random
 import re
 from pathlib import Path
@@ -16,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bytewords, kneser_ney, page_diff, pii_spans, quality_ledger, registry, secret_spans, spaced_seeds, url_lists
+from ledgerline.llm import bytewords, kneser_ney, pii_spans, quality_ledger, registry, secret_spans, spaced_seeds, url_lists
 
 TABLES = Path("/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,35 +179,3 @@ def test_seeds_find_every_planted_item(spark):
     items = [(r.item_id, tokens(r.text)) for r in bench.collect()]
     want = {(r.doc_id, i) for r in docs.collect() for i, t in items if t in tokens(r.text)}
     assert want <= {(r.doc_id, r.item_id) for r in spaced_seeds.benchmark_hits(docs, bench).collect()}
-
-
-def test_page_lines():
-    page = '<head><title>t</title></head><body><nav>menu</nav><header>h</header><article><h1>A &amp; B</h1><p>one <b>t</b>wo<p>three<br>four<div class="share">s</div><form>f</form><section id="comments"><p>no</p></section></article><aside>x</aside><footer>y</footer>'
-    assert page_diff.lines(page) == [("A & B", True), ("one two", True), ("three four", True)]
-    assert page_diff.lines(None) == page_diff.lines("") == []
-    assert page_diff.lines("a < b &lt;c") == [("a < b <c", False)]
-
-
-def test_longest_common_subsequence():
-    def length(a, b):
-        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        return t[-1][-1]
-
-    random.seed(4)
-    for _ in range(400):
-        a, b = ([random.randint(0, 4) for _ in range(random.randint(0, 12))] for _ in "ab")
-        part = [a[i] for i in sorted(page_diff.common(a, b))]
-        rest = iter(b)
-        assert all(x in rest for x in part) and len(part) == length(a, b)
-
-
-def test_shared_lines_go(spark):
-    rows = [(k, f"http://h.org/a/{k:04d}", f"<div>Site menu line</div><div>Unique text of page {k} and {k * k} more</div><p>Last line</p>") for k in range(600)]
-    odd = [(700, None, "<p>x"), (701, "http://z.org/", "<p>only"), (702, "nohost", None), (5, rows[5][1], rows[5][2])]
-    got = page_diff.main_text(spark.createDataFrame(rows + odd, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
-    assert sorted((r.page_id, r.text) for r in got) == sorted([(k, f"Unique text of page {k} and {k * k} more") for k in [*range(600), 5]] + [(700, "x"), (701, "only"), (702, "")])
-    assert all(r.n_chars == len(r.text) for r in got)
-    assert json.dumps(sorted(got[0].asDict())) == '["n_chars", "page_id", "text", "url"]'
