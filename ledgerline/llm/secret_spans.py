@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import giving_back
+from .shared import giving_back, materialise
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -78,8 +78,14 @@ def corpus_words(docs: DataFrame, text: str = "text", n: int = WORD_LIST, docs_a
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"(?i){_CONTEXT}", " ")
     words = F.array_distinct(F.split(F.lower(plain), r"[^\p{L}]+"))
     each = docs.select(F.explode(words).alias("w")).filter(F.length("w").between(least, most))
-    counted = each.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= docs_at_least)
-    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(n).collect()]  # a list of bounded size
+    counted = materialise(each.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= docs_at_least).withColumn("level", F.floor(16 * F.log2("n")).cast("int")))
+    # Sizes of the levels first (some hundreds), so that no partition sends words that cannot be among the n.
+    left, level = n, 0
+    for r in sorted(counted.groupBy("level").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
+        left, level = left - r["words"], r["level"]
+        if left <= 0:
+            break
+    return [r["w"] for r in counted.filter(F.col("level") >= level).orderBy(F.desc("n"), "w").limit(n).collect()]  # a list of bounded size
 
 
 def _single(c: str) -> float:
