@@ -3,11 +3,17 @@
 Only the histogram of piece lengths (at most ``capacity`` rows, whatever the corpus) is
 planned: a plan is a list of fillings, each a multiset of lengths with the number of
 sequences filled that way.  Best-fit decreasing gives the incumbent.  If it uses more
-sequences than the volume bound, bin completion takes the largest length left, tries its
-undominated fillings from the least waste on, and gives up a branch once its waste
-exceeds what a better plan may waste.  Pieces then take the places of their length by
-rank; ranks come from counts by length and salt, so a length held by a third of all
-pieces is dealt over many tasks.
+sequences than the lower bound, bin completion takes the largest length left, tries every
+undominated filling around it from the least waste on, any number of times that the counts
+allow, and gives up a branch once its waste exceeds what a better plan may waste, or once
+the same lengths were left after as few sequences before.  A better plan becomes the
+incumbent, until the bound is met or nothing is left to try: then the plan is a proven optimum.
+Bin packing is hard, so the search has a budget (BUDGET steps); ``budget=None`` searches to
+the end.  ``plan`` says whether its plan is proven.
+
+Pieces then take the places of their length by rank; ranks come from counts by length and
+salt, and a length has as many salts as its count needs, so that a length held by a third of
+all pieces is dealt over groups of about GROUP_ROWS rows.
 
 Defined cases: a null or empty text is one piece with the end token alone; a document
 longer than ``capacity`` is cut into pieces of ``capacity`` and a rest; repeated rows are
@@ -30,14 +36,14 @@ from .shared import giving_back, materialise
 
 CAPACITY = 4096
 END_TOKEN = 1
-#: Equal lengths are dealt over so many groups.
-SALTS = 64
+#: Rows of one length that are ranked in one group, about.
+GROUP_ROWS = 50_000
 #: Entries of a worker's table of known word pieces; it starts anew beyond them.
 KNOWN_PIECES = 600_000
 #: Bytes of text tokenised at a time.
 SLICE = 1 << 20
-#: Fillings looked at for one sequence, and sequences tried, before the incumbent stands.
-FILL_NODES, PLAN_NODES = 4_000, 20_000
+#: Lengths and fillings that the search looks at before the incumbent stands; some seconds of the driver.
+BUDGET = 3_000_000
 
 
 class WordTokens:
@@ -251,131 +257,169 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return done + [x for group in open_.values() for x in group]
 
 
-def fillings(counts: dict[int, int], room: int, keep: int = 4) -> list[list[tuple[int, int]]]:
-    """Undominated fillings of the room, least waste first.
-
-    A filling that could hold a larger unused item in place of its last one is dominated,
-    so the last item is always the largest that fits; an exact single item dominates all.
-    """
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """As many sequences as any plan needs: by volume, and by the lengths over half that what fits beside them cannot fill."""
+    best = -(-sum(s * c for s, c in counts.items()) // capacity)
+    sizes = sorted(s for s, c in counts.items() if c)
+    for k in [0, *(s for s in sizes if 2 * s <= capacity)]:
+        alone = sum(counts[s] for s in sizes if s > capacity - k)
+        half = [s for s in sizes if capacity - k >= s and 2 * s > capacity]
+        small = sum(s * counts[s] for s in sizes if k <= s and 2 * s <= capacity)
+        room = sum((capacity - s) * counts[s] for s in half)
+        best = max(best, alone + sum(counts[s] for s in half) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def _dominated(filling: list[tuple[int, int]], counts: dict[int, int], sizes: list[int], waste: int) -> bool:
+    """Whether some of the items, or none, could make place for one item left over that is as large as they are together, or larger."""
+    one = more = 0  # bit sets of the sums of one item, and of two or more
+    for s, many in filling:
+        for _ in range(many):
+            more |= (more << s) | (one << s)
+            one |= 1 << s
+    used = dict(filling)
+    for y in sizes:
+        if counts[y] > used.get(y, 0):
+            low = max(0, y - waste)
+            if y <= waste or (more >> low) & ((1 << (y - low + 1)) - 1) or (one >> low) & ((1 << (y - low)) - 1):
+                return True
+    return False
+
+
+def fillings(counts: dict[int, int], room: int, most_waste: int, steps: list[int] | None = None) -> Iterator[list[tuple[int, int]]]:
+    """All undominated fillings of the room that waste so much at most, least waste first; steps[0] counts what was looked at."""
+    steps = [0] if steps is None else steps
+    if counts.get(room):
+        yield [(room, 1)]  # as good as any other
+        return
     sizes = sorted((s for s, c in counts.items() if c and s <= room), reverse=True)
-    if not sizes:
-        return [[]]
-    found: dict[tuple, int] = {}
-    nodes = 0
-
-    def descend(k: int, rest: int, taken: list[tuple[int, int]]) -> bool:
-        nonlocal nodes
-        nodes += 1
-        while k < len(sizes) and sizes[k] > rest:
+    # Bit sets of the sums that the lengths from each place on can give.
+    sums = [1]
+    mask = (1 << (room + 1)) - 1
+    for s in reversed(sizes):
+        reach, many, step = sums[-1], min(counts[s], room // s), 1
+        while many:
+            step = min(step, many)
+            reach |= (reach << s * step) & mask
+            many, step = many - step, step * 2
+        sums.append(reach)
+    sums.reverse()
+    steps[0] += len(sizes)
+
+    def exact(k: int, rest: int) -> Iterator[list[tuple[int, int]]]:
+        if rest == 0:
+            yield []
+            return
+        while k < len(sizes):
+            steps[0] += 1
+            if not sums[k] >> rest & 1:
+                return
+            s = sizes[k]
+            for many in range(min(counts[s], rest // s), 0, -1):
+                if sums[k + 1] >> (rest - many * s) & 1:
+                    for tail in exact(k + 1, rest - many * s):
+                        yield [(s, many), *tail]
             k += 1
-        if k == len(sizes) or rest == 0:
-            found[tuple(taken)] = rest
-            return rest == 0
-        for j in range(k, len(sizes)):
-            if nodes > FILL_NODES:
-                break
-            size = sizes[j]
-            for many in range(min(counts[size], rest // size), 0, -1):
-                # Exact partner first: one look-up instead of a descent.
-                after = rest - many * size
-                if 0 < after < size and counts.get(after):
-                    found[tuple([*taken, (size, many), (after, 1)])] = 0
-                    return True
-                if descend(j + 1, after, [*taken, (size, many)]):
-                    return True
-                if nodes > FILL_NODES:
-                    break
-        return False
 
-    if counts.get(room):
-        return [[(room, 1)]]
-    descend(0, room, [])
-    best = sorted(found.items(), key=lambda x: (x[1], len(x[0])))
-    return [list(f) for f, _ in best[:keep]]
+    for waste in range(min(most_waste, room) + 1):
+        if sums[0] >> (room - waste) & 1:
+            for filling in exact(0, room - waste):
+                steps[0] += len(filling)
+                if not _dominated(filling, counts, sizes, waste):
+                    yield filling
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Fillings and their numbers; as few sequences as the search finds, never more than best fit."""
-    incumbent = best_fit(counts, capacity)
-    used = sum(times for _, times in incumbent)
-    total = sum(s * c for s, c in counts.items())
-    bound = -(-total // capacity)
+def plan(counts: dict[int, int], capacity: int = CAPACITY, budget: int | None = BUDGET) -> tuple[Plan, bool]:
+    """Fillings and their numbers, never more sequences than best fit, and whether fewer are proven impossible."""
+    best = best_fit(counts, capacity)
+    used = sum(times for _, times in best)
+    bound = lower_bound(counts, capacity)
     if used <= bound:
-        return incumbent
-    spare = (used - 1) * capacity - total
+        return best, True
+    total = sum(s * c for s, c in counts.items())
     left = {s: c for s, c in counts.items() if c}
     trail: Plan = []
-    choices: list[tuple[int, int, Iterator]] = []  # waste so far, length of the trail, fillings still to try
-    waste = nodes = 0
+    seen: dict[tuple, int] = {}  # fewest sequences after which these lengths were left
+    steps = [0]
 
-    def options():
-        top = max(left)
-        left[top] -= 1
-        tried = [[(top, 1), *f] for f in fillings(left, capacity - top)]
-        left[top] += 1
-        return iter([_merged(f) for f in tried])
-
-    def take(filling, times: int) -> None:
+    def take(filling: list[tuple[int, int]], times: int) -> None:
         for s, k in filling:
             left[s] = left.get(s, 0) - k * times
             if not left[s]:
                 del left[s]
 
-    choices.append((0, 0, options()))
-    while choices and nodes < PLAN_NODES:
-        nodes += 1
-        waste, depth, tries = choices[-1]
+    def options(waste: int) -> Iterator[tuple[list[tuple[int, int]], int]]:
+        """Fillings around the largest length left, each as often as can be and then ever less often."""
+        top = max(left)
+        rest = dict(left)
+        rest[top] -= 1
+        for f in fillings(rest, capacity - top, (used - 1) * capacity - total - waste, steps):
+            whole = dict(f)
+            whole[top] = whole.get(top, 0) + 1
+            for times in range(min((rest[s] + (s == top)) // k for s, k in whole.items()), 0, -1):
+                yield list(whole.items()), times
+
+    choices: list[tuple[int, int, int, Iterator]] = [(0, 0, 0, options(0))]  # sequences and waste so far, length of the trail, what is still to try
+    while choices:
+        if budget is not None and steps[0] > budget:
+            return best, False
+        made, waste, depth, tries = choices[-1]
         while len(trail) > depth:
-            filling, times = trail.pop()
-            take(filling, -times)
-        filling = next(tries, None)
-        if filling is None:
+            take(trail[-1][0], -trail.pop()[1])
+        chosen = next(tries, None)
+        steps[0] += 1
+        if chosen is None:
             choices.pop()
             continue
-        times = min(left[s] // k for s, k in filling)
-        lost = (capacity - sum(s * k for s, k in filling)) * times
-        if waste + lost > spare:
+        filling, times = chosen
+        lost = waste + (capacity - sum(s * k for s, k in filling)) * times
+        if lost > (used - 1) * capacity - total:
             continue
         take(filling, times)
-        trail.append((filling, times))
+        trail.append(chosen)
         if not left:
-            return trail
-        choices.append((waste + lost, len(trail), options()))
-    return incumbent
-
-
-def _merged(filling: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: dict[int, int] = {}
-    for s, k in filling:
-        out[s] = out.get(s, 0) + k
-    return list(out.items())
+            best, used = list(trail), made + times
+            if used <= bound:
+                return best, True
+            continue
+        state = tuple(sorted(left.items()))
+        steps[0] += len(state)
+        if seen.get(state, used) <= made + times:
+            continue
+        seen[state] = made + times
+        choices.append((made + times, lost, len(trail), options(lost)))
+    return best, True
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...); pieces is read twice, so give a stored table."""
+def packed(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, budget: int | None = BUDGET) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...); pieces is read several times, so give a stored table."""
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int")
-    pieces = pieces.withColumn("salt", salt)
-    counted = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # capacity x salts rows at most
-    if not counted:
-        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop("salt")
-    grid = np.zeros((capacity + 1, salts), np.int64)
-    for r in counted:
-        grid[r["length"], r["salt"]] = r["n"]
-    total = grid.sum(axis=1)
-    before = np.cumsum(grid, axis=1) - grid
-    first = np.concatenate([[0], np.cumsum(total)])  # places of a length: first[length] on
+    kept = pieces.columns
+    total = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # capacity rows at most
+        total[r["length"]] = r["n"]
+    if not total.any():
+        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # Each length has its own slots, one for about group_rows rows; pieces get one of them by hash.
+    salts = -(-total // group_rows)
+    slot = np.cumsum(salts) - salts
+    slots = spark.createDataFrame([(int(s), int(salts[s]), int(slot[s])) for s in np.flatnonzero(total)], "length long, salts int, slot int")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("salts")).cast("int")
+    pieces = pieces.join(F.broadcast(slots), "length").withColumn("slot", F.col("slot") + salt).drop("salts")  # capacity rows at most
+    in_slot = np.zeros(int(salts.sum()), np.int64)
+    for r in pieces.groupBy("slot").agg(F.count("*").alias("n")).collect():  # one row for group_rows pieces
+        in_slot[r["slot"]] = r["n"]
     ends, each, number, offset = [], [], [], []
     taken: dict[int, list] = {}
     sequence = 0
-    for filling, times in plan({s: int(total[s]) for s in np.flatnonzero(total)}, capacity):
+    for filling, times in plan({s: int(total[s]) for s in np.flatnonzero(total).tolist()}, capacity, budget)[0]:
         at = 0
         for s, k in filling:
             taken.setdefault(s, []).append((times * k, k, sequence, at))
             at += s * k
         sequence += times
+    at = 0
     for s in sorted(taken):
-        at = int(first[s])
         for n, k, seq, off in taken[s]:
             at += n
             ends.append(at)
@@ -383,22 +427,21 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> D
             number.append(seq)
             offset.append(off)
     table = spark.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in (ends, each, number, offset)))
-    starts = spark.sparkContext.broadcast((first[:-1, None] + before).astype(np.int64))
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")))
+    starts = spark.sparkContext.broadcast(np.cumsum(in_slot) - in_slot)
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("slot").orderBy("doc_id", "piece", "start")))
 
     @giving_back
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, each, number, offset = table.value
         for batch in batches:
-            length, salt, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "rank"))
-            at = starts.value[length, salt] + rank - 1
+            length, slot, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "slot", "rank"))
+            at = starts.value[slot] + rank - 1
             k = np.searchsorted(ends, at, side="right")
             begin = np.where(k > 0, ends[np.maximum(k - 1, 0)], 0)
-            copy, slot = np.divmod(at - begin, each[k])
-            kept = [c for c in batch.schema.names if c not in ("salt", "rank")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(number[k] + copy), pa.array(offset[k] + slot * length)], names=[*kept, "sequence_id", "offset"])
+            copy, turn = np.divmod(at - begin, each[k])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(number[k] + copy), pa.array(offset[k] + turn * length)], names=[*kept, "sequence_id", "offset"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.drop("salt").schema.fields)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*kept).schema.fields)
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
