@@ -36,7 +36,7 @@ from .shared import giving_back, materialise
 
 CAPACITY = 4096
 END_TOKEN = 1
-#: Rows of one length that are ranked in one group, about.
+#: Rows of one length that are ranked in one group, about: at most so many, and fewer where partitions are smaller.
 GROUP_ROWS = 50_000
 #: Entries of a worker's table of known word pieces; it starts anew beyond them.
 KNOWN_PIECES = 600_000
@@ -391,7 +391,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, budget: int | None =
     return best, True
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, budget: int | None = BUDGET) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int | None = None, budget: int | None = BUDGET) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...); pieces is read several times, so give a stored table."""
     spark = pieces.sparkSession
     kept = pieces.columns
@@ -401,6 +401,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_
     if not total.any():
         return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     # Each length has its own slots, one for about group_rows rows; pieces get one of them by hash.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group_rows = group_rows or min(GROUP_ROWS, max(64, int(total.sum()) // (8 * n)))
     salts = -(-total // group_rows)
     slot = np.cumsum(salts) - salts
     slots = spark.createDataFrame([(int(s), int(salts[s]), int(slot[s])) for s in np.flatnonzero(total)], "length long, salts int, slot int")
