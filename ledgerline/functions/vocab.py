@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The closed vocabularies.
 STANCES = ("asserted", "hedged", "denied", "reported", "predicted", "speculated")
 PERIODS = ("instant", "daily", "weekly", "monthly", "quarterly", "annual")
 DIRECTIONS = ("supply_positive", "supply_negative", "demand_positive", "demand_negative", "context")

@@ -17,7 +17,7 @@ def outcome_pivot(outcomes: DataFrame, plans: DataFrame) -> DataFrame:
 def sources_memory(recipes: DataFrame, attempts: DataFrame, plans: DataFrame, limit: int = 30) -> DataFrame:
     """Sources that ever worked: successes, last success, topics of their plans; best first."""
     per = attempts.groupBy("recipe_id").agg(F.count(F.when(F.col("succeeded"), 1)).alias("n"), F.max(F.when(F.col("succeeded"), F.col("attempted_at"))).alias("last"))
-    found = per.join(recipes, "recipe_id").join(F.broadcast(plans), "plan_id").groupBy("source_id").agg(F.sum("n").alias("n_success"), F.max("last").alias("last_success"), F.array_sort(F.collect_set("topic")).alias("topics"))
+    found = per.join(recipes, "recipe_id").join(plans, "plan_id").groupBy("source_id").agg(F.sum("n").alias("n_success"), F.max("last").alias("last_success"), F.array_sort(F.collect_set("topic")).alias("topics"))
     return found.filter("n_success > 0").orderBy(F.desc("n_success"), F.desc_nulls_last("last_success"), "source_id").limit(min(limit, 1024))
 
 
@@ -47,7 +47,7 @@ def run_history(outcomes: DataFrame, runs: int) -> DataFrame:
     """Per recipe, the kinds of its outcomes in the plan's latest runs, oldest first."""
     newest = outcomes.groupBy("plan_id", "run_id").agg(F.max("attempted_at").alias("at"))
     newest = newest.withColumn("_rank", F.row_number().over(Window.partitionBy("plan_id").orderBy(F.desc("at"), "run_id"))).filter(F.col("_rank") <= runs)
-    cells = outcomes.join(F.broadcast(newest.select("plan_id", "run_id")), ["plan_id", "run_id"])
+    cells = outcomes.join(newest.select("plan_id", "run_id"), ["plan_id", "run_id"])
     return cells.groupBy("plan_id", "recipe_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("attempted_at", "id", "kind"))), lambda x: x["kind"]), ",").alias("history"), F.count("*").alias("n"))
 
 

@@ -39,7 +39,7 @@ def cull(claims: DataFrame, documents: DataFrame) -> DataFrame:
 def reextraction_routes(documents: DataFrame, recipes: DataFrame) -> DataFrame:
     """Documents with the recipe that their source id names, if it exists."""
     known = recipes.select("recipe_id", F.lit(True).alias("routed"))
-    return with_source_key(documents).join(F.broadcast(known), "recipe_id", "left").withColumn("routed", F.coalesce("routed", F.lit(False)))
+    return with_source_key(documents).join(known, "recipe_id", "left").withColumn("routed", F.coalesce("routed", F.lit(False)))
 
 
 def selected_pages(pages: DataFrame, budget: int) -> DataFrame:

@@ -53,6 +53,6 @@ def rewired(entities: DataFrame, plans: DataFrame) -> DataFrame:
     """
     named = plans.filter("status = 'accepted'").select(F.col("plan_id").alias("new_plan"), "seq", F.explode("ids").alias("entity_id"))
     earliest = named.groupBy("entity_id").agg(F.min_by("new_plan", F.struct("seq", "new_plan")).alias("new_plan"))
-    rejected = F.broadcast(plans.filter("status = 'rejected'").select("plan_id", F.lit(True).alias("gone")))
+    rejected = plans.filter("status = 'rejected'").select("plan_id", F.lit(True).alias("gone"))
     both = entities.join(rejected, "plan_id", "left").join(earliest, "entity_id", "left")
     return both.filter("gone IS NULL OR new_plan IS NOT NULL").select("entity_id", F.when(F.col("gone"), F.col("new_plan")).otherwise(F.col("plan_id")).alias("plan_id"), F.coalesce("gone", F.lit(False)).alias("rewired"))

@@ -192,7 +192,7 @@ def selector_path(mode: Column, path: Column, attribute: Column) -> Column:
 
 def apply_recipes(payloads: DataFrame, recipes: DataFrame) -> DataFrame:
     """Results of scalar recipes.  recipes: recipe_id, mode, path, attribute, grp; payloads: recipe_id, payload."""
-    both = payloads.join(F.broadcast(recipes), "recipe_id")
+    both = payloads.join(recipes, "recipe_id")
     mode = F.col("mode")
     out = (
         F.when(mode == "json_path", json_path(F.col("payload"), F.col("path")))

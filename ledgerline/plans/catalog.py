@@ -151,7 +151,7 @@ def claims_of_plans(spark, d):
 @query(oracle("claims plans recipes", "SELECT p.topic, c.id, c.kind FROM plans p JOIN recipes r ON r.plan_id = p.plan_id JOIN claims c ON c.source_id LIKE '%#recipe:' || r.recipe_id || '@%' WHERE p.status = 'accepted'"))
 def records_of_accepted_plans(spark, d):
     found = scoping.records_of_plans(B.claims(spark, d), B.recipes(spark, d))
-    return found.join(F.broadcast(scoping.with_status(B.plans(spark, d), "accepted")), "plan_id").select("topic", "id", "kind")
+    return found.join(scoping.with_status(B.plans(spark, d), "accepted"), "plan_id").select("topic", "id", "kind")
 
 
 @query(oracle("plans recipes", "SELECT p.plan_id, p.topic, count(r.recipe_id) AS n_recipes, CAST(coalesce(max(r.version), 0) AS BIGINT) AS newest FROM plans p LEFT JOIN recipes r ON r.plan_id = p.plan_id GROUP BY 1, 2"))
@@ -293,11 +293,11 @@ def cost_ledger(spark, d):
     return audit.cost_ledger(calls).withColumn("cache_ratio", F.round("cache_ratio", 6))
 
 
-@query("SELECT host, CASE WHEN plain BETWEEN 200 AND 399 THEN 'open' WHEN browser BETWEEN 200 AND 399 THEN 'browser_only' WHEN bot BETWEEN 200 AND 399 OR none BETWEEN 200 AND 399 THEN 'bot_only' ELSE 'blocked' END AS host_class FROM (SELECT 'h' || (user_id % 200) AS host, max_by(s, event_id) FILTER (WHERE a = 0) AS plain, max_by(s, event_id) FILTER (WHERE a = 1) AS browser, max_by(s, event_id) FILTER (WHERE a = 2) AS bot, max_by(s, event_id) FILTER (WHERE a = 3) AS none FROM (SELECT *, event_id % 4 AS a, 200 + (event_id % 3) * 100 + CASE WHEN event_id % 3 = 2 THEN 3 ELSE 0 END AS s FROM events WHERE event_id % 3 <> 1) GROUP BY 1)")
+@query("SELECT host, CASE WHEN plain BETWEEN 200 AND 399 THEN 'open' WHEN browser BETWEEN 200 AND 399 THEN 'browser_only' WHEN bot BETWEEN 200 AND 399 OR none BETWEEN 200 AND 399 THEN 'bot_only' ELSE 'blocked' END AS host_class FROM (SELECT 'h' || (user_id % 200) AS host, max_by(s, event_id) FILTER (WHERE a = 0) AS plain, max_by(s, event_id) FILTER (WHERE a = 1) AS browser, max_by(s, event_id) FILTER (WHERE a = 2) AS bot, max_by(s, event_id) FILTER (WHERE a = 3) AS none FROM (SELECT *, event_id % 4 AS a, 200 + (event_id % 3) * 100 + CASE WHEN event_id % 3 = 2 THEN 3 ELSE 0 END AS s FROM events) GROUP BY 1)")
 def host_classes(spark, d):
     i = F.col("event_id")
     agent = F.element_at(F.array(*[F.lit(x) for x in ("plain", "browser", "bot", "none")]), (i % 4 + 1).cast("int"))
-    probes = B.table(spark, d, "events").filter("event_id % 3 <> 1").select(F.concat(F.lit("h"), F.col("user_id") % 200).alias("host"), agent.alias("agent"), (F.lit(200) + i % 3 * 100 + F.when(i % 3 == 2, 3).otherwise(0)).alias("status"), i.alias("seq"))
+    probes = B.table(spark, d, "events").select(F.concat(F.lit("h"), F.col("user_id") % 200).alias("host"), agent.alias("agent"), (F.lit(200) + i % 3 * 100 + F.when(i % 3 == 2, 3).otherwise(0)).alias("status"), i.alias("seq"))
     return audit.host_classes(probes)
 
 
@@ -312,7 +312,7 @@ def upserted_feedback(spark, d):
 
 @query(oracle("claims plans recipes", "SELECT id FROM claims WHERE regexp_extract(source_id, '#recipe:([0-9a-f-]+)@', 1) NOT IN (SELECT recipe_id FROM recipes JOIN plans USING (plan_id) WHERE status = 'rejected')"))
 def without_rejected_plans(spark, d):
-    gone = B.recipes(spark, d).join(F.broadcast(scoping.with_status(B.plans(spark, d), "rejected")), "plan_id").select("recipe_id")
+    gone = B.recipes(spark, d).join(scoping.with_status(B.plans(spark, d), "rejected"), "plan_id").select("recipe_id")
     return dml.deleted(with_source_key(B.claims(spark, d)), gone, ["recipe_id"]).select("id")
 
 

@@ -42,9 +42,9 @@ def decoded_assertions(spark, d):
     return store.decoded(r, "content", "kind string, rel_from string", ("kind", "rel_from"), strict=False)
 
 
-@query(oracle("claims", "SELECT CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN 'event' ELSE 'relation' END AS record_type, count(*) AS n FROM claims WHERE id % 2 = 0 GROUP BY 1"))
+@query(oracle("claims", "SELECT CASE WHEN id % 3 = 0 THEN 'event' ELSE 'relation' END AS record_type, count(*) AS n FROM claims GROUP BY 1"))
 def types_of_ids(spark, d):
-    ids = B.claims(spark, d).select("id").filter("id % 2 = 0")
+    ids = B.claims(spark, d).select("id")
     tables = {"event": ids.filter("id % 3 = 0"), "relation": ids}
     return store.types_of(ids, tables).groupBy("record_type").agg(F.count("*").alias("n"))
 
@@ -101,10 +101,13 @@ def nomination_status(spark, d):
     return B.outcomes(spark, d).groupBy(F.regexp_extract("source_id", "^(nom:[0-9a-f-]{36})", 1).alias("nomination")).agg(F.max_by("kind", F.struct("attempted_at", "id")).alias("status"))
 
 
-@query(oracle("outcomes", "SELECT recipe_id, count(*) FILTER (WHERE run_id = 0) AS run0, count(*) FILTER (WHERE run_id = 1) AS run1, count(*) FILTER (WHERE run_id = 2) AS run2 FROM outcomes WHERE run_id < 3 GROUP BY 1"))
+RUNS = 40
+
+
+@query(oracle("outcomes", "SELECT recipe_id, " + ", ".join(f"count(*) FILTER (WHERE run_id = {r}) AS run{r}" for r in range(RUNS)) + " FROM outcomes GROUP BY 1"))
 def outcome_heatmap(spark, d):
-    cells = B.outcomes(spark, d).filter("run_id < 3").groupBy("recipe_id").pivot("run_id", [0, 1, 2]).agg(F.count(F.lit(1)))
-    return cells.select("recipe_id", *[F.coalesce(F.col(str(r)), F.lit(0)).cast("long").alias(f"run{r}") for r in range(3)])
+    cells = B.outcomes(spark, d).groupBy("recipe_id").pivot("run_id", list(range(RUNS))).agg(F.count(F.lit(1)))
+    return cells.select("recipe_id", *[F.coalesce(F.col(str(r)), F.lit(0)).cast("long").alias(f"run{r}") for r in range(RUNS)])
 
 
 @query(oracle("docs", "SELECT id, length(body) > 0 AND norm = 'text/html' AS html, norm IN ('text/html', 'text/plain') AS eligible FROM (SELECT id, body, lower(trim(split_part(mime, ';', 1))) AS norm FROM docs)"))

@@ -11,7 +11,7 @@ from ..functions.keys import with_source_key
 def records_of_plans(records: DataFrame, recipes: DataFrame) -> DataFrame:
     """Each record once for every plan that it belongs to, through its recipe or named by its source id."""
     keyed = with_source_key(records)
-    through = keyed.join(F.broadcast(recipes.select("recipe_id", "plan_id").distinct()), "recipe_id")
+    through = keyed.join(recipes.select("recipe_id", "plan_id").distinct(), "recipe_id")
     named = keyed.filter(F.col("plan_ref").isNotNull()).withColumn("plan_id", F.col("plan_ref"))
     columns = ["plan_id", *records.columns]
     return through.select(*columns).union(named.select(*columns)).distinct()

@@ -23,7 +23,7 @@ def _join(*parts: Column | str) -> Column:
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("event_type <> 'view' AND event_id % 3 = 0")
+    e = table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     u, i = F.col("user_id"), F.col("event_id")
     return e.select(
@@ -78,7 +78,7 @@ SQL = {
     "claims": """SELECT event_id AS id, 'agency:' || (event_id % 7) AS claimant, event_type AS kind, 'company:' || (user_id % 10) AS rel_from,
       'mine:' || (CAST(json_extract_string(props, '$.k') AS INT) % 10) AS rel_to,
       'host' || (user_id % 20) || '#recipe:' || uu(user_id % 20) || '@v' || (1 + event_id % 3) AS source_id, value / 500 AS confidence, ts AS observed_at
-      FROM events WHERE event_type <> 'view' AND event_id % 3 = 0""",
+      FROM events""",
     "plans": """SELECT uu(r_regionkey) AS plan_id, lower(r_name) AS topic, CASE r_regionkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'pending' ELSE 'rejected' END AS status,
       CAST(r_regionkey AS BIGINT) AS seq FROM region""",
     "recipes": "SELECT uu(s_suppkey) AS recipe_id, uu(s_suppkey % 5) AS plan_id, 'host' || s_suppkey AS source_id, s_suppkey % 3 + 1 AS version, s_suppkey % 20 AS slot, s_acctbal AS score FROM supplier",
