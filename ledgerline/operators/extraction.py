@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -102,12 +103,47 @@ class _Finder(HTMLParser):
                 item["text"].append(data)
 
 
+    def unknown_decl(self, data: str) -> None:
+        return
+
+
 def selected(page: str | None, selector: str, attribute: str | None) -> list[str]:
     finder = _Finder(selector)
     finder.feed(page or "")
+    finder.close()
     return [(x["attrs"].get(attribute) or "") if attribute else "".join(x["text"]).strip() for x in finder.found]
 
 
+class _Cutter(_Finder):
+    """Also gathers the markup inside each element found."""
+
+    def _keep(self, raw: str) -> None:
+        for _, _, item in self.open:
+            if item is not None:
+                item["text"].append(raw)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._keep(self.get_starttag_text())
+        super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        super().handle_endtag(tag)
+        self._keep(f"</{tag}>")
+
+    def handle_data(self, data: str) -> None:
+        self._keep(escape(data))
+
+
+def selected_elements(page: str | None, selector: str, attribute: str | None, whole: bool = False) -> list[str]:
+    """As selected; or, with whole, the markup inside each element."""
+    if not whole:
+        return selected(page, selector, attribute)
+    cutter = _Cutter(selector)
+    cutter.feed(page or "")
+    cutter.close()
+    return ["".join(x["text"]) for x in cutter.found]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def css_all(pages: pd.Series, selectors: pd.Series, attributes: pd.Series) -> pd.Series:
     return pd.Series([selected(p, s, a) if s else None for p, s, a in zip(pages, selectors, attributes, strict=True)])
