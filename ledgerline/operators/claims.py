@@ -46,8 +46,8 @@ def registry_match(claimant: Column, entry: Column) -> Column:
 
 
 def content_hash(claim: tuple[str, ...] = TRIPLE) -> Column:
-    """First 128 bits of the hash of the canonical text of a relation."""
-    text = F.concat(F.lit('{"asserted_kind":"relation"'), *[F.concat(F.lit(f',"{c}":"'), F.col(c), F.lit('"')) for c in sorted(claim)], F.lit("}"))
+    """First 128 bits of the hash of the canonical JSON of a relation."""
+    text = F.to_json(F.struct(F.lit("relation").alias("asserted_kind"), *[F.coalesce(c, F.lit("")).alias(c) for c in sorted(claim)]))
     return F.substring(F.sha2(text, 256), 1, 32)
 
 

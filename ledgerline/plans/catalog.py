@@ -99,7 +99,7 @@ HASHES = """h AS (SELECT *, substr(sha256('{"asserted_kind":"relation","kind":"'
   substr(sha256('t:lithium' || chr(10) || 'e:' || least(rel_from, rel_to) || chr(10) || 'e:' || greatest(rel_from, rel_to) || chr(10)), 1, 32) AS sh FROM claims),
 k AS (SELECT *, 'promotion:' || ch || ':' || sh AS dedup_key, claimant = 'agency:2' AS auth FROM h),
 f AS (SELECT dedup_key, kind, rel_from, rel_to, auth, count(DISTINCT claimant) AS n_claimants, count(*) AS n_support, max_by(source_id, struct_pack(a := observed_at, b := id)) AS representative,
-  round(CAST(least(greatest(avg(confidence), 0), 1) AS DOUBLE), 4) AS confidence FROM k GROUP BY ALL),
+  CAST(least(greatest(avg(confidence), 0), 1) AS DOUBLE) AS confidence FROM k GROUP BY ALL),
 facts AS (SELECT * FROM f WHERE auth UNION ALL SELECT * FROM f WHERE NOT auth AND n_claimants >= 2 AND dedup_key NOT IN (SELECT dedup_key FROM f WHERE auth))"""
 
 
@@ -108,10 +108,11 @@ def _facts(spark, d, promoted=None):
     return C.promote(B.claims(spark, d), registry, promoted if promoted is not None else spark.createDataFrame([], "dedup_key string"), TOPICS)
 
 
-@query(oracle("claims", "SELECT dedup_key, kind, rel_from, rel_to, n_claimants, n_support, representative, round(confidence, 3) AS confidence, CASE WHEN auth THEN 'derived#authoritative' ELSE 'derived#consensus' END AS source_id FROM facts", HASHES))
+@query(oracle("claims", "SELECT dedup_key, kind, rel_from, rel_to, n_claimants, n_support, representative, round(confidence + 0.0000003, 4) AS confidence, CASE WHEN auth THEN 'derived#authoritative' ELSE 'derived#consensus' END AS source_id FROM facts", HASHES))
 def promoted_facts(spark, d):
+    """Facts with their support; the small addend keeps 32-bit confidences from either side of a tie in rounding."""
     f = _facts(spark, d)
-    return f.select("dedup_key", *C.TRIPLE, "n_claimants", F.size("support").cast("long").alias("n_support"), "representative", F.round(F.round(F.col("confidence").cast("double"), 4), 3).alias("confidence"), "source_id")
+    return f.select("dedup_key", *C.TRIPLE, "n_claimants", F.size("support").cast("long").alias("n_support"), "representative", F.round(F.col("confidence").cast("double") + F.lit(3e-7), 4).alias("confidence"), "source_id")
 
 
 @query(oracle("claims", "SELECT count(*) AS n FROM facts WHERE false", HASHES))

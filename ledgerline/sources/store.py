@@ -26,7 +26,9 @@ def rebuilt(rows: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     for c in ("entities", "places", "topics"):
         lists = children[c].groupBy(F.col("record_id").alias("id"), "record_type").agg(F.array_sort(F.collect_list("value")).alias(c))
         out = out.join(lists, ["id", "record_type"], "left").withColumn(c, F.coalesce(c, F.expr("array()").cast("array<string>")))
-    return out
+    edges = children["derived_from"].groupBy(F.col("child_id").alias("id"), F.col("child_type").alias("record_type")).agg(F.array_sort(F.collect_list(F.struct("parent_id", "parent_type", "role"))).alias("derived_from"))
+    none = F.expr("array()").cast("array<struct<parent_id:string,parent_type:string,role:string>>")
+    return out.join(edges, ["id", "record_type"], "left").withColumn("derived_from", F.coalesce("derived_from", none))
 
 
 def decoded(rows: DataFrame, content: str, schema: str, required: tuple[str, ...], strict: bool = True) -> DataFrame:
@@ -59,15 +61,25 @@ def found(table: DataFrame, column: str, value: object) -> DataFrame:
     return hit
 
 
-def written(records: DataFrame, folder: str) -> None:
-    """Junction tables first and records last: a reader that starts from records sees whole ones."""
+def written(records: DataFrame, folder: str, batch: str) -> None:
+    """Junction tables first and records last, each under its batch: a reader that starts from records sees whole ones, and a batch written again after a failure replaces itself."""
     for name, child in exploded(records).items():
-        child.write.mode("append").parquet(f"{folder}/{name}")
-    records.drop(*CHILDREN).write.mode("append").partitionBy("record_type").parquet(f"{folder}/records")
+        child.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    records.drop(*CHILDREN).write.mode("overwrite").parquet(f"{folder}/records/batch={batch}")
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    return rebuilt(spark.read.parquet(f"{folder}/records"), {c: spark.read.parquet(f"{folder}/{c}") for c in CHILDREN})
+    return rebuilt(spark.read.parquet(f"{folder}/records").drop("batch"), {c: spark.read.parquet(f"{folder}/{c}").drop("batch") for c in CHILDREN})
+
+
+def fetched(ids: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of the ids from the first table in order that has each; ids that none has are left out."""
+    typed = types_of(ids, {t: tables[t].select("id") for t in tables})
+    out = None
+    for t in (t for t in TYPES if t in tables):
+        part = tables[t].join(typed.filter(F.col("record_type") == t), "id")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def sources_from_toml(spark: SparkSession, text: str, limit: int | None = None) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ledgerline.functions import text as T
 from ledgerline.functions import vocab as V
 from ledgerline.functions.python_udfs import canonical, link_density, number
-from ledgerline.operators import audit, claims, dashboard, dml, documents, entities, extraction as X
+from ledgerline.operators import audit, claims, dashboard, dml, documents, entities, extraction as X, recipe_records, state
 from ledgerline.sources import store
 from ledgerline.streaming.backoff import backoff_stream, host_backoff
+from ledgerline.streaming.promotion import promoting
 
 
 @pytest.mark.parametrize(
@@ -136,7 +137,8 @@ def test_registry_and_sources(spark):
 def test_round_trip_of_records(spark, tmp_path):
     rows = [("1", "event", ["e:1"], ["CL"], ["t"], [("0", "document", "extraction")], "x")]
     r = spark.createDataFrame(rows, "id string, record_type string, entities array<string>, places array<string>, topics array<string>, derived_from array<struct<parent_id:string,parent_type:string,role:string>>, body string")
-    store.written(r, str(tmp_path))
+    store.written(r, str(tmp_path), "b1")
+    store.written(r, str(tmp_path), "b1")  # a batch written again after a failure replaces itself
     got = store.read_records(spark, str(tmp_path)).first()
     assert (got.id, got.entities, got.topics, got.body) == ("1", ["e:1"], ["t"], "x")
 
@@ -152,3 +154,44 @@ def test_backoff_batch_and_stream_agree(spark, tmp_path):
     stream = backoff_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     stream.writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.host, r.failures, r.wait, r.state) for r in spark.table("states").collect()) == want
+
+
+def test_promotion_after_each_batch(spark, tmp_path):
+    """Facts come once, when their quorum is met, though batches are run again."""
+    rows = [("a", 1), ("b", 2), ("c", 3), ("c", 4)]
+    schema = "id long, claimant string, kind string, rel_from string, rel_to string, source_id string, confidence double, observed_at timestamp"
+    claim = lambda who, i: (i, f"agency:{who}", "owns", "company:1", "mine:1", f"s{i}", 0.5, dt.datetime(2026, 1, 1, 0, i))
+    source, facts = str(tmp_path / "in"), str(tmp_path / "out")
+    registry = spark.createDataFrame([], "claimant string, topic string, quorum int")
+    seen = []
+    for who, i in rows:
+        spark.createDataFrame([claim(who, i)], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        writer = promoting(stream, registry, ("lithium",), facts, lambda: spark.read.schema(schema).parquet(source))
+        writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        seen.append(spark.read.parquet(f"{facts}/facts").count() if (tmp_path / "out" / "facts").exists() else 0)
+    assert seen == [0, 0, 1, 1]
+
+
+def test_a_cycle_in_a_lineage_is_an_error(spark):
+    rows = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "id long, parent long")
+    with pytest.raises(Exception, match="cycle in the lineage"):
+        state.lineage(rows, "id", "parent").collect()
+    assert state.lineage(rows.filter("id > 3"), "id", "parent").count() == 1
+
+
+def test_reports_are_appended(spark, tmp_path):
+    for n in (1, 2):
+        store.appended_jsonl(spark.createDataFrame([(n,)], "trial long"), str(tmp_path / "r"))
+    assert sorted(r.trial for r in spark.read.json(str(tmp_path / "r")).collect()) == [1, 2]
+
+
+def test_pointers_and_assembly():
+    plan = '{"a": {"b": [1, {"c": "x"}]}, "n": null}'
+    assert recipe_records.walked({"a": {"b": [1, {"c": "x"}]}}, "a.b.1.c") == "x" and recipe_records.walked({"a": [1]}, "a.1") is None and recipe_records.walked({"a": 1}, "a.b") is None
+    made = recipe_records.assembled("relation", [("kind", "literal", '"k"'), ("from", "from_plan", "a.b.0"), ("to", "extracted", " 22 "), ("magnitude.unit", "inner", "1,200"), ("magnitude.value", "inner", "1,200")], plan)
+    assert made == ('{"from":"1","kind":"k","magnitude":{"unit":"1200.0","value":1200.0},"to":"22.0"}', None)
+    assert recipe_records.assembled("event", [("event_type", "literal", '"e"'), ("event_type.x", "literal", "1")], plan)[1] == "path segment event_type expected an object"
+    assert recipe_records.assembled("event", [("event_type", "from_plan", "z")], plan)[1] == "from_plan pointer z resolved to nothing"
+    assert recipe_records.assembled("observation", [("metric", "literal", '"m"'), ("value", "extracted", "many"), ("unit", "literal", '"t"'), ("period", "literal", '"annual"')], plan)[1] == "observation content: missing or wrong value"
+    assert recipe_records.assembled("document", [], plan)[1] == "document is not producible from a recipe"
