@@ -3,13 +3,16 @@
 Each language gets a model over windows of four characters (letters made small, all
 else one blank).  A window is one 64-bit key of four 16-bit characters, so the keys of
 its context and of its lower orders are shifts and masks of it; counts and probabilities
-lie in arrays sorted by key.  Counts cover every training text.  The model, not the
-corpus, is bounded: MAX_CELLS probabilities, kept by raising the least count of a window.
+lie in arrays sorted by key.  Counts of all orders, discounts and totals of contexts cover every
+training text and are made by Spark.  The model, not the corpus, is bounded: every language has
+an equal share of MAX_CELLS probabilities and keeps its most frequent windows of each order; what
+a context loses so goes to the lower order, so that its probabilities still add up to one.
 
 A text gets the language with the lowest cross-entropy a character.  The score is a soft
 minimum over the languages; its sharpness, and the entropy above which a text is marked
-rejected, are set on a sample of about CALIBRATION_ROWS labelled training texts (twice as many at
-most).
+rejected (one in REJECTED of its language), are set on about CALIBRATION_ROWS labelled training
+texts, a tenth of them at most.  These are an equal share of the hash range of texts and are left out
+of the counts, with all their copies.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to
 the language first in order; no training rows make every text ``und``; repeated rows
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .exchange import slices
@@ -31,7 +34,9 @@ from .shared import giving_back, materialise
 
 ORDER = 4
 MAX_CELLS = 16_000_000
-CALIBRATION_ROWS = 2_000
+#: Windows of each order that a language keeps at least, if it has them.
+LEAST_KEPT = 1_000
+CALIBRATION_ROWS, CALIBRATION_SHARE, REJECTED = 10_000, 0.1, 1_000
 UNKNOWN = "und"
 
 _table: list[np.ndarray] = []
@@ -116,20 +121,16 @@ def window_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return parts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
+#: Of one order and language: sorted keys, their counts, the counts of their whole contexts, and the discount.
+Grams = tuple[np.ndarray, np.ndarray, np.ndarray, float]
+
+
 class Model:
     """Interpolated probabilities of all languages, looked up by sorted key."""
 
-    def __init__(self, langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], discounts: dict[str, float]):
+    def __init__(self, langs: list[str], grams: dict[int, list[Grams]]):
         self.langs = langs
         size = len(langs)
-        grams = {k: [None] * size for k in range(1, ORDER + 1)}
-        for j, name in enumerate(langs):
-            keys, n = counts[name]
-            grams[ORDER][j] = (keys, n, discounts[name])
-            for k in range(ORDER - 1, 0, -1):
-                # Continuation counts: in how many different windows one longer the gram is the end.
-                keys, n = _summed(keys & np.uint64((1 << 16 * k) - 1))
-                grams[k][j] = (keys, n, _discount(n))
         letters = np.unique(np.concatenate([g[0] for g in grams[1]]))
         self.floor = 1.0 / (len(letters) + 1)
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # keys, log probabilities (key, language)
@@ -141,14 +142,13 @@ class Model:
             lower = np.exp(self.log_p(union & np.uint64((1 << 16 * (k - 1)) - 1), k - 1))
             value = np.empty((len(union), size))
             place = np.searchsorted(contexts, union >> np.uint64(16))
-            for j, (keys, n, d) in enumerate(grams[k]):
+            for j, (keys, n, total, d) in enumerate(grams[k]):
                 own = np.searchsorted(contexts, keys >> np.uint64(16))
-                total, kinds = np.bincount(own, n, len(contexts)), np.bincount(own, minlength=len(contexts))
-                seen = total > 0
-                back = np.where(seen, d * kinds / np.maximum(total, 1), 1.0)
+                sure = np.maximum(n - d, 0) / total
+                # What the windows at hand do not take; without any left out, discount times kinds over total.
+                back = np.maximum(1 - np.bincount(own, sure, len(contexts)), 1e-9)
                 p = back[place] * lower[:, j]
-                at = np.searchsorted(union, keys)
-                p[at] += np.maximum(n - d, 0) / total[own]
+                p[np.searchsorted(union, keys)] += sure
                 value[:, j] = np.log(p)
                 weight[:, j] = np.log(back)
             self.levels.append((union, value.astype(np.float32)))
@@ -185,39 +185,60 @@ class Model:
         return sums / np.maximum(chars, 1)[:, None], chars, has
 
 
-def _discount(n: np.ndarray) -> float:
-    one, two = int((n == 1).sum()), int((n == 2).sum())
+def _discount(one: int, two: int) -> float:
     return one / (one + 2 * two) if one and two else 0.5
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_cells: int = MAX_CELLS) -> Model | None:
+def gram_counts(windows: DataFrame) -> DataFrame:
+    """Of window counts (lang, key, n): grams of all orders (k, lang, key, n, total); below the highest order n says in how many different grams one longer a gram is the end."""
+    orders = [windows.select(F.lit(ORDER).alias("k"), "lang", "key", "n")]
+    for k in range(ORDER - 1, 0, -1):
+        ends = orders[-1].select("lang", F.col("key").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("key"))
+        orders.append(ends.groupBy("lang", "key").agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "lang", "key", "n"))
+    both = orders[0]
+    for o in orders[1:]:
+        both = both.union(o)
+    return both.withColumn("total", F.sum("n").over(Window.partitionBy("k", "lang", F.shiftrightunsigned("key", 16))))
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_cells: int = MAX_CELLS, least_kept: int = LEAST_KEPT) -> Model | None:
     """The models of all languages with a row of text; counts come from every row."""
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counted = materialise(window_counts(rows, text, lang))
-    # Counts of counts, at most a few thousand rows: discounts, and the least count whose windows fit.
-    shape = counted.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("kinds")).collect()
+    grams = materialise(gram_counts(materialise(window_counts(rows, text, lang))))
+    # Sizes of levels of use, some hundreds a language and order, with the counts one and two for the discounts.
+    level = F.floor(16 * F.log2("n")).cast("int").alias("level")
+    shape = grams.groupBy("lang", "k", level).agg(F.count("*").alias("kinds")).collect()
     if not shape:
         return None
     langs = sorted({r["lang"] for r in shape})
-    kinds = {name: {r["n"]: r["kinds"] for r in shape if r["lang"] == name} for name in langs}
-    discounts = {name: k.get(1, 0) / (k.get(1, 0) + 2 * k.get(2, 0)) if k.get(1) and k.get(2) else 0.5 for name, k in kinds.items()}
-    least = 1
-    while least < 1000 and sum(v for k in kinds.values() for n, v in k.items() if n >= least) * len(langs) > max_cells:
-        least += 1
-    counts: dict[str, list] = {name: [] for name in langs}
-    table = counted.filter(F.col("n") >= least).toArrow()
-    names, keys, n = (table.column(c).to_numpy() for c in ("lang", "key", "n"))
-    for name in langs:
-        own = names == name
-        k = keys[own].view(np.uint64)
-        order = np.argsort(k)
-        counts[name] = (k[order], n[own][order])
-    langs = [name for name in langs if len(counts[name][0])]
-    return Model(langs, counts, discounts) if langs else None
-
-
-def _calibrated(model: Model, docs: DataFrame, text: str, lang: str, rows: int) -> tuple[float, np.ndarray]:
-    """Sharpness of the score with the least log loss, and for each language the entropy that one training text in a thousand exceeds."""
+    share = max(least_kept, max_cells // len(langs) ** 2)
+    kinds: dict[tuple, dict[int, int]] = {}
+    for r in shape:
+        kinds.setdefault((r["lang"], r["k"]), {})[r["level"]] = r["kinds"]
+    least = []
+    for (name, k), levels in kinds.items():
+        kept, low = 0, max(levels)
+        for at in sorted(levels, reverse=True):
+            kept += levels[at]
+            if kept > share:
+                break
+            low = at
+        least.append((name, k, low))
+    bounds = docs.sparkSession.createDataFrame(least, "lang string, k int, low int")
+    table = grams.join(F.broadcast(bounds), ["lang", "k"]).filter(F.floor(16 * F.log2("n")) >= F.col("low")).select("k", "lang", "key", "n", "total").toArrow()  # orders x languages rows; a model of bounded size
+    k, names, keys, n, total = (table.column(c).to_numpy() for c in ("k", "lang", "key", "n", "total"))
+    out: dict[int, list[Grams]] = {}
+    for order in range(1, ORDER + 1):
+        for name in langs:
+            own = np.flatnonzero((k == order) & (names == name))
+            own = own[np.argsort(keys[own].view(np.uint64))]
+            seen = kinds[name, order]
+            out.setdefault(order, []).append((keys[own].view(np.uint64), n[own], total[own], _discount(seen.get(0, 0), seen.get(16, 0))))
+    return Model(langs, out)
+
+
+def _calibrated(model: Model, docs: DataFrame, text: str, lang: str) -> tuple[float, np.ndarray]:
+    """Sharpness of the score with the least log loss, and for each language the entropy that one of its texts in REJECTED exceeds."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @giving_back
@@ -226,22 +247,19 @@ def _calibrated(model: Model, docs: DataFrame, text: str, lang: str, rows: int)
             for part in slices(batch, 0, 1 << 20):
                 e, chars, has = shared.value.entropies(part.column(0))
                 ok = np.flatnonzero(has)
-                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(ok)) for c in (1, 2)], pa.array(list(e[ok]), pa.list_(pa.float64())), pa.array(chars[ok])], names=["lang", "hash", "e", "chars"])
-
-    some = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("hash"))
-    # The texts in an equal share of the hash range, each once: about ``rows`` of them, picked in every task alone.
-    share = rows / max(1, some.count())
-    picked = some.filter(F.pmod("hash", F.lit(1 << 40)) < F.lit(int(min(1.0, share) * (1 << 40))))
-    found = picked.mapInArrow(measure, "lang string, hash long, e array<double>, chars long").dropDuplicates(["hash"]).limit(2 * rows).collect()
-    found = [r for r in found if r["lang"] in model.langs]
+                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(ok)), pa.array(list(e[ok]), pa.list_(pa.float64())), pa.array(chars[ok])], names=["lang", "e", "chars"])
+
+    once = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("lang")).groupBy(F.xxhash64("t").alias("h"), "lang").agg(F.first("t").alias("t"))
+    found = [r for r in once.select("t", "lang").mapInArrow(measure, "lang string, e array<double>, chars long").collect() if r["lang"] in model.langs]
     limit = np.full(len(model.langs), np.inf)
     if not found:
-        return 10.0, limit
+        return 0.2, limit
     e, chars, right = np.array([r["e"] for r in found]), np.array([r["chars"] for r in found]), np.array([model.langs.index(r["lang"]) for r in found])
     loss = {t: float(-np.log(np.maximum(_soft(e, chars, t)[np.arange(len(e)), right], 1e-9)).mean()) for t in (0.05, 0.1, 0.2, 0.4, 0.8, 1.0)}
     for j in range(len(model.langs)):
+        # Of n texts the highest is exceeded by one in n + 1: with fewer than REJECTED, nothing better is known.
         if (right == j).any():
-            limit[j] = np.quantile(e[right == j, j], 0.999)
+            limit[j] = np.quantile(e[right == j, j], 1 - 1 / REJECTED, method="higher")
     return min(loss, key=loss.get), limit
 
 
@@ -252,12 +270,14 @@ def _soft(e: np.ndarray, chars: np.ndarray, sharp: float) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
-def identify(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+def identify(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS, max_cells: int = MAX_CELLS) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected for every row, by models of the rows where train holds."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    labelled = docs.filter(train)
-    model = fit(labelled, text, lang)
-    sharp, limit = _calibrated(model, labelled, text, lang, calibration_rows) if model else (1.0, np.zeros(0))
+    labelled = docs.filter(train & F.col(text).isNotNull() & F.col(lang).isNotNull())
+    share = min(CALIBRATION_SHARE, calibration_rows / max(1, labelled.count()))
+    held = F.pmod(F.xxhash64(text), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+    model = fit(labelled.filter(~held), text, lang, max_cells)
+    sharp, limit = _calibrated(model, labelled.filter(held), text, lang) if model else (1.0, np.zeros(0))
     shared = docs.sparkSession.sparkContext.broadcast((model, sharp, limit))
 
     @giving_back

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bytewords, kneser_ney, pii_spans, quality_ledger, registry, spaced_seeds, url_lists
+from ledgerline.llm import bytewords, pii_spans, quality_ledger, registry, spaced_seeds, url_lists
 
 TABLES = Path("/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,28 +84,6 @@ def test_policies_and_ablation(spark):
     assert quality_ledger.quality_ledger(_odd(spark)).count() == len(ODD)
 
 
-def test_language(spark):
-    words = {"aa": "ba be bi bo bu".split(), "bb": "xur xor xir zaz zoz".split()}
-    random.seed(2)
-    rows = [(i, " ".join(random.choice(words[x]) for _ in range(20)), x) for i in range(80) for x in [random.choice("ab") * 2]]
-    df = spark.createDataFrame([*rows, (900, None, "aa"), (901, "123 !", "aa"), (902, "😀", None), (903, "ba bo", None)], "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in kneser_ney.identify(df, F.col("doc_id") % 2 == 0).collect()}
-    assert all(got[i].lang_pred == x for i, _, x in rows)
-    assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"]
-    assert all(0 <= r.score <= 1 for r in got.values())
-    assert {r.lang_pred for r in kneser_ney.identify(df.limit(3), F.lit(False)).collect()} == {"und"}
-
-
-def test_probabilities_sum_to_one():
-    keys, row, _ = kneser_ney.windows(pa.array(["abab abba", "baab"]))
-    model = kneser_ney.Model(["x"], {"x": kneser_ney._summed(keys)}, {"x": 0.5})
-    letters = model.levels[0][0]
-    for context in ("   ", " ab", "bab", "zzz"):
-        base = sum(ord(c) << 16 * (3 - i) for i, c in enumerate(context))
-        p = np.exp(model.log_p(np.uint64(base) + letters, 4).astype(float)).sum()
-        assert p <= 1.0001 and p > 0.7  # the rest is left to letters never seen
-
-
 def _luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
