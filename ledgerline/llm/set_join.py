@@ -17,12 +17,14 @@ Jaccard similarity reaches ``percent``; the result is the component of each docu
   copies of one text in a step linear in their number.  Sets of one component then share
   their answer, and the lists are searched only for pairs of different components.
 
-Every remaining candidate pair is verified on the whole sets.
+Every remaining candidate pair is verified on the whole sets.  Rows are known by 96 bits of two
+hashes of id and text, sets by 128 bits and their size, and classes by numbers given to them.
 
 Defined cases: null texts and texts without words have an empty set and are linked with
 nothing; texts with fewer than k words have one shingle, their whole sequence; equal rows
-have one component; null ids count as the largest id; an empty table gives no rows; other
-columns are not read.
+have one component; ids may be of any type that has an order, null ids are larger than all others,
+and a component of null ids alone has a null id; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .exchange import dealt, slices
-from .shared import giving_back, materialise
+from .shared import giving_back, group_count, materialise
 
 PERCENT, WORDS = 90, 3
 GROUPS = 4
@@ -45,11 +47,10 @@ GROUPS = 4
 USAGE_BITS = 22
 #: Bytes of text whose words are in memory at a time.
 SLICE = 4 << 20
-NO_ID = (1 << 63) - 1
 
 TOKEN = np.dtype([("token", "<u4"), ("key", "<i8"), ("known", "u1")])
 COUNT = np.dtype([("key", "<i8"), ("shared", "<i4")])
-INFO = np.dtype([("key", "<i8"), ("doc", "<i8"), ("n", "<i4"), ("a", "<u8"), ("b", "<u8"), ("shared", "<i4")])
+INFO = np.dtype([("key", "<i8"), ("tag", "<i4"), ("n", "<i4"), ("a", "<u8"), ("b", "<u8"), ("shared", "<i4")])
 
 
 def _misses(n: np.ndarray, percent: int) -> np.ndarray:
@@ -69,12 +70,12 @@ def _send_first(groups: int, targets: int, percent: int, k: int):
         for batch in batches:
             for part in slices(batch, 2, SLICE):
                 token, offsets = _sets(part.column(2), k)
-                key, doc = part.column(0).to_numpy(), part.column(1).to_numpy()
+                key, tag = part.column(0).to_numpy(), part.column(1).to_numpy()
                 n = np.diff(offsets)
                 row = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(token)) - offsets[row]
                 info = np.zeros(len(n), INFO)
-                info["key"], info["doc"], info["n"] = key, doc, n
+                info["key"], info["tag"], info["n"] = key, tag, n
                 info["a"] = np.bincount(row, minlength=len(n)).astype(np.uint64)
                 for field, salt in (("a", 0x9E3779B97F4A7C15), ("b", 0xC2B2AE3D27D4EB4F)):
                     total = np.append(np.uint64(0), np.cumsum(bw.mix(token + np.uint64(salt))))
@@ -135,7 +136,7 @@ def _per_document(percent: int):
         n = info["n"].astype(np.int64)
         least = _misses((n * percent + 99) // 100, percent) + 1  # the fewest that a smallest partner would share
         return pa.table({
-            "key": pa.array(info["key"]), "doc": pa.array(info["doc"]), "n": pa.array(info["n"]),
+            "key": pa.array(info["key"]), "tag": pa.array(info["tag"]), "n": pa.array(info["n"]),
             "a": pa.array(info["a"].view(np.int64) if info["a"].flags.c_contiguous else info["a"].copy().view(np.int64)), "b": pa.array(info["b"].copy().view(np.int64)),
             "alive": pa.array((n > 0) & (total >= least)),
         })
@@ -233,6 +234,19 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int, k: int) -> Data
     return pairs.join(a, "x").join(b, "y").select("x", "y", "bx", "by").mapInArrow(verify, "x long, y long")
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
+    """left join on one column, in which the rows of a value that many have are dealt over several tasks by another column."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = left.groupBy(on).agg(F.count("*").alias("_n"))
+    total = counted.agg(F.greatest(F.sum("_n"), F.lit(1)).alias("_total"))
+    # Values with more than an eighth of a partition's share: at most 8 n of them.
+    hot = counted.crossJoin(F.broadcast(total)).filter(8 * n * F.col("_n") > F.col("_total")).select(on, F.ceil(8 * n * F.col("_n") / F.col("_total")).cast("int").alias("_salts"))
+    hot = F.broadcast(hot)
+    dealt = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copied = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copied, [on, "_salt"], "left").drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """key and the least key of its component, for keys with a link (x, y); labels fall along links and jump along labels until none changes."""
     both = links.select(F.col("x").alias("key"), F.col("y").alias("other")).union(links.select(F.col("y"), F.col("x"))).distinct()
@@ -240,28 +254,41 @@ def components(links: DataFrame) -> DataFrame:
     label = materialise(both.groupBy("key").agg(F.least(F.col("key"), F.min("other")).alias("label")))
     while True:
         near = both.join(label.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("label").alias("near"))
-        step = label.join(near, "key", "left").select("key", "label", F.least("label", "near").alias("next"))
-        jump = label.select(F.col("key").alias("next"), F.col("label").alias("far"))
-        step = materialise(step.join(jump, "next", "left").select("key", F.col("label").alias("old"), F.least("next", "far").alias("label")))
+        step = materialise(label.join(near, "key", "left").select("key", "label", F.least("label", "near").alias("next")))
+        # Labels that are keys with a lower label themselves; all other rows have arrived.
+        jump = label.filter("label < key").select(F.col("key").alias("next"), F.col("label").alias("far"))
+        step = materialise(spread_join(step, jump, "next", "key").select("key", F.col("label").alias("old"), F.least("next", "far").alias("label")))
         label = step.select("key", "label")
         if step.filter("label < old").isEmpty():
             return label
 
 
+def _keyed(doc_id: str, text: str) -> list[Column]:
+    """Two hashes that know a row by its id and text."""
+    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    return [F.xxhash64(F.col(doc_id), body), F.hash(body, F.col(doc_id), F.lit("row"))]
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """key (hash of id and text), doc, n_shingles, component (least id reachable by links) and label of every row.
+    """key, tag (hashes of id and text), doc (the id as given), n_shingles, component (least id reachable by links) and label of every row.
 
-    The label is the component's own, the least key of its classes, and null for empty sets: unlinked components may have one least id.
+    The label is the component's own, the least number of its classes, and null for empty sets: unlinked components may have one least id.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups, targets = n * GROUPS, n
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    keyed = docs.select(F.xxhash64(F.col(doc_id), body).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), body.alias("body"))
+    key, tag = _keyed(doc_id, text)
+    keyed = docs.select(key.alias("key"), tag.alias("tag"), body.alias("body"))
+    targets = group_count(keyed, "body", n)
+    groups = GROUPS * targets
     sent = keyed.mapInArrow(_send_first(groups, targets, percent, k), "grp int, data binary")
     shared = sent.groupBy("grp").applyInArrow(_count_shared(targets), "target int, info boolean, data binary")
-    rows = materialise(shared.groupBy("target").applyInArrow(_per_document(percent), "key long, doc long, n int, a long, b long, alive boolean"))
-    classes = materialise(rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc", "key")).alias("first"), F.max("alive").alias("alive")).select("a", "b", "n", F.col("first.doc").alias("doc"), F.col("first.key").alias("key"), "alive"))
-    bodies = materialise(keyed.join(classes.filter("alive").select("key"), "key").select("key", "body").dropDuplicates(["key"]))
+    rows = materialise(shared.groupBy("target").applyInArrow(_per_document(percent), "key long, tag int, n int, a long, b long, alive boolean"))
+    first = F.min(F.struct("key", "tag")).alias("first")
+    classes = rows.filter("n > 0").groupBy("a", "b", "n").agg(first, F.max("alive").alias("alive")).select("a", "b", "n", "first.key", "first.tag", "alive")
+    # Stored with their numbers, so that these stay as they are.
+    classes = materialise(classes.withColumn("number", F.monotonically_increasing_id()))
+    bodies = keyed.join(classes.filter("alive").select("key", "tag", "number"), ["key", "tag"]).select(F.col("number").alias("key"), "body")
+    bodies = materialise(bodies.dropDuplicates(["key"]))
     index = materialise(_index(bodies, _usage(bodies, k), percent, k))
 
     # Leaders: one pass that is linear in the entries.
@@ -286,10 +313,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = _verified(near.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct(), bodies, percent, k)
     label = components(links.union(more))
 
-    named = classes.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    least = named.groupBy("label").agg(F.min("doc").alias("component"))
-    done = named.join(least, "label").select("a", "b", "n", "component", "label")
-    return rows.join(done, ["a", "b", "n"], "left").select("key", "doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component"), "label")
+    named = classes.select("a", "b", "n", F.col("number").alias("key")).join(label, "key", "left").select("a", "b", "n", F.coalesce("label", "key").alias("label"))
+    known = rows.select("key", "tag", "a", "b", "n").distinct().join(named, ["a", "b", "n"], "left").select("key", "tag", "n", "label")
+    key, tag = _keyed(doc_id, text)
+    found = materialise(docs.select(key.alias("key"), tag.alias("tag"), F.col(doc_id).alias("doc")).join(known, ["key", "tag"]))
+    least = found.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc").alias("component"))
+    done = spread_join(found, least, "label", "key")
+    return done.select("key", "tag", "doc", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"), "label")
 
 
 def _possible_flat(percent: int) -> Column:
@@ -303,11 +333,13 @@ def _possible_flat(percent: int) -> Column:
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """docs with one row of each component, the one with the least id; rows without a word all stay."""
     found = near_duplicates(docs, doc_id, text, percent, k)
-    best = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc", "key")).alias("first")).select(F.col("first.key").alias("_kept_key"))
-    key = F.xxhash64(F.col(doc_id), F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
-    lone = found.filter("n_shingles = 0").select(F.col("key").alias("_kept_key"))
-    kept = docs.withColumn("_kept_key", key)
-    return kept.join(best, "_kept_key").dropDuplicates(["_kept_key"]).union(kept.join(lone.distinct(), "_kept_key")).drop("_kept_key")
+    row = F.struct(F.col("doc").isNull(), "doc", "key", "tag")
+    best = found.filter("n_shingles > 0").groupBy("label").agg(F.min(row).alias("first")).select("first.key", "first.tag", F.lit(True).alias("once"))
+    lone = found.filter("n_shingles = 0").select("key", "tag", F.lit(False).alias("once")).distinct()
+    key, tag = _keyed(doc_id, text)
+    # The user's columns travel in one struct, so that none of them clashes with ours.
+    kept = docs.select(key.alias("key"), tag.alias("tag"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(best.union(lone), ["key", "tag"])
+    return kept.filter("once").dropDuplicates(["key", "tag"]).union(kept.filter("NOT once")).select("row.*")
 
 
 def op8_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
