@@ -6,17 +6,20 @@ Equal strings have equal anchors, so:
 
 1. Each task sends anchor and context (the bytes that the run's strings cover, hashed) of
    its runs, equal ones once.  Where the anchor is alone in the corpus, no string of the
-   run repeats; where the context is met twice, all do.
+   run repeats; where the context is met twice, all do.  Anchors that many documents have
+   (found on a sample, on which nothing else depends) are dealt over groups by context.
 2. Only for the rest (about a twenty-fifth of the runs of the test tables) do bytes
    travel: the contexts of an anchor meet in one group, are laid one after another, and
    their suffixes are sorted in two stages: suffixes smaller than their successors
    directly, all others by scans over the buckets of first bytes.  Neighbours in that
-   order with a common prefix of WIDTH bytes are repeats.
+   order with a common prefix of WIDTH bytes are repeats.  With ``everything``, this is done for
+   every string whose anchor is met twice, and hashes decide nothing but that an anchor is alone.
 3. An anchor with more than SPLIT contexts is dealt over blocks; each block is sorted as
    above, and classes of equal strings of different blocks meet by hash.
 4. A document is cut once, by the union of what its runs lose.
 
-64-bit hashes of contexts (besides at least 41 bits of the anchor) stand for their bytes.
+64-bit hashes of contexts (besides at least 41 bits of the anchor) stand for their bytes, 96 bits of two
+hashes of id and text for a row.
 
 Defined cases: a null text is empty; texts under WIDTH bytes lose nothing; equal rows
 (same id and text) repeat each other and get equal results; an empty table gives no
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .exchange import dealt, grouped, slices
-from .shared import giving_back, materialise
+from .shared import giving_back, group_count, materialise
 
 WIDTH = 200
 GRAM = 100
@@ -45,11 +48,13 @@ PIECE = 1 << 20
 #: Groups an exchange partition takes.
 GROUPS = 16
 PLACE_BITS = 27
+#: Documents on which hot anchors are counted, about, and their share of all at most; records of an anchor there that make it hot.
+HOT_ROWS, HOT_SHARE, HOT_SEEN = 100_000, 0.02, 16
 
-RUN = np.dtype([("anchor", "<u4"), ("context", "<u8"), ("key", "<i8"), ("start", "<i4"), ("n", "<u2")])
-REPLY = np.dtype([("key", "<i8"), ("start", "<i4"), ("n", "<u2"), ("what", "u1"), ("blocks", "<u4"), ("anchor", "<u8")])
+RUN = np.dtype([("anchor", "<u4"), ("context", "<u8"), ("key", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("n", "<u2")])
+REPLY = np.dtype([("key", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("n", "<u2"), ("what", "u1"), ("blocks", "<u4"), ("anchor", "<u8")])
 NEED = np.dtype([("start", "<i4"), ("n", "<u2"), ("what", "u1"), ("blocks", "<u4"), ("anchor", "<u8")])
-CLASS = np.dtype([("string", "<u8"), ("key", "<i8"), ("start", "<i4"), ("lone", "u1")])
+CLASS = np.dtype([("string", "<u8"), ("key", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("lone", "u1")])
 TWICE = 1 << 15  # in n: the task has met the context twice
 REPEATED, BYTES = 1, 2  # in what
 
@@ -84,31 +89,39 @@ def runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int =
         yield row[start], start + lo - offsets[row[start]], count, grams[anchor[start]], context
 
 
-def _send_runs(groups: int, targets: int, width: int, gram: int):
-    """Runs of the documents, dealt by anchor; repeats within the task's batch go straight to their document's target."""
+def _send_runs(groups: int, targets: int, width: int, gram: int, hot: np.ndarray, salts: np.ndarray, everything: bool):
+    """Runs of the documents, dealt by anchor, those of the hot anchors by anchor and context; repeats within the task's batch go straight to their document's target."""
+    base = groups + np.cumsum(salts) - salts  # first group of each hot anchor
 
     @giving_back
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 16 << 20):
-                data, offsets = bw.raw_bytes(part.column(1))
-                keys = part.column(0).to_numpy()
+            for part in slices(batch, 2, 16 << 20):
+                data, offsets = bw.raw_bytes(part.column(2))
+                keys, tags = part.column(0).to_numpy(), part.column(1).to_numpy()
                 found = [np.concatenate(x) for x in zip(*runs(data, offsets, width, gram), strict=True)]
                 if not found or not len(found[0]):
                     continue
                 row, start, count, anchor, context = found
                 record = np.zeros(len(row), RUN)
                 record["anchor"], record["context"], record["key"], record["start"], record["n"] = anchor & np.uint64(0xFFFFFFFF), context, keys[row], start, count
+                record["tag"] = tags[row]
                 order = np.lexsort((context, anchor))
                 a, c = anchor[order], context[order]
-                first = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))
+                first = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | everything)
                 spot = np.flatnonzero(first)
                 many = np.diff(np.append(spot, len(order))) > 1
                 record["n"][order[spot[many]]] |= TWICE
                 again = order[~first]
-                rows = [(g, x) for g, x in dealt(((anchor[order[spot]] >> np.uint64(32)) % np.uint64(groups)).astype(np.int64), record[order[spot]])]
+                sent = order[spot]
+                to = ((anchor[sent] >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+                if len(hot):
+                    h = np.minimum(np.searchsorted(hot, anchor[sent]), len(hot) - 1)
+                    is_hot = hot[h] == anchor[sent]
+                    to = np.where(is_hot, base[h] + (context[sent] % salts[h].astype(np.uint64)).astype(np.int64), to)
+                rows = list(dealt(to, record[sent]))
                 reply = np.zeros(len(again), REPLY)
-                for field in ("key", "start", "n"):
+                for field in ("key", "tag", "start", "n"):
                     reply[field] = record[field][again]
                 reply["what"] = REPEATED
                 rows += [(-1 - t, x) for t, x in dealt(reply["key"] % targets, reply)]
@@ -117,8 +130,12 @@ def _send_runs(groups: int, targets: int, width: int, gram: int):
     return send
 
 
-def _resolve(targets: int, split: int):
-    """What each run of one group of anchors is: repeated, in need of bytes, or neither (no reply)."""
+def _resolve(groups: int, targets: int, split: int, salts: np.ndarray, everything: bool):
+    """What each run of one group of anchors is: repeated, in need of bytes, or neither (no reply).
+
+    With everything, each run whose anchor occurs twice is in need of bytes, and none is known to be repeated.
+    """
+    base = groups + np.cumsum(salts) - salts
 
     @giving_back
     def resolve(table: pa.Table) -> pa.Table:
@@ -127,48 +144,74 @@ def _resolve(targets: int, split: int):
         if group < 0:
             return pa.table({"target": pa.array([-1 - group], pa.int32()), "data": pa.array([blob], pa.binary())})
         r = np.frombuffer(blob, RUN)
-        order = np.lexsort((r["start"], r["key"], r["context"], r["anchor"]))
+        order = np.lexsort((r["start"], r["tag"], r["key"], r["context"], r["anchor"]))
         r = r[order]
         new_anchor = np.append(True, r["anchor"][1:] != r["anchor"][:-1])
         new_context = new_anchor | np.append(True, r["context"][1:] != r["context"][:-1])
         context = np.cumsum(new_context) - 1
         anchor = np.cumsum(new_anchor) - 1
+        home, spread = group, 0
         repeated = ((np.bincount(context) > 1) | (np.bincount(context, r["n"] >= TWICE) > 0))[context]
         kinds = np.bincount(anchor, new_context).astype(np.int64)[anchor]  # different contexts of the anchor
         lone = np.bincount(anchor, ~repeated)[anchor] > 0  # some context of it is met once
         needed = new_context & (kinds > 1) & lone
+        if everything:
+            kinds = np.bincount(anchor)[anchor]
+            repeated, needed = np.zeros(len(r), bool), kinds > 1
+        if group >= groups:
+            # One salt of a hot anchor: what the other salts have is not seen here, so every context sends its bytes.
+            k = int(np.searchsorted(base, group, side="right")) - 1
+            home, spread = groups + k, int(salts[k])
+            needed = np.ones(len(r), bool) if everything else new_context
+            kinds = kinds * spread
         keep = repeated | needed
         reply = np.zeros(int(keep.sum()), REPLY)
-        reply["key"], reply["start"], reply["n"] = r["key"][keep], r["start"][keep], r["n"][keep] & (TWICE - 1)
+        for field in ("key", "tag", "start"):
+            reply[field] = r[field][keep]
+        reply["n"] = r["n"][keep] & (TWICE - 1)
         reply["what"] = repeated[keep] * REPEATED + needed[keep] * BYTES
-        reply["blocks"] = np.where(needed[keep], -(-kinds[keep] // split), 0)
-        reply["anchor"] = np.where(needed[keep], (np.uint64(group) << np.uint64(32)) | r["anchor"][keep].astype(np.uint64), np.uint64(0))
+        reply["blocks"] = np.where(needed[keep], np.maximum(-(-kinds[keep] // split), 1 + (spread > 0)), 0)
+        reply["anchor"] = np.where(needed[keep], (np.uint64(home) << np.uint64(32)) | r["anchor"][keep].astype(np.uint64), np.uint64(0))
         rows = list(dealt(reply["key"] % targets, reply))
         return pa.table({"target": pa.array([t for t, _ in rows], pa.int32()), "data": pa.array([x for _, x in rows], pa.binary())})
 
     return resolve
 
 
+def _rows_of(key: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each (key, tag), and the key and tag of each number."""
+    both = np.zeros(len(key), [("key", "<i8"), ("tag", "<i4")])
+    both["key"], both["tag"] = key, tag
+    known, number = np.unique(both, return_inverse=True)
+    return number.ravel().astype(np.int64), known["key"], known["tag"]
+
+
+#: A stretch of a document.
+CUTS = "key long, tag int, lo long, hi long"
+
+
 def _per_document(width: int):
-    """Of one target's replies: each document's repeated stretches (key, lo, hi), or its runs in need of bytes (key, need)."""
+    """Of one target's replies: each document's repeated stretches (lo, hi), or its runs in need of bytes (need)."""
 
     @giving_back
     def gather(table: pa.Table) -> pa.Table:
         r = np.frombuffer(b"".join(table.column("data").to_pylist()), REPLY)
-        d = r[(r["what"] & REPEATED) > 0]
-        lo, hi, key = _united(d["key"], d["start"].astype(np.int64), d["start"].astype(np.int64) + d["n"] + width - 1)
-        b = r[(r["what"] & BYTES) > 0]
-        need = np.zeros(len(b), NEED)
+        number, keys, tags = _rows_of(r["key"], r["tag"])
+        at = np.flatnonzero((r["what"] & REPEATED) > 0)
+        d = r[at]
+        lo, hi, own = _united(number[at], d["start"].astype(np.int64), d["start"].astype(np.int64) + d["n"] + width - 1)
+        at = np.flatnonzero((r["what"] & BYTES) > 0)
+        need = np.zeros(len(at), NEED)
         for field in NEED.names:
-            need[field] = b[field]
-        order, first, ends = grouped(b["key"])
+            need[field] = r[field][at]
+        order, first, ends = grouped(number[at])
         blobs = [need[order[x:y]].tobytes() for x, y in zip(first, ends, strict=True)]
-        keys = b["key"][order[first]]
-        n = len(lo)
+        own = np.concatenate([own, number[at][order[first]]])
+        n, m = len(lo), len(blobs)
         return pa.table({
-            "key": pa.array(np.concatenate([key, keys]), pa.int64()),
-            "lo": pa.concat_arrays([pa.array(lo, pa.int64()), pa.nulls(len(keys), pa.int64())]),
-            "hi": pa.concat_arrays([pa.array(hi, pa.int64()), pa.nulls(len(keys), pa.int64())]),
+            "key": pa.array(keys[own], pa.int64()), "tag": pa.array(tags[own], pa.int32()),
+            "lo": pa.concat_arrays([pa.array(lo, pa.int64()), pa.nulls(m, pa.int64())]),
+            "hi": pa.concat_arrays([pa.array(hi, pa.int64()), pa.nulls(m, pa.int64())]),
             "need": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())]),
         })
 
@@ -196,9 +239,9 @@ def _send_contexts(groups: int, width: int):
     @giving_back
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 16 << 20):
-                out: list[list] = [[], [], [], [], []]
-                for key, text, need in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
+            for part in slices(batch, 2, 16 << 20):
+                out: list[list] = [[], [], [], [], [], []]
+                for key, tag, text, need in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
                     raw = memoryview(text.as_buffer())
                     r = np.frombuffer(need.as_py(), NEED)
                     start, n = r["start"].astype(np.int64), r["n"].astype(np.int64)
@@ -210,7 +253,8 @@ def _send_contexts(groups: int, width: int):
                     out[2] += start.tolist()
                     out[3] += (blocks > 1).tolist()
                     out[4] += [bytes(raw[a : a + b + width - 1]) for a, b in zip(start.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["grp", "key", "start", "split", "context"])
+                    out[5] += [tag] * len(r)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32()), strict=True)], names=["grp", "key", "start", "split", "context", "tag"])
 
     return send
 
@@ -300,12 +344,13 @@ def repeats(contexts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.n
 def _sort_group(targets: int, width: int):
     @giving_back
     def sort(table: pa.Table) -> pa.Table:
-        key, start = table.column("key").to_numpy(), table.column("start").to_numpy().astype(np.int64)
+        key, keys, tags = _rows_of(table.column("key").to_numpy(), table.column("tag").to_numpy())
+        start = table.column("start").to_numpy().astype(np.int64)
         split = table.column("split").to_numpy(zero_copy_only=False)
         contexts = table.column("context").to_pylist()
         context, place, kind = repeats(contexts, width)
         many = np.bincount(kind)[kind] > 1 if len(kind) else np.zeros(0, bool)
-        lo, hi, keys = _united(key[context[many]], start[context[many]] + place[many], start[context[many]] + place[many] + width)
+        lo, hi, own = _united(key[context[many]], start[context[many]] + place[many], start[context[many]] + place[many] + width)
         n = len(lo)
         # Strings of anchors dealt over blocks: one record a class, to meet its like of other blocks.  Only a string
         # alone in its block still has something to learn there.
@@ -313,11 +358,13 @@ def _sort_group(targets: int, width: int):
         s = s[np.append(True, kind[s][1:] != kind[s][:-1])[: len(s)]]
         record = np.zeros(len(s), CLASS)
         record["string"] = [int.from_bytes(hashlib.blake2b(contexts[context[i]][place[i] : place[i] + width], digest_size=8).digest(), "little") for i in s]
-        record["key"], record["start"], record["lone"] = key[context[s]], start[context[s]] + place[s], ~many[s]
+        record["key"], record["tag"] = keys[key[context[s]]], tags[key[context[s]]]
+        record["start"], record["lone"] = start[context[s]] + place[s], ~many[s]
         rows = list(dealt((record["string"] % np.uint64(targets)).astype(np.int64), record))
         m = len(rows)
         return pa.table({
-            "key": pa.concat_arrays([pa.array(keys, pa.int64()), pa.nulls(m, pa.int64())]),
+            "key": pa.concat_arrays([pa.array(keys[own], pa.int64()), pa.nulls(m, pa.int64())]),
+            "tag": pa.concat_arrays([pa.array(tags[own], pa.int32()), pa.nulls(m, pa.int32())]),
             "lo": pa.concat_arrays([pa.array(lo, pa.int64()), pa.nulls(m, pa.int64())]),
             "hi": pa.concat_arrays([pa.array(hi, pa.int64()), pa.nulls(m, pa.int64())]),
             "target": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array([t for t, _ in rows], pa.int32())]),
@@ -335,32 +382,62 @@ def _meet(width: int):
         r = np.frombuffer(b"".join(table.column("data").to_pylist()), CLASS)
         _, number, many = np.unique(r["string"], return_inverse=True, return_counts=True)
         r = r[(many[number] > 1) & (r["lone"] > 0)]
-        lo, hi, key = _united(r["key"], r["start"].astype(np.int64), r["start"].astype(np.int64) + width)
-        return pa.table({"key": pa.array(key, pa.int64()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
+        row, keys, tags = _rows_of(r["key"], r["tag"])
+        lo, hi, own = _united(row, r["start"].astype(np.int64), r["start"].astype(np.int64) + width)
+        return pa.table({"key": pa.array(keys[own], pa.int64()), "tag": pa.array(tags[own], pa.int32()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
 
     return meet
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Documents with the two hashes, 96 bits, that know a row by its id and text."""
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    return docs.select(F.xxhash64(F.col(doc_id), body).alias("key"), F.col(doc_id).alias("doc_id"), body.alias("body"))
+    return docs.select(F.xxhash64(F.col(doc_id), body).alias("key"), F.hash(body, F.col(doc_id), F.lit("row")).alias("tag"), F.col(doc_id).alias("doc_id"), body.alias("body"))
 
 
-def removed_stretches(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
-    """key and ``cuts``, the byte stretches to remove, for documents (key, body) that lose any; stretches may overlap."""
+def hot_anchors(keyed: DataFrame, groups: int, width: int, gram: int, rows: int = HOT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors that more records have than a group should hold, sorted, and over how many groups each is dealt.
+
+    Counted on about so many documents, an equal share of the hash range; only where records go depends on it.
+    """
+    share = min(HOT_SHARE, rows / max(1, keyed.count()))
+
+    @giving_back
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0, 16 << 20):
+                for _, _, _, anchor, _ in runs(*bw.raw_bytes(part.column(0)), width, gram):
+                    known, n = np.unique(anchor, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+    some = keyed.filter(F.pmod("tag", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("body").mapInArrow(count, "anchor long, n long")
+    counted = some.groupBy("anchor").agg(F.sum("n").alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    # More than a fourth of a group's share of all records, and enough of them to tell: at most 4 x groups anchors.
+    found = counted.filter(F.col("n") > max(HOT_SEEN, total // (4 * groups))).collect()
+    found.sort(key=lambda r: r["anchor"] % (1 << 64))
+    anchors = np.array([r["anchor"] for r in found], np.int64).view(np.uint64)
+    return anchors, np.array([max(2, -(-4 * groups * r["n"] // max(1, total))) for r in found], np.int64)
+
+
+def removed_stretches(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, split: int = SPLIT, everything: bool = False) -> DataFrame:
+    """key, tag and ``cuts``, the byte stretches to remove, for documents (key, tag, body) that lose any; stretches may overlap."""
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = group_count(keyed, "body", n)
     groups = n * GROUPS
-    sent = keyed.select("key", "body").mapInArrow(_send_runs(groups, groups, width, gram), "grp int, data binary")
-    replies = sent.groupBy("grp").applyInArrow(_resolve(groups, split), "target int, data binary")
-    known = materialise(replies.groupBy("target").applyInArrow(_per_document(width), "key long, lo long, hi long, need binary"))
-    need = known.filter(F.col("need").isNotNull()).select("key", "need")
-    # Equal rows have one key and only repeated runs, so a key in need has one row.
-    bodies = keyed.select("key", "body").join(need, "key")
-    contexts = bodies.select("key", "body", "need").mapInArrow(_send_contexts(groups, width), "grp int, key long, start int, split boolean, context binary")
-    found = materialise(contexts.groupBy("grp").applyInArrow(_sort_group(n, width), "key long, lo long, hi long, target int, data binary"))
-    across = found.filter(F.col("target").isNotNull()).select("target", "data").groupBy("target").applyInArrow(_meet(width), "key long, lo long, hi long")
-    cuts = known.filter(F.col("lo").isNotNull()).select("key", "lo", "hi").union(found.filter(F.col("target").isNull()).select("key", "lo", "hi")).union(across)
-    return cuts.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
+    hot, salts = hot_anchors(keyed, groups, width, gram)
+    sent = keyed.select("key", "tag", "body").mapInArrow(_send_runs(groups, groups, width, gram, hot, salts, everything), "grp int, data binary")
+    replies = sent.groupBy("grp").applyInArrow(_resolve(groups, groups, split, salts, everything), "target int, data binary")
+    known = materialise(replies.groupBy("target").applyInArrow(_per_document(width), f"{CUTS}, need binary"))
+    need = known.filter(F.col("need").isNotNull()).select("key", "tag", "need")
+    # Equal rows have one key and only repeated runs, so a key in need has one row (with everything, each of them asks for all).
+    bodies = keyed.select("key", "tag", "body").join(need, ["key", "tag"])
+    contexts = bodies.select("key", "tag", "body", "need").mapInArrow(_send_contexts(groups, width), "grp int, key long, start int, split boolean, context binary, tag int")
+    found = materialise(contexts.groupBy("grp").applyInArrow(_sort_group(n, width), f"{CUTS}, target int, data binary"))
+    across = found.filter(F.col("target").isNotNull()).select("target", "data").groupBy("target").applyInArrow(_meet(width), CUTS)
+    stretch = ["key", "tag", "lo", "hi"]
+    cuts = known.filter(F.col("lo").isNotNull()).select(*stretch).union(found.filter(F.col("target").isNull()).select(*stretch)).union(across.select(*stretch))
+    return cuts.groupBy("key", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
 
 
 def _cut(kind: str, keep_text: bool):
@@ -392,11 +469,11 @@ def _cut(kind: str, keep_text: bool):
     return cut
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int | None = None, split: int = SPLIT, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept."""
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int | None = None, split: int = SPLIT, keep_text: bool = False, everything: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept; with everything, hashes only leave out strings whose anchor occurs once."""
     kind = docs.schema[doc_id].dataType.simpleString()
     keyed = _keyed(docs, doc_id, text)
-    both = keyed.join(removed_stretches(keyed, width, gram or width // 2, split), "key", "left").select("doc_id", "body", "cuts")
+    both = keyed.join(removed_stretches(keyed, width, gram or width // 2, split, everything), ["key", "tag"], "left").select("doc_id", "body", "cuts")
     return both.mapInArrow(_cut(kind, keep_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 

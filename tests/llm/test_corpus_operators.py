@@ -21,7 +21,7 @@ from ledgerline.llm import packing, quality_ledger, set_join, spaced_seeds, suff
 
 SCHEMA = "doc_id long, text string"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-NO_ID = set_join.NO_ID
+NO_ID = (1 << 63) - 1  # stands for null in the brute force
 
 
 @pytest.fixture(scope="module")
@@ -190,11 +190,14 @@ def test_components(spark, percent, k):
             rows.append((len(rows) * 7 % 1000, " ".join(w)))
     rows += [(2001, None), (2002, ""), (2002, ""), (2003, "One"), (2004, "one"), (2005, "a b"), (2006, "A  B\n"), (None, rows[0][1]), (None, "x y z q"), (5000, rows[3][1]), (5000, rows[3][1])]
     random.shuffle(rows)
-    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("key", "doc", "n", "body", "label")})
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("key", "doc", "n", "body", "label", "tag", "row", "once", "_kept_key", "_salt")})
     want = _components(rows, percent, k)
-    assert sorted((r.doc, r.n_shingles, r.component) for r in set_join.near_duplicates(df, percent=percent, k=k).collect()) == want
+    null = lambda x: NO_ID if x is None else x
+    assert sorted((null(r.doc), r.n_shingles, null(r.component)) for r in set_join.near_duplicates(df, percent=percent, k=k).collect()) == want
     kept = set_join.deduplicated(df, percent=percent, k=k)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {r._kept_key for r in kept.collect()} == {"clash"}
+    as_text = set_join.near_duplicates(df.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 5, "0"))), percent=percent, k=k).collect()
+    assert sorted((null(r.doc and int(r.doc[1:])), r.n_shingles, null(r.component and int(r.component[1:]))) for r in as_text) == want
     empty = sum(not s for s in _sets(rows, k))
     assert kept.count() == len({c for _, n, c in want if n}) + empty
     assert set_join.near_duplicates(df.limit(0)).count() == 0
@@ -216,17 +219,25 @@ def _without_repeats(rows, width):
 
 
 @pytest.mark.parametrize(("width", "split", "letters"), [(8, 256, "ab"), (12, 3, "abc"), (20, 2, "abcdé")])
-def test_repeats(spark, width, split, letters):
+def test_repeats(spark, monkeypatch, width, split, letters):
     random.seed(width)
     base = ["".join(random.choice(letters) for _ in range(60)) for _ in range(8)]
     cut = lambda: random.choice(base)[random.randint(0, 50) :][: random.randint(1, 40)]
     fresh = lambda: "".join(random.choice("abcdefghij") for _ in range(random.randint(0, 30)))
     rows = [(i, "".join(cut() if random.random() < 0.6 else fresh() for _ in range(random.randint(0, 4)))) for i in range(100)]
     rows += [(200, None), (200, None), (201, ""), (None, "abc" * 10), (None, "abc" * 10), (5, rows[5][1]), (300, "a" * 500)]
-    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("key", "body", "cuts", "lo")})
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("key", "body", "cuts", "lo", "tag")})
     got = suffix_dedup.without_repeats(df, width=width, split=split)
     assert sorted(map(tuple, got.collect()), key=str) == _without_repeats(rows, width)
     assert suffix_dedup.without_repeats(df.limit(0)).count() == 0
+    # Every string decided by the sort, and with anchors dealt over groups as if they were hot.
+    sorted_all = suffix_dedup.without_repeats(df, width=width, split=split, everything=True)
+    assert sorted(map(tuple, sorted_all.collect()), key=str) == _without_repeats(rows, width)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 1.0)
+    monkeypatch.setattr(suffix_dedup, "HOT_SEEN", 1)
+    for everything in (False, True):
+        dealt = suffix_dedup.without_repeats(df, width=width, split=split, everything=everything)
+        assert sorted(map(tuple, dealt.collect()), key=str) == _without_repeats(rows, width)
 
 
 def test_suffix_order():
