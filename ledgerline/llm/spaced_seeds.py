@@ -36,6 +36,8 @@ MISMATCH = 4
 BLOCK_TOKENS = 2_000_000
 #: Slots of the table that first sifts the seeds of documents.
 SIFT_BITS = 22
+#: Hits whose alignments are in memory at a time, about.
+HITS = 1_000_000
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +92,26 @@ class SeedIndex:
             lefts.append(left[hit])
             rights.append(right[hit])
         spot, left, right = np.concatenate(spots), np.concatenate(lefts), np.concatenate(rights)
-        many = right - left
+        # In order of their place in the texts, so many hits at a time: a seed that both sides have often takes time, not memory.
+        order = np.argsort(spot, kind="stable")
+        spot, left, many = spot[order], left[order], (right - left)[order]
+        ends = np.cumsum(many)
+        best: dict[tuple[int, int], tuple[int, int, float]] = {}
+        lo = 0
+        while lo < len(spot):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HITS, side="right")))
+            self._align(tokens, offsets, spot[lo:hi], left[lo:hi], many[lo:hi], best)
+            lo = hi
+        return [(r, i, *v) for (r, i), v in best.items()]
+
+
+    def _align(self, tokens: np.ndarray, offsets: np.ndarray, spot: np.ndarray, left: np.ndarray, many: np.ndarray, best: dict) -> None:
+        """Puts the longest overlap of each row and item along the alignments of these hits into best, if it is long enough."""
         place = self.place[np.repeat(left - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
         spot = np.repeat(spot, many)
         item = np.searchsorted(self.offsets, place, side="right") - 1
         row = np.searchsorted(offsets, spot, side="right") - 1
         lines = np.unique(np.stack([row, item, spot - place]), axis=1)
-        best: dict[tuple[int, int], tuple[int, int, float]] = {}
         for r, i, shift in lines.T.tolist():
             a, b = self.offsets[i : i + 2]
             lo, hi = max(a, offsets[r] - shift), min(b, offsets[r + 1] - shift)
@@ -105,7 +120,6 @@ class SeedIndex:
             matched, length = _stretch(tokens[lo + shift : hi + shift] == self.tokens[lo:hi])
             if matched >= min(MIN_MATCHED, MIN_SHARE * (b - a)) and matched > best.get((r, i), (0,))[0]:
                 best[r, i] = (matched, length, matched / float(b - a))
-        return [(r, i, *v) for (r, i), v in best.items()]
 
 
 def _stretch(equal: np.ndarray) -> tuple[int, int]:

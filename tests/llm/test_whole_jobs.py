@@ -63,3 +63,56 @@ def test_unlinked_rows_under_one_id_all_stay(spark):
     ends = [(d, t) for d, t in kept if t and d == 7 and t.startswith("e0")]
     assert len(ends) == 1  # either of two near copies under one id
     assert sorted([x for x in kept if x not in ends], key=str) == sorted([(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (9, None), (None, ""), (None, "")], key=str)
+
+
+@pytest.mark.parametrize("hits", [1, 1_000_000])
+def test_overlaps_equal_brute_force(monkeypatch, hits):
+    """Every text against every item along every alignment with a whole seed: nothing is lost and nothing is added, however few hits are held."""
+    monkeypatch.setattr(spaced_seeds, "HITS", hits)
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(12)])
+    items = [" ".join(rng.choice(words, rng.integers(3, 24))) for _ in range(12)] + [None, "", "w1 " * 30]
+    texts = []
+    for _ in range(60):
+        t = list(rng.choice(words, rng.integers(0, 50)))
+        if rng.random() < 0.6:
+            part = items[rng.integers(0, 12)].split()
+            for _ in range(rng.integers(0, 4)):
+                part[rng.integers(0, len(part))] = "other"
+            t[len(t) // 2 : len(t) // 2] = part
+        texts.append(" ".join(t))
+    texts += [None, "", "w1 " * 60, texts[0], "x" * 50_000]
+    got = {(r, i): m for r, i, m, _, _ in spaced_seeds.SeedIndex(list(enumerate(items))).find(pa.array(texts))}
+    want = {}
+    for r, t in enumerate(texts):
+        for i, item in enumerate(items):
+            a, b = (t or "").split(), (item or "").split()
+            for shift in range(-len(b), len(a)):
+                lo, hi = max(0, -shift), min(len(b), len(a) - shift)
+                equal = [a[k + shift] == b[k] for k in range(lo, hi)]
+                seeded = any(all(equal[o + k] for k, c in enumerate(m) if c == "1") for m in spaced_seeds.MASKS for o in range(len(equal) - len(m) + 1))
+                if seeded and (n := _best_stretch(equal)) >= min(13, 0.8 * len(b)):
+                    want[r, i] = max(want.get((r, i), 0), n)
+    assert got == want and len(want) > 20
+
+
+def test_null_and_repeated_documents_of_the_pipeline(spark, tmp_path):
+    """Every stage on documents with nulls in any column, empty and very long texts, repeated rows, and none at all."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i}" for i in range(120_000))
+    fine = " ".join(f"plain{i}" for i in range(80))
+    rows = [(1, fine, "en", "s", 9), (1, fine, "en", "s", 9), (None, fine + " more", None, None, None), (None, None, None, None, None), (3, "", "en", "s", 0), (4, long, None, "s", None), (5, fine.replace("plain", "other"), "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for start in (docs, docs.limit(0), docs.withColumn("key", docs.text).withColumn("label", docs.lang).withColumn("row", docs.source)):
+        step = start
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            step = stage(spark, step, "/root/testdata/sf0.001")
+            assert step.columns == start.columns, name
+            folder = str(tmp_path / f"{len(list(tmp_path.iterdir()))}")
+            step.write.parquet(folder)
+            step = spark.read.parquet(folder)
+        kept = sorted((r.doc_id, len(r.text)) for r in step.collect())
+        assert kept == ([] if start is not docs and "key" not in start.columns else [(1, len(fine)), (4, len(long)), (5, len(fine))])
+        pieces = corpus_pipeline.STAGES[4][1](spark, step, "/root/testdata/sf0.001").collect()
+        assert {r.doc_id for r in pieces} == {d for d, _ in kept} and all(0 < r.length <= 4096 for r in pieces)
