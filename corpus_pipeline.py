@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with all their
 columns; the last returns the packed pieces.  STAGES can be run one by one with the
 result of each stored as Parquet, or at once by ``run``.
+
+Defined cases: documents with a null or empty text, or with few words, fail the quality rules and
+go; null ids, languages and sources stay as they are; of rows of one near-duplicate group the one
+with the least id stays, of equal rows any one; very long texts are read whole by every stage; an
+empty table goes through all stages; further columns, whatever their names, are kept up to packing.
 """
 
 from __future__ import annotations
