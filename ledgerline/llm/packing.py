@@ -22,8 +22,10 @@ packed each; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ KNOWN_PIECES = 600_000
 SLICE = 1 << 20
 #: Lengths and fillings that the search looks at before the incumbent stands; some seconds of the driver.
 BUDGET = 3_000_000
+#: Branching points above the current one whose fillings are held in memory.
+LIVE = 8
 
 
 class WordTokens:
@@ -339,7 +343,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, budget: int | None =
     total = sum(s * c for s, c in counts.items())
     left = {s: c for s, c in counts.items() if c}
     trail: Plan = []
-    seen: dict[tuple, int] = {}  # fewest sequences after which these lengths were left
+    seen: dict[bytes, int] = {}  # fewest sequences after which these lengths (their digest) were left
     steps = [0]
 
     def take(filling: list[tuple[int, int]], times: int) -> None:
@@ -359,14 +363,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, budget: int | None =
             for times in range(min((rest[s] + (s == top)) // k for s, k in whole.items()), 0, -1):
                 yield list(whole.items()), times
 
-    choices: list[tuple[int, int, int, Iterator]] = [(0, 0, 0, options(0))]  # sequences and waste so far, length of the trail, what is still to try
+    # Sequences and waste so far, length of the trail, how much has been tried, and what is still to try; made anew where the search comes back from far below.
+    choices: list[list] = [[0, 0, 0, 0, options(0)]]
     while choices:
         if budget is not None and steps[0] > budget:
             return best, False
-        made, waste, depth, tries = choices[-1]
+        made, waste, depth, tried, tries = choices[-1]
         while len(trail) > depth:
             take(trail[-1][0], -trail.pop()[1])
+        if tries is None:
+            choices[-1][4] = tries = islice(options(waste), tried, None)
         chosen = next(tries, None)
+        choices[-1][3] += 1
         steps[0] += 1
         if chosen is None:
             choices.pop()
@@ -382,12 +390,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, budget: int | None =
             if used <= bound:
                 return best, True
             continue
-        state = tuple(sorted(left.items()))
-        steps[0] += len(state)
+        state = hashlib.blake2b(np.array(sorted(left.items()), np.int64).tobytes(), digest_size=16).digest()
+        steps[0] += len(left)
         if seen.get(state, used) <= made + times:
             continue
         seen[state] = made + times
-        choices.append((made + times, lost, len(trail), options(lost)))
+        choices.append([made + times, lost, len(trail), 0, options(lost)])
+        if len(choices) > LIVE:
+            choices[-1 - LIVE][4] = None
     return best, True
 
 
