@@ -235,32 +235,45 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int, k: int) -> Data
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
-    """left join on one column, in which the rows of a value that many have are dealt over several tasks by another column."""
+    """Left join of a stored table on one column, in which the rows of a value that many have are dealt over several tasks by another column."""
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = left.groupBy(on).agg(F.count("*").alias("_n"))
-    total = counted.agg(F.greatest(F.sum("_n"), F.lit(1)).alias("_total"))
+    total = left.count()
     # Values with more than an eighth of a partition's share: at most 8 n of them.
-    hot = counted.crossJoin(F.broadcast(total)).filter(8 * n * F.col("_n") > F.col("_total")).select(on, F.ceil(8 * n * F.col("_n") / F.col("_total")).cast("int").alias("_salts"))
-    hot = F.broadcast(hot)
+    rows = left.groupBy(on).agg(F.count("*").alias("n")).filter(8 * n * F.col("n") > total).filter("n > 64").collect()
+    if not rows:
+        return left.join(right, on, "left")
+    hot = F.broadcast(left.sparkSession.createDataFrame([(r[on], -(-8 * n * r["n"] // total)) for r in rows], f"{on} long, _salts int"))
     dealt = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     copied = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return dealt.join(copied, [on, "_salt"], "left").drop("_salt")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """key and the least key of its component, for keys with a link (x, y); labels fall along links and jump along labels until none changes."""
-    both = links.select(F.col("x").alias("key"), F.col("y").alias("other")).union(links.select(F.col("y"), F.col("x"))).distinct()
-    both = materialise(both)
-    label = materialise(both.groupBy("key").agg(F.least(F.col("key"), F.min("other")).alias("label")))
-    while True:
-        near = both.join(label.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("label").alias("near"))
-        step = materialise(label.join(near, "key", "left").select("key", "label", F.least("label", "near").alias("next")))
-        # Labels that are keys with a lower label themselves; all other rows have arrived.
-        jump = label.filter("label < key").select(F.col("key").alias("next"), F.col("label").alias("far"))
-        step = materialise(spread_join(step, jump, "next", "key").select("key", F.col("label").alias("old"), F.least("next", "far").alias("label")))
-        label = step.select("key", "label")
-        if step.filter("label < old").isEmpty():
-            return label
+    """key and the least key of its component, for keys with a link (x, y).
+
+    Every key points to its least neighbour, pointers are followed to their roots, and links are drawn
+    between roots instead; at least half of the keys with a link are gone after each round.
+    """
+    edges = materialise(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x < y").distinct())
+    rounds = []
+    while not edges.isEmpty():
+        ends = edges.select(F.col("x").alias("key"), F.col("y").alias("other")).union(edges.select("y", "x"))
+        label = materialise(ends.groupBy("key").agg(F.least("key", F.min("other")).alias("label")))
+        moved = True
+        while moved:
+            up = label.filter("label < key").select(F.col("key").alias("label"), F.col("label").alias("far"))
+            step = materialise(spread_join(label, up, "label", "key").select("key", F.col("label").alias("old"), F.coalesce("far", "label").alias("label")))
+            label, moved = step.select("key", "label"), not step.filter("label < old").isEmpty()
+        rounds.append(label)
+        one = spread_join(edges, label.select(F.col("key").alias("x"), F.col("label").alias("a")), "x", "y")
+        both = spread_join(materialise(one), label.select(F.col("key").alias("y"), F.col("label").alias("b")), "y", "x")
+        edges = materialise(both.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).filter("x < y").distinct())
+    if not rounds:
+        return edges.select(F.col("x").alias("key"), F.col("y").alias("label"))
+    label = rounds[0]
+    for later in rounds[1:]:
+        label = materialise(spread_join(label, later.select(F.col("key").alias("label"), F.col("label").alias("far")), "label", "key").select("key", F.coalesce("far", "label").alias("label")))
+    return label
 
 
 def _keyed(doc_id: str, text: str) -> list[Column]:
