@@ -47,6 +47,8 @@ GROUPS = 4
 USAGE_BITS = 22
 #: Bytes of text whose words are in memory at a time.
 SLICE = 4 << 20
+#: Links that one task turns into stars, about.
+TASK_LINKS = 1_000_000
 
 TOKEN = np.dtype([("token", "<u4"), ("key", "<i8"), ("known", "u1")])
 COUNT = np.dtype([("key", "<i8"), ("shared", "<i4")])
@@ -248,26 +250,69 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFram
     return dealt.join(copied, [on, "_salt"], "left").drop("_salt")
 
 
+def _stars(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """The components of some links, as links from the least key of each to its other keys."""
+    keys, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = number[: len(x)], number[len(x) :]
+    root = np.arange(len(keys))
+    while True:
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = lo < hi
+        if not apart.any():
+            break
+        np.minimum.at(root, hi[apart], lo[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    other = root < np.arange(len(keys))
+    return pa.RecordBatch.from_arrays([pa.array(keys[root[other]], pa.int64()), pa.array(keys[other], pa.int64())], names=["x", "y"])
+
+
+@giving_back
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= 2 * TASK_LINKS:
+            yield _stars(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in (0, 1)))
+            held, rows = [], 0
+    if rows:
+        yield _stars(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in (0, 1)))
+
+
+def _fewer(links: DataFrame) -> DataFrame:
+    """Links of the same components: those that meet in a task become stars.  A task has about TASK_LINKS links, so tasks grow with the links."""
+    tasks = -(-links.count() // TASK_LINKS)
+    stars = links.coalesce(max(1, tasks)).mapInArrow(_contracted, "x long, y long")
+    return materialise(stars.distinct() if tasks > 1 else stars)
+
+
 def components(links: DataFrame) -> DataFrame:
     """key and the least key of its component, for keys with a link (x, y).
 
-    Every key points to its least neighbour, pointers are followed to their roots, and links are drawn
-    between roots instead; at least half of the keys with a link are gone after each round.
+    Links that meet in a task become stars first.  Then every key points to its least neighbour, pointers are
+    followed to their roots, and links are drawn between roots instead, until none is left: every key with a
+    lesser neighbour is gone after a round.
     """
-    edges = materialise(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x < y").distinct())
+    edges = _fewer(materialise(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x < y")))
     rounds = []
     while not edges.isEmpty():
         ends = edges.select(F.col("x").alias("key"), F.col("y").alias("other")).union(edges.select("y", "x"))
         label = materialise(ends.groupBy("key").agg(F.least("key", F.min("other")).alias("label")))
-        moved = True
-        while moved:
+        while True:
             up = label.filter("label < key").select(F.col("key").alias("label"), F.col("label").alias("far"))
-            step = materialise(spread_join(label, up, "label", "key").select("key", F.col("label").alias("old"), F.coalesce("far", "label").alias("label")))
-            label, moved = step.select("key", "label"), not step.filter("label < old").isEmpty()
+            # Labels that point further themselves; each once, so that a label which many keys have is no hot key.
+            far = materialise(label.filter("label < key").select("label").distinct().join(up, "label"))
+            if far.isEmpty():
+                break
+            label = materialise(spread_join(label, far, "label", "key").select("key", F.coalesce("far", "label").alias("label")))
         rounds.append(label)
         one = spread_join(edges, label.select(F.col("key").alias("x"), F.col("label").alias("a")), "x", "y")
         both = spread_join(materialise(one), label.select(F.col("key").alias("y"), F.col("label").alias("b")), "y", "x")
         edges = materialise(both.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).filter("x < y").distinct())
+        if not edges.isEmpty():
+            edges = _fewer(edges)
     if not rounds:
         return edges.select(F.col("x").alias("key"), F.col("y").alias("label"))
     label = rounds[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from itertools import combinations
 
 import numpy as np
@@ -116,3 +117,22 @@ def test_null_and_repeated_documents_of_the_pipeline(spark, tmp_path):
         assert kept == ([] if start is not docs and "key" not in start.columns else [(1, len(fine)), (4, len(long)), (5, len(fine))])
         pieces = corpus_pipeline.STAGES[4][1](spark, step, "/root/testdata/sf0.001").collect()
         assert {r.doc_id for r in pieces} == {d for d, _ in kept} and all(0 < r.length <= 4096 for r in pieces)
+
+
+def test_components_of_links(spark, monkeypatch):
+    """Chains, a hub above its leaves, rings and random links, in one task and in many, against a plain union of sets."""
+    rng = random.Random(8)
+    links = [(k, k + 1) for k in range(0, 60)] + [(500, k) for k in range(200, 260)] + [(700, 701), (701, 702), (702, 700), (9, 9)]
+    links += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(110)]
+    rng.shuffle(links)
+    of = {}
+    for x, y in links:
+        if x != y:
+            both = of.get(x, {x}) | of.get(y, {y})
+            of.update(dict.fromkeys(both, both))
+    want = sorted((k, min(v)) for k, v in of.items())
+    for per_task in (1_000_000, 40):
+        monkeypatch.setattr(set_join, "TASK_LINKS", per_task)
+        found = set_join.components(spark.createDataFrame(links, "x long, y long").repartition(7))
+        assert sorted((r.key, r.label) for r in found.collect()) == want
+    assert set_join.components(spark.createDataFrame([], "x long, y long")).count() == 0
