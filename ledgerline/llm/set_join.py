@@ -327,6 +327,17 @@ def _keyed(doc_id: str, text: str) -> list[Column]:
     return [F.xxhash64(F.col(doc_id), body), F.hash(body, F.col(doc_id), F.lit("row"))]
 
 
+def of_rows(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
+    """What near_duplicates returns, from the rows' sets, the classes' numbers and the labels of linked classes."""
+    named = classes.select("a", "b", "n", F.col("number").alias("key")).join(label, "key", "left").select("a", "b", "n", F.coalesce("label", "key").alias("label"))
+    known = rows.select("key", "tag", "a", "b", "n").distinct().join(named, ["a", "b", "n"], "left").select("key", "tag", "n", "label")
+    key, tag = _keyed(doc_id, text)
+    found = materialise(docs.select(key.alias("key"), tag.alias("tag"), F.col(doc_id).alias("doc")).join(known, ["key", "tag"]))
+    least = found.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc").alias("component"))
+    done = spread_join(found, least, "label", "key")
+    return done.select("key", "tag", "doc", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"), "label")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """key, tag (hashes of id and text), doc (the id as given), n_shingles, component (least id reachable by links) and label of every row.
 
@@ -371,13 +382,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = _verified(near.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct(), bodies, percent, k)
     label = components(links.union(more))
 
-    named = classes.select("a", "b", "n", F.col("number").alias("key")).join(label, "key", "left").select("a", "b", "n", F.coalesce("label", "key").alias("label"))
-    known = rows.select("key", "tag", "a", "b", "n").distinct().join(named, ["a", "b", "n"], "left").select("key", "tag", "n", "label")
-    key, tag = _keyed(doc_id, text)
-    found = materialise(docs.select(key.alias("key"), tag.alias("tag"), F.col(doc_id).alias("doc")).join(known, ["key", "tag"]))
-    least = found.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc").alias("component"))
-    done = spread_join(found, least, "label", "key")
-    return done.select("key", "tag", "doc", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"), "label")
+    return of_rows(docs, doc_id, text, rows, classes, label)
 
 
 def _possible_flat(percent: int) -> Column:
