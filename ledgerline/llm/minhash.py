@@ -11,7 +11,9 @@ low ``BITS`` bits of every minimum are packed into a signature, one bit plane af
 * Then bands that hold classes of different components are compared inside: in tiles of bounded
   size, pairs of different components whose sizes allow it.  Only candidates whose similarity,
   estimated by counting equal places in the packed signatures and corrected for the places that
-  agree by chance (one in 2^BITS), comes near the threshold leave the tile.
+  agree by chance (one in 2^BITS), comes near the threshold leave the tile; of these again only
+  those whose parities (``PARITY`` bits that each shingle flips one of) allow a link: the bits in
+  which two sets differ are never more than the shingles in which they do.
 * Every candidate is confirmed on the whole sets.
 
 A pair at the threshold of 0.8 is missed by all 38 bands of 5 rows with a chance of 3e-7, and
@@ -45,6 +47,8 @@ BANDS = HASHES // ROWS
 MARGIN = 0.22
 #: Classes of one band value that one task compares with so many others.
 TILE = 4096
+#: Bits of a set's parities.
+PARITY = 2048
 #: Shingles hashed at a time.
 CHUNK = 1 << 14
 
@@ -101,8 +105,23 @@ def estimated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((HASHES - differ) / HASHES - chance) / (1 - chance)
 
 
+def parities(token: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set, of which of its PARITY groups of shingles it has an odd number."""
+    n = len(offsets) - 1
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    odd = np.bincount(row * PARITY + (bw.mix(token ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(PARITY)).astype(np.int64), minlength=n * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, PARITY), axis=1).view("<u8")
+
+
+def apart(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Whether parities show that sets of these sizes differ in too many shingles for a link."""
+    total = nx.astype(np.int64) + ny
+    shared = -(-percent * total // (100 + percent))
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) > total - 2 * shared
+
+
 def _described(k: int):
-    """Each row's set size, identity, signature and bands."""
+    """Each row's set size, identity, signature, parities and bands."""
 
     @giving_back
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +137,11 @@ def _described(k: int):
                 _, first, copy = np.unique(np.stack(names, axis=1), axis=0, return_index=True, return_inverse=True)
                 least = np.stack([minima(token[offsets[i] : offsets[i + 1]]) for i in first]) if len(first) else np.zeros((0, HASHES), np.uint32)
                 packed, values = (np.ascontiguousarray(f(least))[copy.ravel()] for f in (signature, bands))
+                odd = parities(token, offsets)
                 blob = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n.astype(np.int32)), *map(pa.array, names), blob(packed), pa.FixedSizeListArray.from_arrays(pa.array(values.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))],
-                    names=["key", "tag", "n", "a", "b", "packed", "bands"],
+                    [part.column(0), part.column(1), pa.array(n.astype(np.int32)), *map(pa.array, names), blob(packed), blob(odd), pa.FixedSizeListArray.from_arrays(pa.array(values.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))],
+                    names=["key", "tag", "n", "a", "b", "packed", "odd", "bands"],
                 )
 
     return describe
@@ -134,7 +154,7 @@ def _tile(percent: int):
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("n")
         key, label, n, side = (table.column(c).to_numpy() for c in ("key", "label", "n", "side"))
-        packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), "<u8").reshape(len(key), -1)
+        packed, odd = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<u8").reshape(len(key), -1) for c in ("packed", "odd"))
         # Sides: 0 and 1 in a tile of two blocks, 2 in the tile of one block with itself.
         until = np.searchsorted(n, (n * 100) // percent, side="right")
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -142,11 +162,13 @@ def _tile(percent: int):
             hi = min(lo + 64, len(key))
             top = int(until[lo:hi].max())
             j = np.arange(lo, top)
-            apart = (label[lo:hi, None] != label[None, j]) & (j[None, :] > np.arange(lo, hi)[:, None]) & (j[None, :] < until[lo:hi, None]) & ((side[lo:hi, None] != side[None, j]) | (side[lo:hi, None] == 2))
-            i, at = np.nonzero(apart)
+            open_ = (label[lo:hi, None] != label[None, j]) & (j[None, :] > np.arange(lo, hi)[:, None]) & (j[None, :] < until[lo:hi, None]) & ((side[lo:hi, None] != side[None, j]) | (side[lo:hi, None] == 2))
+            i, at = np.nonzero(open_)
             for part in range(0, len(i), 1 << 18):
                 x, y = i[part : part + (1 << 18)] + lo, j[at[part : part + (1 << 18)]]
                 like = estimated(packed[x], packed[y]) >= percent / 100 - MARGIN
+                x, y = x[like], y[like]
+                like = ~apart(odd[x], odd[y], n[x], n[y], percent)
                 xs.append(x[like])
                 ys.append(y[like])
         x, y = key[np.concatenate(xs)], key[np.concatenate(ys)]
@@ -159,13 +181,13 @@ def _inside(entries: DataFrame, classes: DataFrame, label: DataFrame, percent: i
     """Candidates of different components that share a band's value, by estimate."""
     marked = entries.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     open_ = marked.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).filter("lo < hi").select("band", "many")
-    held = marked.join(open_, "band").join(classes.select(F.col("number").alias("key"), "n", "packed"), "key")
+    held = marked.join(open_, "band").join(classes.select(F.col("number").alias("key"), "n", "packed", "odd"), "key")
     # A value that more than TILE classes have is cut into blocks; each pair of blocks is a tile.
     blocks = F.ceil(F.col("many") / TILE).cast("int")
     held = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), F.when(o == F.col("block"), 2).when(o < F.col("block"), 1).otherwise(0).alias("side"))))
-    whole = held.filter("blocks = 1").select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "key", "label", "n", "packed")
-    tiles = held.filter("blocks > 1").select("band", tile.alias("t"), "key", "label", "n", "packed").select("band", "t.i", "t.j", "t.side", "key", "label", "n", "packed")
+    whole = held.filter("blocks = 1").select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "key", "label", "n", "packed", "odd")
+    tiles = held.filter("blocks > 1").select("band", tile.alias("t"), "key", "label", "n", "packed", "odd").select("band", "t.i", "t.j", "t.side", "key", "label", "n", "packed", "odd")
     return whole.union(tiles).groupBy("band", "i", "j").applyInArrow(_tile(percent), "x long, y long").distinct()
 
 
@@ -174,18 +196,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     key, tag = sj._keyed(doc_id, text)
     keyed = docs.select(key.alias("key"), tag.alias("tag"), body.alias("body"))
-    rows = materialise(keyed.mapInArrow(_described(k), "key long, tag int, n int, a long, b long, packed binary, bands array<long>"))
+    rows = materialise(keyed.mapInArrow(_described(k), "key long, tag int, n int, a long, b long, packed binary, odd binary, bands array<long>"))
     one = F.min(F.struct("key", "tag")).alias("first")
     classes = rows.filter("n > 0").groupBy("a", "b", "n").agg(one).select("a", "b", "n", "first.key", "first.tag")
-    known = rows.dropDuplicates(["key", "tag"]).select("key", "tag", "packed", "bands")
+    known = rows.dropDuplicates(["key", "tag"]).select("key", "tag", "packed", "odd", "bands")
     classes = materialise(classes.join(known, ["key", "tag"]).withColumn("number", F.monotonically_increasing_id()))
 
     entries = classes.select(F.col("number").alias("key"), F.explode("bands").alias("band"))
     heads = entries.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("last")).filter("head < last").select("band", "head")
     entries = materialise(entries.join(heads, "band"))
-    told = classes.select(F.col("number").alias("number"), "n", "packed")
+    told = classes.select("number", "n", "packed", "odd")
     pairs = entries.filter("head < key").select(F.col("head").alias("x"), F.col("key").alias("y")).distinct()
-    signs = pairs.join(told.toDF("x", "nx", "px"), "x").join(told.toDF("y", "ny", "py"), "y").filter(f"least(nx, ny) * 100 >= greatest(nx, ny) * {percent}")
+    signs = pairs.join(told.toDF("x", "nx", "px", "ox"), "x").join(told.toDF("y", "ny", "py", "oy"), "y").filter(f"least(nx, ny) * 100 >= greatest(nx, ny) * {percent}")
     near = signs.mapInArrow(_estimated(percent), "x long, y long")
     # Only texts that meet another one are read again.
     met = entries.select(F.col("key").alias("number")).distinct()
@@ -201,8 +223,9 @@ def _estimated(percent: int):
     @giving_back
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("px", "py"))
-            near = estimated(x, y) >= percent / 100 - MARGIN
+            of = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            x, y, ox, oy = (np.frombuffer(b"".join(of(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("px", "py", "ox", "oy"))
+            near = (estimated(x, y) >= percent / 100 - MARGIN) & ~apart(ox, oy, of("nx").to_numpy(), of("ny").to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("x", "y")], names=["x", "y"]).filter(pa.array(near))
 
     return keep

@@ -8,7 +8,8 @@ longest common subsequence, and lines in common are template and go.
 Markup breaks ties.  A template line that only one page has is shared with nobody: lines in
 elements that are navigation, header, footer, sidebar, advert, notice, form or reader comments
 by their name, role or class go as well.  A line inside an article or main element stays though a
-neighbour repeats it, since passages of articles are quoted.
+neighbour repeats it, since passages of articles are quoted; there only elements and whole names
+that leave no doubt mark (``INSIDE``), and the article's own header is its text.
 
 Two pages are copies if the lines in common are COPY_SHARE of the content of both; content is
 what stands in article or main elements, or in no marked part where there are none.
@@ -51,7 +52,7 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\s(hidden|aria-hidden\s*=\s*["']?true)(?=[\s/>"']|$)""", re.IGNORECASE)
 
-# Names of HTML elements and of the parts of a page.
+# Names of HTML elements, and names that pages give to their parts: the latter are this operator's own choice.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody tfoot thead tr ul".split())
 CELLS = frozenset("br td th wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,10 +62,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 PARTS = frozenset("ad ads advert adverts advertisement sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent newsletter pagination comments".split())
 #: Parts by the whole of a class or id alone.
 WHOLE = frozenset("header notice notification alert popup modal overlay subscribe signup social share sharing comment disqus respond reply replies related recommended pager login search toolbar copyright".split())
+#: Parts inside an article, by the whole of a class or id: only what is no text of an article whatever its subject.
+INSIDE = frozenset("ad ads ad-slot ad-box ad-unit advert adverts advertisement sponsored promo newsletter newsletter-signup signup-form comments comment-list comment-form disqus_thread related-articles related-posts share-buttons social-share cookie-banner cookie-notice".split())
+#: Elements that are part of an article's text when they stand inside it.
+KEPT_INSIDE = frozenset("header fieldset".split())
 CLOSES_P = BLOCKS - {"body", "html"}
 
 
-def _named_part(attrs: str) -> bool:
+def _named_part(attrs: str, inside: bool = False) -> bool:
+    """Whether a class, id or role says that an element is no content; inside an article only a whole name that leaves no doubt does."""
     for m in NAMES.finditer(attrs):
         if m[5]:
             return True
@@ -74,6 +80,10 @@ def _named_part(attrs: str) -> bool:
                 return True
             continue
         for name in value.split():
+            if inside:
+                if name in INSIDE:
+                    return True
+                continue
             words = name.replace("_", "-").split("-")
             if name in WHOLE or words[0] in PARTS or words[-1] in PARTS:
                 return True
@@ -142,9 +152,9 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if tag in ("article", "main"):
             if dropped and not seen_article:
                 close(dropped[0])
-            what = MARKED if tag == "article" and seen_article and _named_part(attrs) else ARTICLE
+            what = MARKED if tag == "article" and seen_article and _named_part(attrs, article > 0) else ARTICLE
             seen_article = True
-        elif tag in DROPPED or (len(attrs) > 4 and tag not in ("body", "html") and _named_part(attrs)):
+        elif (tag in DROPPED and not (article and tag in KEPT_INSIDE)) or (len(attrs) > 4 and tag not in ("body", "html") and _named_part(attrs, article > 0)):
             what = MARKED
         where.setdefault(tag, []).append(len(stack))
         if block:

@@ -25,6 +25,18 @@ def test_lines():
     assert page_diff.lines("a < b &lt;c") == [("a < b <c", PLAIN)]
 
 
+def test_text_of_an_article_stays_whatever_its_class_words():
+    kept = [
+        '<section class="ad-hoc-report"><p>KEPT</p></section>', '<p class="menu-prices">KEPT</p>', '<div id="banner-year">KEPT</div>', '<div class="sidebar-note">KEPT</div>', '<div class="social">KEPT</div>', "<fieldset>KEPT</fieldset>",
+        "<header><h1>KEPT</h1></header>", '<p class="notice">KEPT</p>', '<div class="subscribe">KEPT</div>',
+    ]
+    gone = ['<div class="ad-slot">GONE</div>', '<ul class="comments"><li>GONE</ul>', '<aside>GONE</aside>', "<form>GONE</form>", "<nav>GONE</nav>", '<div class="box advertisement">GONE</div>', "<footer>GONE</footer>", '<p hidden>GONE</p>', '<div role="navigation">GONE</div>']
+    for around in ("article", "main"):
+        for snippet in kept + gone:
+            text = [t for t, kind in page_diff.lines(f"<{around}><p>before</p>{snippet}<p>after</p></{around}>") if kind != page_diff.MARKED]
+            assert text == (["before", "KEPT", "after"] if snippet in kept else ["before", "after"]), snippet
+
+
 def test_class_words_do_not_cut_articles():
     page = '<article><section class="related-work"><p>Related work matters</p></section><div class="story-comment-body"><p>text</p></div><div class="ad-slot">buy</div><ul class="comments"><li>first!</ul></article>'
     assert [t for t, k in page_diff.lines(page) if k == ARTICLE] == ["Related work matters", "text"]
