@@ -16,6 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import packing, quality_ledger, secret_spans, set_join, spaced_seeds
+from ledgerline.llm.shared import materialise
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -58,7 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents.  What a stage keeps is stored before the next one reads it, several times if it must: no stage is computed twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if k == 0 else materialise(docs), sf_dir)
     return docs
