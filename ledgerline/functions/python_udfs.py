@@ -92,3 +92,9 @@ def link_density(page: str | None) -> dict:
 @F.pandas_udf(T.StructType().add("anchor", "long").add("other", "long"))
 def anchor_density(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([link_density(p) for p in pages], columns=["anchor", "other"])
+
+
+@F.pandas_udf(T.StringType())
+def pretty_json(texts: pd.Series) -> pd.Series:
+    """JSON over several lines, two blanks a level."""
+    return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False, sort_keys=True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # MIME prefixes of structured text and of binary content.
@@ -62,6 +62,12 @@ def url_path(url: Column) -> Column:
     return F.when(p == "", "/").otherwise(p)
 
 
+def hostless(url: Column) -> Column:
+    """What follows the host of an address; all of it if it has none."""
+    rest = F.regexp_extract(url, r"(?s)://[^/]*(/.*)\z", 1)
+    return F.when(~url.contains("://"), url).when(rest == "", "/").otherwise(rest)
+
+
 def shortened(path: Column, limit: int = 80) -> Column:
     return F.when(F.length(path) <= limit, path).otherwise(F.concat(F.substring(path, 1, limit - 1), F.lit("…")))
 
@@ -74,11 +80,23 @@ def stripped_html(page: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+# A reference ends within nine bytes of its ampersand.
+_REFERENCE = "&(?:" + "|".join(ENTITIES) + "|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
+
+
+def _character(reference: Column) -> Column:
+    """What a reference stands for; a number that is no character (a surrogate, or beyond the last one) stays as it is."""
+    named = F.get(F.array(*[F.lit(v) for v in ENTITIES.values()]), F.array_position(F.array(*[F.lit(f"&{n};") for n in ENTITIES]), reference).cast("int") - 1)
+    digits = F.regexp_extract(reference, "([0-9a-fA-F]+);$", 1)
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+    sound = (code < 0xD800) | code.between(0xE000, 0x10FFFF)
+    numeric = F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.coalesce(F.when(reference.contains("#"), numeric).otherwise(named), reference)
+
+
 def decoded(t: Column) -> Column:
-    """Named references in one pass each, the ampersand last so that nothing is decoded twice."""
-    for name, value in [(n, v) for n, v in ENTITIES.items() if n != "amp"]:
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(value))
-    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+    """References replaced, each once: what a decoded ampersand begins is not decoded again."""
+    return F.array_join(F.zip_with(F.split(t, _REFERENCE, -1), F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)), lambda part, r: F.concat(part, F.coalesce(F.when(r.isNull(), ""), _character(r)))), "")
 
 
 def relevance_words(*texts: Column) -> Column:
@@ -109,8 +127,57 @@ def status_class(code: Column) -> Column:
     return F.when(code == 401, "host_requires_auth").when(code == 403, "host_blocked_by_waf").when(code.between(400, 499), "url_shape_mismatch").otherwise("host_unreachable")
 
 
-def near_miss(word: Column, allowed: Column) -> Column:
-    """The only allowed word at one edit or one swap of neighbours from the word; null if none or several."""
-    swapped = lambda a: F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == word)
-    near = F.filter(allowed, lambda a: (F.levenshtein(a, word) == 1) | swapped(a))
-    return F.when(F.size(near) == 1, F.element_at(near, 1))
+def _one_left_out(word: Column) -> Column:
+    """A word and what is left of it without each one of its letters."""
+    n = F.length(word)
+    return F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))), word))
+
+
+def _swapped(a: Column, b: Column) -> Column:
+    """Whether two words of one length differ by a swap of neighbours."""
+    at = lambda w, i: F.substr(w, i, F.lit(1))
+    spot = lambda i: F.concat(F.substr(a, F.lit(1), i - 1), at(a, i + 1), at(a, i), F.substr(a, i + 2)) == b
+    return (F.length(a) == F.length(b)) & (F.length(a) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), spot)
+
+
+def near_misses(words: DataFrame, word: str, allowed: DataFrame, name: str) -> DataFrame:
+    """word and suggestion: the only allowed name at one edit or one swap of neighbours from each distinct word; words without one have no row.
+
+    Two such words share a form of which a letter may be left out, so that an index of these
+    forms finds all pairs by an equi-join; each pair is then looked at once.
+    """
+    index = allowed.select(F.col(name).alias("_name")).distinct().select("_name", F.explode(_one_left_out(F.col("_name"))).alias("_form"))
+    asked = words.select(F.col(word)).distinct().select(word, F.explode(_one_left_out(F.col(word))).alias("_form"))
+    pairs = asked.join(index, "_form").select(word, "_name").distinct()
+    # A swap of two equal letters gives the word itself, which is no miss.
+    near = pairs.filter((F.col(word) != F.col("_name")) & ((F.levenshtein(F.col(word), F.col("_name")) == 1) | _swapped(F.col("_name"), F.col(word))))
+    return near.groupBy(word).agg(F.count("*").alias("_n"), F.min("_name").alias("suggestion")).filter("_n = 1").drop("_n")
+
+
+def _mask(name: Column) -> Column:
+    """The places of a name at which LIKE takes any character."""
+    return F.filter(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.substr(name, i, F.lit(1)) == "_")
+
+
+def _masked(token: Column, places: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.when(F.array_contains(places, i), "_").otherwise(F.substr(token, i, F.lit(1)))), "")
+
+
+def quoted_names(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """key and name of each text that LIKE '%"name"%' fits, an underscore in a name being any character.
+
+    What stands between two quotes of a text is masked like the names of its length, and met by
+    an equi-join; a name with a percent sign, which fits any run, is an error.
+    """
+    n = F.col(name)
+    checked = F.when(n.contains("%"), F.raise_error(F.concat(F.lit("percent sign in "), n))).otherwise(n)
+    known = names.select(checked.alias(name)).distinct().filter(F.length(name) > 0).withColumn("_size", F.length(name)).withColumn("_mask", _mask(n))
+    shapes = known.select("_size", "_mask").distinct()
+    bounds = shapes.agg(F.max("_size").alias("_most"), F.max(F.size("_mask")).alias("_inner"))  # one row of two numbers
+    texts = texts.select(key, F.split(F.col(text), '"', -1).alias("_parts")).crossJoin(F.broadcast(bounds))
+    # A span between two quotes may hold quotes itself, but only where a name has underscores.
+    span = lambda k, j: F.array_join(F.slice("_parts", k + 1, j + 1), '"')
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_parts") - 2), lambda k: F.transform(F.sequence(F.lit(0), F.least(F.col("_inner"), F.size("_parts") - 2 - k)), lambda j: span(k, j))))
+    tokens = texts.filter(F.size("_parts") > 2).select(key, "_most", F.explode(F.array_distinct(spans)).alias("_token")).withColumn("_size", F.length("_token")).filter("_size BETWEEN 1 AND _most")
+    met = tokens.join(shapes, "_size").withColumn(name, _masked(F.col("_token"), F.col("_mask")))
+    return met.select(key, name, "_size", "_mask").distinct().join(known, [name, "_size", "_mask"]).select(key, name).distinct()

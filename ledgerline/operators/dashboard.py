@@ -41,20 +41,12 @@ def coverage(expected: DataFrame, bound: DataFrame) -> DataFrame:
     return both.select("plan_id", "bucket", "idx", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("recipes", F.expr("array()").cast("array<string>")).alias("recipes"))
 
 
-def lineage(recipes: DataFrame, start: str, parent: str, cap: int = 32) -> DataFrame:
-    """The chain of parents from each start row, newest first: root, depth, recipe_id; a chain ends at a missing parent, a known id or the cap."""
-    return recipes.sparkSession.sql(
-        f"""
-        WITH RECURSIVE chain (root, depth, recipe_id, next, path) AS (
-          SELECT recipe_id, 0, recipe_id, {parent}, array(recipe_id) FROM {{recipes}} WHERE {start}
-          UNION ALL
-          SELECT c.root, c.depth + 1, r.recipe_id, r.{parent}, array_append(c.path, r.recipe_id)
-          FROM chain c JOIN {{recipes}} r ON r.recipe_id = c.next
-          WHERE c.depth + 1 < {cap} AND NOT array_contains(c.path, c.next))
-        SELECT root, depth, recipe_id, next IS NOT NULL AND array_contains(path, next) AS cycle FROM chain
-        """,
-        recipes=recipes,
-    )
+def heatmap(outcomes: DataFrame, runs: int) -> DataFrame:
+    """Outcomes of each recipe in each of the latest runs, run1 the newest; a recipe with outcomes in older runs alone has zeros."""
+    newest = outcomes.groupBy("run_id").agg(F.max("attempted_at").alias("at")).orderBy(F.desc("at"), "run_id").limit(runs)
+    places = newest.agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("at").cast("timestamp"))).alias("t"), "run_id"))).alias("r")).select(F.posexplode("r").alias("place", "x")).select("x.run_id", (F.col("place") + 1).alias("place"))
+    cells = outcomes.select("recipe_id", "run_id").join(places, "run_id", "left").groupBy("recipe_id").pivot("place", list(range(1, runs + 1))).agg(F.count(F.lit(1)))
+    return cells.select("recipe_id", *[F.coalesce(F.col(str(r)), F.lit(0)).cast("long").alias(f"run{r}") for r in range(1, runs + 1)])
 
 
 def chart_domain(df: DataFrame, key: str, value: str) -> DataFrame:

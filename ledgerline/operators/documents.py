@@ -14,6 +14,8 @@ from .audit import latest_by
 # Parts of a URL path that name an index page, and the two thresholds.
 INDEX_TOKENS = ("/topic/", "/topics/", "/category/", "/categories/", "/tag/", "/tags/", "/section/", "/sections/", "/archive/", "/archives/", "/index", "/all/", "/all-", "/listing/", "/browse/")
 PROSE_FLOOR, DENSITY = 400, 0.5
+# Fixed value: the longest preview of a cull.
+PREVIEW = 50
 
 
 def with_index_signal(pages: DataFrame, page: str, mime: str, url: str) -> DataFrame:
@@ -36,6 +38,16 @@ def cull(claims: DataFrame, documents: DataFrame) -> DataFrame:
     return claims.join(latest, "source_id", "left").withColumn("action", F.when(F.col("signal").isNull(), "unrouted").when(F.col("signal") == "index", "culled").otherwise(F.concat(F.lit("kept_"), "signal"))).drop("signal")
 
 
+def cull_preview(claims: DataFrame, documents: DataFrame, cap: int = PREVIEW) -> DataFrame:
+    """The newest claims that a cull would take, with the page that each comes from; nothing is changed.
+
+    claims: id, source_id, content_kind, observed_at.  documents: source_id, source_url, signal, observed_at, id.
+    """
+    latest = latest_by(documents, ["source_id"], F.desc("observed_at"), F.desc("id")).select("source_id", "source_url", "signal")
+    taken = claims.join(latest.filter("signal = 'index'"), "source_id").orderBy(F.desc("observed_at"), F.desc("id")).limit(cap)
+    return taken.select("id", "content_kind", T.shortened(T.hostless(F.coalesce("source_url", F.lit("")))).alias("source_path"), "signal")
+
+
 def reextraction_routes(documents: DataFrame, recipes: DataFrame) -> DataFrame:
     """Documents with the recipe that their source id names, if it exists."""
     known = recipes.select("recipe_id", F.lit(True).alias("routed"))
@@ -51,14 +63,6 @@ def selected_pages(pages: DataFrame, budget: int) -> DataFrame:
     return ranked.filter((F.col("_best") <= 0) | (F.col("page_no") < 3) | (F.col("_sum") <= budget)).drop("_best", "_sum")
 
 
-def json_shape(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """Top-level paths of JSON objects: documents, kinds of value, longest array, least sample."""
-    names = F.explode(F.json_object_keys(payload))
-    each = df.select(key, payload, names.alias("path")).withColumn("v", F.call_function("get_json_object", F.col(payload), F.concat(F.lit("$."), "path")))
-    kind = F.when(F.col("v").isNull(), "null").when(F.col("v").startswith("{"), "object").when(F.col("v").startswith("["), "array").when(F.col("v").isin("true", "false"), "boolean").when(F.col("v").try_cast("double").isNotNull(), "number").otherwise("string")
-    return each.withColumn("value_kind", kind).groupBy("path", "value_kind").agg(F.count("*").alias("n"), F.min("v").alias("sample"), F.max(F.json_array_length("v")).alias("longest"))
-
-
 def valid_assertions(drafts: DataFrame, predicates: list[str]) -> DataFrame:
     """Drafts of assertions that keep the rules; an empty list of predicates allows all."""
     d = drafts.withColumns({c: F.trim(c) for c in ("claimant", "subject", "object", "predicate")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocab as V
+
 
 def tier(license: Column) -> Column:
     return F.when(license == "extracted", 3).when(license == "classifier-emitted", 2).when(license == "unknown", 1).otherwise(0)
@@ -27,6 +29,20 @@ def refresh_log(rows: DataFrame) -> DataFrame:
     return raised.select("entity_id", "seq", "old_tier", "new_tier", (F.col("canonical_name") != F.col("old_name")).alias("name_changed"))
 
 
+def materialized(rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """What becomes of each exemplar row (entity_id, license, seq) beside the entities that exist (entity_id, license): materialized, refreshed, skipped or error.
+
+    The first row of a new entity is materialized, and the first that raises a tier refreshes; an id that is none is an error.
+    """
+    old = entities.groupBy("entity_id").agg(F.max(tier(F.col("license"))).alias("_old"))
+    w = Window.partitionBy("entity_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    t = tier(F.col("license"))
+    before = rows.withColumn("_tier", t).withColumn("_before", F.max("_tier").over(w)).join(old, "entity_id", "left")
+    known = F.greatest("_before", "_old")
+    outcome = F.when(~F.coalesce(V.is_entity_id(F.col("entity_id")), F.lit(False)), "error").when(known.isNull(), "materialized").when(F.col("_tier") > known, "refreshed").otherwise("skipped")
+    return before.withColumn("outcome", outcome).drop("_tier", "_before", "_old")
+
+
 def exemplar_name(entity_id: Column) -> Column:
     """The part after the first colon, if there is one, with blanks for underscores."""
     rest = F.regexp_extract(entity_id, "^[^:]*:(.+)$", 1)

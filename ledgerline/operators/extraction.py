@@ -8,6 +8,7 @@ one of them is null.
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import re
 from html import escape
@@ -40,13 +41,17 @@ def _json(payload: Column, path: Column) -> Column:
     return F.call_function("get_json_object", payload, path)
 
 
-def json_path(payload: Column, path: Column) -> Column:
+def first_json(payload: Column, path: Column) -> Column:
     """First match that is not null; texts without quotes, all else as JSON."""
     many = _json(payload, path)
     listed = F.from_json(many, "array<string>")
     first = F.when(path.contains("[*]") & listed.isNotNull(), F.get(F.filter(listed, lambda x: x.isNotNull()), F.lit(0))).otherwise(many)
+    return F.when(first != "null", first)
+
+
+def json_path(payload: Column, path: Column) -> Column:
     sound = _json(payload, F.lit("$")).isNotNull()
-    return result(F.when(first != "null", first), F.when(sound, "no match").otherwise("not JSON"))
+    return result(first_json(payload, path), F.when(sound, "no match").otherwise("not JSON"))
 
 
 def regex_capture(text: Column, pattern: Column, group: Column) -> Column:
@@ -54,42 +59,99 @@ def regex_capture(text: Column, pattern: Column, group: Column) -> Column:
     return result(F.when(hit, F.call_function("regexp_extract", text, pattern, group)), F.lit("no match"))
 
 
-_PART = re.compile(r"([a-zA-Z][a-zA-Z0-9-]*|\*)?((?:[.#][A-Za-z0-9_-]+|\[[^\]]+\])*)")
+_COMPOUND = re.compile(r"(?P<tag>[a-zA-Z][a-zA-Z0-9-]*|\*)?(?P<tests>(?:[.#][A-Za-z0-9_-]+|\[[^\]]+\])*)")
+_STEP = re.compile(r"\s*(?P<mark>[>,])\s*|(?P<blank>\s+)|(?P<part>(?:[A-Za-z0-9_*.#-]|\[[^\]]*\])+)")
+# Start tags that end an open element, and the elements that they do not reach beyond.
+_BLOCKS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)),
+    "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "tr": (("tr", "td", "th"), ("table",)), "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",)),
+} | {t: (("p",), ("td", "th", "button", "table", "object")) for t in _BLOCKS}
+
+
+@functools.lru_cache(maxsize=1024)
+def _parts(selector: str) -> list[list[tuple[bool, str, list[str]]]] | None:
+    """Alternatives of a selector; each from its last element outwards: whether the next one must be the parent, tag, tests.  Null if it has more than tags, classes, ids, attributes, blanks, ``>`` and commas."""
+    text, at, found, child = selector.strip(), 0, [[]], False
+    while at < len(text):
+        step = _STEP.match(text, at)
+        part = _COMPOUND.fullmatch(step["part"]) if step and step["part"] else None
+        if step is None or step["part"] and part is None or step["mark"] and (not found[-1] or child):
+            return None
+        if step["mark"] == ",":
+            found.append([])
+        elif step["mark"]:
+            child = True
+        elif part:
+            found[-1].append((child, (part["tag"] or "*").lower(), re.findall(r"[.#][A-Za-z0-9_-]+|\[[^\]]+\]", part["tests"])))
+            child = False
+        at = step.end()
+    return None if child or not all(found) else [f[::-1] for f in found]
+
+
+def is_selector(selector: str) -> bool:
+    return _parts(selector) is not None
+
+
+def _has(tag: str, attrs: dict, want: str, tests: list[str]) -> bool:
+    if want not in ("*", tag):
+        return False
+    for test in tests:
+        if test[0] == "." and test[1:] not in (attrs.get("class") or "").split() or test[0] == "#" and attrs.get("id") != test[1:]:
+            return False
+        if test[0] == "[":
+            name, eq, value = test[1:-1].partition("=")
+            if name.strip() not in attrs or eq and attrs[name.strip()] != value.strip().strip("'\""):
+                return False
+    return True
 
 
 class _Finder(HTMLParser):
-    """Elements that a list of compound selectors, one within the other, selects."""
+    """Elements that a selector selects."""
 
     def __init__(self, selector: str):
         super().__init__(convert_charrefs=True)
-        self.want = [_PART.fullmatch(p) for p in selector.split()]
-        self.open: list[tuple[str, int, dict | None]] = []  # tag, selectors met, and what an element gathers
+        self.want = _parts(selector) or []
+        self.open: list[tuple[str, dict, dict | None]] = []  # tag, attributes, and what an element gathers
         self.found: list[dict] = []
 
-    def _fits(self, part: re.Match, tag: str, attrs: dict) -> bool:
-        if part[1] and part[1] not in ("*", tag):
+    def _fits(self, parts: list, tag: str, attrs: dict) -> bool:
+        """Whether an element and those around it fit; an element of a descendant step is the nearest that lets the rest fit."""
+        if not _has(tag, attrs, *parts[0][1:]):
             return False
-        for test in re.findall(r"[.#][A-Za-z0-9_-]+|\[[^\]]+\]", part[2] or ""):
-            if test[0] == "." and test[1:] not in (attrs.get("class") or "").split() or test[0] == "#" and attrs.get("id") != test[1:]:
-                return False
-            if test[0] == "[":
-                name, eq, value = test[1:-1].partition("=")
-                if name not in attrs or eq and attrs[name] != value.strip("'\""):
+
+        def above(k: int, top: int) -> bool:
+            if k == len(parts):
+                return True
+            for at in range(top - 1, -1, -1):
+                if _has(*self.open[at][:2], *parts[k][1:]) and above(k + 1, at):
+                    return True
+                if parts[k - 1][0]:
                     return False
-        return True
+            return False
+
+        return above(1, len(self.open))
+
+    def _end_implied(self, tag: str) -> None:
+        closes, bounds = _ENDS.get(tag, ((), ()))
+        last = None
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] in bounds:
+                break
+            if self.open[k][0] in closes:
+                last = k
+        if last is not None:
+            del self.open[last:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._end_implied(tag)
         attrs = dict(attrs)
-        met = self.open[-1][1] if self.open else 0
         item = None
-        if met < len(self.want) and self.want[met] and self._fits(self.want[met], tag, attrs):
-            if met == len(self.want) - 1:
-                item = {"text": [], "attrs": attrs}
-                self.found.append(item)
-            else:
-                met += 1
+        if any(self._fits(parts, tag, attrs) for parts in self.want):
+            item = {"text": [], "attrs": attrs}
+            self.found.append(item)
         if tag not in VOID:
-            self.open.append((tag, met, item))
+            self.open.append((tag, attrs, item))
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -102,7 +164,6 @@ class _Finder(HTMLParser):
             if item is not None:
                 item["text"].append(data)
 
-
     def unknown_decl(self, data: str) -> None:
         return
 
@@ -123,6 +184,7 @@ class _Cutter(_Finder):
                 item["text"].append(raw)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._end_implied(tag)
         self._keep(self.get_starttag_text())
         super().handle_starttag(tag, attrs)
 
@@ -146,13 +208,14 @@ def selected_elements(page: str | None, selector: str, attribute: str | None, wh
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def css_all(pages: pd.Series, selectors: pd.Series, attributes: pd.Series) -> pd.Series:
-    return pd.Series([selected(p, s, a) if s else None for p, s, a in zip(pages, selectors, attributes, strict=True)])
+    return pd.Series([selected(p, s, a) if s and is_selector(s) else None for p, s, a in zip(pages, selectors, attributes, strict=True)])
 
 
 def css_select(page: Column, selector: Column, attribute: Column) -> Column:
-    """First match: its text or an attribute; an empty one is an error."""
-    first = F.get(css_all(page, selector, attribute), F.lit(0))
-    return result(F.when(first != "", first), F.lit("no match"))
+    """First match: its text or an attribute; an empty one is an error, and so is a selector with more than ``is_selector`` knows."""
+    found = css_all(page, selector, attribute)
+    first = F.get(found, F.lit(0))
+    return result(F.when(first != "", first), F.when(found.isNull(), "selector not supported").otherwise("no match"))
 
 
 def cell(text: str | None, column: str, key: str | None, wanted: str | None) -> tuple[str | None, str | None]:
@@ -172,11 +235,11 @@ def csv_cell(texts: pd.Series, columns: pd.Series, keys: pd.Series, wanted: pd.S
 def tables(page: str) -> list[list[list[str]]]:
     """Runs of lines with the same number of cells (two at least), two lines at least; blank lines are passed over.
 
-    Cells stand two blanks or a tab apart; a line without such a gap is cut at every blank.
+    Any blanks stand between cells: text taken from pages has one blank for a gap of any width.
     """
     found: list[list[list[str]]] = []
     for line in filter(None, map(str.strip, page.split("\n"))):
-        cells = re.split(r"\s{2,}|\t", line) if re.search(r"\s{2,}|\t", line) else line.split()
+        cells = line.split()
         if found and len(found[-1][0]) == len(cells) >= 2:
             found[-1].append(cells)
         else:
@@ -184,19 +247,21 @@ def tables(page: str) -> list[list[list[str]]]:
     return [t for t in found if len(t) >= 2 and len(t[0]) >= 2]
 
 
+def spot_value(pages: list[str] | None, spot: list[int] | None) -> tuple[str | None, str | None]:
+    """The cell at a spot (page from 1, then table, row and column from 0), or why there is none."""
+    try:
+        page, table, row, column = spot
+        if page < 1 or min(table, row, column) < 0:
+            return None, "no such cell"
+        return tables(pages[page - 1])[table][row][column], None
+    except (IndexError, TypeError, ValueError):
+        return None, "no such cell"
+
+
 @F.pandas_udf(T.StructType().add("value", "string").add("error", "string"))
 def table_cell(pages: pd.Series, spots: pd.Series) -> pd.DataFrame:
     """spots: page from 1, then table, row and column from 0."""
-
-    def one(pages, spot):
-        try:
-            page, table, row, column = spot
-            value = tables(pages[page - 1])[table][row][column]
-            return (value, None) if value else (None, "empty cell")
-        except (IndexError, TypeError):
-            return None, "no such cell"
-
-    return pd.DataFrame([one(p, s) for p, s in zip(pages, spots, strict=True)], columns=["value", "error"])
+    return pd.DataFrame([spot_value(p, s) for p, s in zip(pages, spots, strict=True)], columns=["value", "error"])
 
 
 def json_records(df: DataFrame, payload: str, path: str, fields: dict[str, str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import attribute_text
 
 # Byte bounds of previews and excerpts.
 HTML_INPUT, BODY, STRUCTURED, EXCERPT = 128 << 10, 32 << 10, 128 << 10, 64 << 10
@@ -111,6 +112,27 @@ def samples(rows: DataFrame, key: str, value: str, order: list[str], cap: int =
     return ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("samples"))
 
 
+def entity_tiles(assertions: DataFrame) -> DataFrame:
+    """entity_id, key and value of what was last said of each entity (id, observed_at, content), with its place: the newest key first.
+
+    A value that shows as nothing is passed over for an older one.
+    """
+    get = lambda p: F.get_json_object("content", p)
+    said = assertions.filter(get("$.asserted_kind") == "entity_attribute").select(get("$.entity_id").alias("entity_id"), get("$.key").alias("key"), attribute_text(get("$.value")).alias("value"), F.struct("observed_at", "id").alias("at"))
+    last = said.filter("entity_id IS NOT NULL AND key IS NOT NULL AND value <> ''").groupBy("entity_id", "key").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+    return last.withColumn("place", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("at"))) - 1).drop("at")
+
+
+# How many rows each listing shows; the list of sources is cut at its own limit.
+LISTED = {"topics": 30, "runs": 50, "recipes": 100, "feedback": 100, "history": 50, "plans": 50, "attempts": 50, "outcomes": 50}
+
+
+def newest(rows: DataFrame, listing: str, by: str, tie: str) -> DataFrame:
+    """The newest rows of a listing with their places: only as many as it shows leave each task."""
+    top = rows.orderBy(F.desc_nulls_last(by), F.desc(tie)).limit(LISTED[listing])
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(by), F.desc(tie))))
+
+
 def table_columns(rows: DataFrame, table: str, content: str) -> DataFrame:
     """Columns of each table of JSON objects with two rows at least: most frequent first, then by name."""
     keys = rows.select(table, F.explode(F.array_distinct(F.json_object_keys(content))).alias("name")).groupBy(table, "name").agg(F.count("*").alias("n"))

@@ -1,24 +1,28 @@
-"""Recipes applied to payloads as a whole: iterators, field sources, typed records.
+"""Recipes applied to payloads as a whole: five modes, iterators, field sources, typed records.
 
-A payload is matched once: each match of the recipe's iterator (or the payload itself) becomes
-an item with its main value and its inner values, each item meets every binding, and the fields
-of a binding are put together to the content of one record.  JSON items are built-in functions;
-markup items and the assembly of nested content are small Arrow-batched helpers.  An error in
-any item or binding fails the payload: it gives one error row and no record.
+``extract_records`` is a table function in a lateral join: one payload and its recipe go in, the
+records (or one row with the error) come out, so that a payload is neither shuffled nor copied
+for each record.  Its output depends on how it is called: with ``probe`` it only says whether the
+recipe hits anything.  Each mode finds its matches in its own way: JSON by built-in functions
+before the call; markup, CSV cells, regular expressions and tables of page text in a branch of
+the function each.  A match meets every binding, and an error in any of them fails the payload.
 """
 
 from __future__ import annotations
 
+import copy
+import functools
 import json
+import re
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.python_udfs import canonical, number
-from ..functions.vocab import is_entity_id
-from .extraction import RECORD_CAP, _json, bounded_error, css_all, excerpt, result, selected_elements, selector_path
+from .extraction import ERROR_CHARS, RECORD_CAP, SCALAR_BYTES, _json, cell, excerpt, first_json, is_selector, selected_elements, spot_value
 
 # Content paths that hold strings, by record type.
 _MAGNITUDE = ("magnitude.metric", "magnitude.unit", "magnitude.currency", "magnitude.period")
@@ -36,26 +40,17 @@ NEEDED = {
     "entity": {"entity_id": str, "kind": str, "canonical_name": str},
 }
 KEY_CHARS = 200
-ITEM = T.StructType().add("main", "string").add("inner", T.MapType(T.StringType(), T.StringType()))
+_ENTITY_ID = re.compile(r"[^\s\x00-\x1f\x7f-\x9f]+")
+MODES = ("json_path", "css_select", "csv_cell", "regex_capture", "pdf_table")
 
+#: csv_cell: path is the column, filter_column and filter_value pick the row.  regex_capture: path
+#: is the pattern, grp the group.  pdf_table: spot is page from 1, then table, row and column from 0;
+#: the payload is the text of the pages, one after another with form feeds between them.
 RECIPE = """recipe_id string, source_id string, version int, source_url string, mode string, path string, attribute string, iterator_mode string, iterator_path string,
   inner array<struct<path:string,selector:string,attribute:string>>, topics array<string>, plan string,
-  bindings array<struct<record_type:string,dedup_field:string,fields:array<struct<path:string,source:string,value:string>>>>"""
-
-
-@F.pandas_udf(T.ArrayType(ITEM))
-def css_items(pages: pd.Series, iterators: pd.Series, selectors: pd.Series, attributes: pd.Series, inner: pd.Series) -> pd.Series:
-    """Each element that the iterator selects: the main value and the inner ones, looked for within it alone; null where there are none."""
-
-    def value(element, selector, attribute):
-        return next((x for x in selected_elements(element, selector, attribute) if x), None)
-
-    def one(page, iterator, selector, attribute, specs):
-        if iterator is None:
-            return None
-        return [{"main": value(e, selector, attribute), "inner": {s["path"]: value(e, s["selector"], s["attribute"]) for s in specs}} for e in selected_elements(page, iterator, None, whole=True)]
-
-    return pd.Series([one(*x) for x in zip(pages, iterators, selectors, attributes, inner, strict=True)])
+  bindings array<struct<record_type:string,dedup_field:string,fields:array<struct<path:string,source:string,value:string>>>>,
+  grp int, filter_column string, filter_value string, spot array<int>"""
+_USED = ("recipe_id", "mode", "path", "attribute", "iterator_mode", "iterator_path", "inner", "plan", "bindings", "grp", "filter_column", "filter_value", "spot")
 
 
 def walked(root: object, pointer: str) -> object:
@@ -88,9 +83,11 @@ def assembled(record_type: str, fields: list[tuple[str, str, str | None]], plan:
     for path, source, value in fields:
         if value is None:
             return None, f"{source} {path} resolved to nothing"
-        got = scalar(value) if source in ("extracted", "inner") else walked(json.loads(plan or "null"), value) if source == "from_plan" else json.loads(value)
+        got = scalar(value) if source in ("extracted", "inner") else walked(_parsed(plan), value) if source == "from_plan" else _parsed(value)
         if got is None and source == "from_plan":
             return None, f"from_plan pointer {value} resolved to nothing"
+        if isinstance(got, (dict, list)):
+            got = copy.deepcopy(got)  # what is parsed once is shared
         if path in STRING_PATHS[record_type] and isinstance(got, (int, float)) and not isinstance(got, bool):
             got = canonical(got)
         *outer, last = path.split(".")
@@ -103,64 +100,199 @@ def assembled(record_type: str, fields: list[tuple[str, str, str | None]], plan:
     for name, kinds in NEEDED[record_type].items():
         if not isinstance(content.get(name), kinds) or isinstance(content.get(name), bool):
             return None, f"{record_type} content: missing or wrong {name}"
+    if record_type == "entity" and (len(content["entity_id"].encode()) > 128 or not _ENTITY_ID.fullmatch(content["entity_id"])):
+        return None, "invalid entity_id"
     return canonical(content), None
 
 
-@F.pandas_udf(T.StructType().add("content", "string").add("error", "string"))
-def content(record_types: pd.Series, fields: pd.Series, plans: pd.Series) -> pd.DataFrame:
-    each = zip(record_types, fields, plans, strict=True)
-    return pd.DataFrame([(None, None) if x is None else assembled(r, [(f["path"], f["source"], f["value"]) for f in x], p) for r, x, p in each], columns=["content", "error"])
+@functools.lru_cache(maxsize=4096)
+def _parsed(text: str | None) -> object:
+    return json.loads(text or "null")
+
+
+@functools.lru_cache(maxsize=1024)
+def _compiled(pattern: str) -> re.Pattern | None:
+    try:
+        return re.compile(pattern)
+    except re.error:
+        return None
+
+
+class _Failed(Exception):
+    """Why a payload gives no records."""
+
+
+def _shortened(text: str) -> str:
+    head, tail = ERROR_CHARS * 2 // 3, ERROR_CHARS // 3
+    return text if len(text) <= ERROR_CHARS else f"{text[:head]}…{text[-tail:]}"
+
+
+def _bounded(value: str | None) -> str:
+    """A match that is there, not empty and within the scalar bound."""
+    if not value:
+        raise _Failed("no match")
+    if len(value.encode()) > SCALAR_BYTES:
+        raise _Failed("value too long")
+    return value
+
+
+def _css_items(payload: str, r: dict) -> list[tuple[str | None, dict]]:
+    """The main value and the inner ones of each element, looked for within it alone."""
+    for selector in filter(None, (r["iterator_path"], r["path"], *[x["selector"] for x in r["inner"] or ()])):
+        if not is_selector(selector):
+            raise _Failed(f"selector not supported: {selector}")
+    first = lambda element, selector, attribute: next((x for x in selected_elements(element, selector, attribute) if x), None)
+    inner = lambda element: {s["path"]: first(element, s["selector"], s["attribute"]) for s in r["inner"] or ()}
+    if r["iterator_mode"]:
+        return [(first(e, r["path"], r["attribute"]), inner(e)) for e in selected_elements(payload, r["iterator_path"], None, whole=True)]
+    found = selected_elements(payload, r["path"], r["attribute"])
+    scope = next(iter(selected_elements(payload, r["path"], None, whole=True)), "") if r["inner"] else ""
+    return [(found[0], inner(scope))] if found else []
+
+
+def _scalar_item(payload: str, r: dict) -> list[tuple[str | None, dict]]:
+    """The one value of a mode without iterators and inner fields."""
+    if r["inner"]:
+        raise _Failed(f"inner fields not implemented: {r['mode']}")
+    if r["mode"] == "csv_cell":
+        value, error = cell(payload, r["path"], r["filter_column"], r["filter_value"])
+    elif r["mode"] == "pdf_table":
+        value, error = spot_value(payload.split("\f"), r["spot"])
+    else:
+        pattern, group = _compiled(r["path"]), 1 if r["grp"] is None else r["grp"]
+        hit = pattern.search(payload) if pattern else None
+        error = "pattern does not compile" if pattern is None else "no match" if hit is None else None if group <= pattern.groups else "no such group"
+        value = None if error else hit[group]
+    if error:
+        raise _Failed(error)
+    return [(value, {})]
 
 
-def _items(payload: Column) -> Column:
-    """The items of a payload, null if its iterator is of no use for its mode."""
-    mode, path, inner = F.col("mode"), F.col("path"), F.col("inner")
+def _items(payload: str | None, r: dict, json_items: list | None) -> list[tuple[str | None, dict]]:
+    mode, iterator = r["mode"], r["iterator_mode"]
+    if mode not in MODES:
+        raise _Failed(f"unknown mode: {mode}")
+    if iterator and not (iterator == mode and mode in ("json_path", "css_select")):
+        raise _Failed(f"iterator not implemented: {iterator} x {mode}")
+    if mode == "json_path":
+        if json_items is None:
+            raise _Failed("not JSON")
+        items = [(x["main"], x["inner"] or {}) for x in json_items]
+    else:
+        items = (_css_items if mode == "css_select" else _scalar_item)(payload or "", r)
+    if not items:
+        raise _Failed("no match")
+    return items
+
+
+def _key(recipe_id: str, binding: dict, fields: list[tuple[str, str, str | None]]) -> str:
+    """What a record of an iterator is known by."""
+    if binding["dedup_field"] is None:
+        raise _Failed("iterator recipe without a dedup field")
+    _, source, value = next((f for f in fields if f[0] == binding["dedup_field"]), (None, None, None))
+    if source is None:
+        raise _Failed("dedup field is no field of the binding")
+    if source == "from_plan":
+        raise _Failed("dedup field is constant across records")
+    if source == "literal" and isinstance(_parsed(value), str):
+        value = _parsed(value)
+    return f"{recipe_id}:{(value or '')[:KEY_CHARS]}"
+
+
+def records(payload: str | None, r: dict, json_items: list | None) -> Iterator[tuple]:
+    """item, binding, record_type, dedup_key, content and value of all records; _Failed if there is an error anywhere."""
+    items = _items(payload, r, json_items)
+    if len(items) > RECORD_CAP:
+        raise _Failed("too many matches")
+    for i, (main, inner) in enumerate(items):
+        main = _bounded(main)
+        for b, binding in enumerate(r["bindings"]):
+            value = {"extracted": lambda f: main, "inner": lambda f: inner.get(f["path"])}  # noqa: B023
+            fields = [(f["path"], f["source"], value.get(f["source"], lambda f: f["value"])(f)) for f in binding["fields"]]
+            key = _key(r["recipe_id"], binding, fields) if r["iterator_mode"] else None
+            content, error = assembled(binding["record_type"], fields, r["plan"])
+            if error:
+                raise _Failed(error)
+            yield i, b, binding["record_type"], key, content, main
+
+
+_RECORD = T.StructType().add("item", "integer").add("binding", "integer").add("record_type", "string").add("dedup_key", "string").add("content", "string").add("value", "string").add("error", "string")
+_PROBE = T.StructType().add("n_items", "integer").add("ok", "boolean")
+
+
+@F.udtf
+class ExtractRecords:
+    """extract_records(payload, recipe, json_items, probe): the records of a payload, or with probe whether there are any matches."""
+
+    @staticmethod
+    def analyze(payload: AnalyzeArgument, recipe: AnalyzeArgument, json_items: AnalyzeArgument, probe: AnalyzeArgument) -> AnalyzeResult:
+        known = set(recipe.dataType.fieldNames()) if isinstance(recipe.dataType, T.StructType) else set()
+        if missing := sorted(set(_USED) - known):
+            raise Exception(f"the recipe lacks {', '.join(missing)}")
+        if not probe.isConstantExpression:
+            raise Exception("probe must be a constant")
+        return AnalyzeResult(_PROBE if probe.value else _RECORD)
+
+    def eval(self, payload: str, recipe: T.Row, json_items: list, probe: bool) -> Iterator[tuple]:
+        try:
+            if probe:
+                items = _items(payload, recipe, json_items)
+                yield len(items), bool(recipe["iterator_mode"]) or any(m for m, _ in items)
+            else:
+                for x in list(records(payload, recipe, json_items)):
+                    yield *x, None
+        except _Failed as e:
+            yield (0, False) if probe else (None, None, None, None, None, None, _shortened(str(e)))
+
+
+def _json_items(payload: Column) -> Column:
+    """The matches of JSON recipes, null for other modes and for payloads that are no JSON; inner values are looked for within each match."""
+    path = F.col("path")
     found = F.from_json(_json(payload, F.col("iterator_path")), "array<string>")
-    json_inner = lambda node: F.map_from_arrays(F.transform(inner, lambda s: s["path"]), F.transform(inner, lambda s: F.call_function("get_json_object", node, s["selector"])))
-    json_item = lambda node: F.struct(F.when(path == "$", node).otherwise(F.call_function("get_json_object", node, path)).alias("main"), json_inner(node).alias("inner"))
-    css_inner = F.map_from_arrays(F.transform(inner, lambda s: s["path"]), F.transform(inner, lambda s: F.lit(None).cast("string")))
-    css_item = F.struct(F.get(css_all(payload, F.when(mode == "css_select", path), F.col("attribute")), F.lit(0)).alias("main"), css_inner.alias("inner"))
-    css_many = css_items(payload, F.when((mode == "css_select") & (F.col("iterator_mode") == "css_select"), F.col("iterator_path")), path, F.col("attribute"), inner)
-    scalar_item = F.when(mode == "json_path", json_item(payload)).when(mode == "css_select", css_item)
-    return (
-        F.when(F.col("iterator_mode").isNull(), F.array(scalar_item))
-        .when((F.col("iterator_mode") == "json_path") & (mode == "json_path"), F.transform(F.coalesce(found, F.expr("array()").cast("array<string>")), json_item))
-        .when((F.col("iterator_mode") == "css_select") & (mode == "css_select"), css_many)
-    )
+    inner = lambda node: F.map_from_arrays(F.transform("inner", lambda s: s["path"]), F.transform("inner", lambda s: F.call_function("get_json_object", node, s["selector"])))
+    within = lambda node: F.struct(F.when(path == "$", node).otherwise(first_json(node, path)).alias("main"), inner(node).alias("inner"))
+    scope = first_json(payload, path)
+    alone = F.array(F.struct(scope.alias("main"), inner(scope).alias("inner")))
+    many = F.transform(F.coalesce(found, F.array().cast("array<string>")), within)
+    sound = (F.col("mode") == "json_path") & _json(payload, F.lit("$")).isNotNull()
+    return F.when(sound & F.col("iterator_mode").isNull(), alone).when(sound, many)
+
+
+def _called(payloads: DataFrame, recipes: DataFrame, probe: bool) -> DataFrame:
+    recipe = F.struct(*[F.col(c) for c in _USED])
+    both = payloads.join(recipes, "recipe_id").withColumn("_recipe", recipe).withColumn("_json", _json_items(F.col("payload")))
+    # What built-in functions have found needs no payload on the other side.
+    both = both.withColumn("_text", F.when(F.col("mode") != "json_path", F.col("payload"))).drop("payload")
+    return both.lateralJoin(ExtractRecords(F.col("_text").outer(), F.col("_recipe").outer(), F.col("_json").outer(), F.lit(probe)))
+
+
+def recipe_path(mode: Column, path: Column, attribute: Column) -> Column:
+    """How the place of a value is written, by mode."""
+    spot = F.col("spot")
+    csv = F.concat(F.lit("csv:"), path, F.coalesce(F.concat(F.lit("@"), "filter_column", F.lit("="), "filter_value"), F.lit("")))
+    pdf = F.concat(F.lit("pdf:p"), F.get(spot, F.lit(0)), F.lit("/t"), F.get(spot, F.lit(1)), F.lit("/r"), F.get(spot, F.lit(2)), F.lit("/c"), F.get(spot, F.lit(3)))
+    css = F.concat(F.lit("css:"), path, F.coalesce(F.concat(F.lit("["), attribute, F.lit("]")), F.lit("")))
+    regex = F.concat(F.lit("regex:group="), F.coalesce("grp", F.lit(1)))
+    return F.when(mode == "json_path", F.concat(F.lit("json:"), path)).when(mode == "css_select", css).when(mode == "csv_cell", csv).when(mode == "pdf_table", pdf).when(mode == "regex_capture", regex)
 
 
 def applied(payloads: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Records of payloads (payload_id, recipe_id, payload) by recipes (columns of RECIPE): item, binding, record_type, dedup_key, content and envelope fields, or one row with the error."""
-    both = payloads.join(recipes, "recipe_id").withColumn("items", _items(F.col("payload")))
-    n = F.size("items")
-    early = F.when(F.col("items").isNull(), F.concat_ws(" ", F.lit("iterator not implemented:"), "iterator_mode", F.lit("x"), "mode")).when(n == 0, "no match").when(n > RECORD_CAP, "too many matches")
-    both = both.withColumn("early", early)
-    each = both.select("*", F.posexplode_outer(F.when(F.col("early").isNull(), F.col("items"))).alias("item", "x")).select("*", F.posexplode_outer(F.when(F.col("early").isNull(), F.col("bindings"))).alias("binding", "b"))
-    main = result(F.when(F.col("x.main") != "", F.col("x.main")), F.lit("no match"))
-    value = lambda f: F.when(f["source"] == "extracted", F.col("m.value")).when(f["source"] == "inner", F.element_at("x.inner", f["path"])).otherwise(f["value"])
-    each = each.withColumn("m", main).withColumn("fields", F.transform("b.fields", lambda f: F.struct(f["path"].alias("path"), f["source"].alias("source"), value(f).alias("value"))))
-    key_field = F.get(F.filter("fields", lambda f: f["path"] == F.col("b.dedup_field")), F.lit(0))
-    plain = F.when(key_field["source"] == "literal", F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), key_field["value"], F.lit("}")), "$.v"), key_field["value"])).otherwise(key_field["value"])
-    many = F.col("iterator_mode").isNotNull()
-    key_error = F.when(many & F.col("b.dedup_field").isNull(), "iterator recipe without a dedup field").when(many & key_field.isNull(), "dedup field is no field of the binding").when(many & (key_field["source"] == "from_plan"), "dedup field is constant across records")
-    each = each.withColumn("c", F.when(F.col("early").isNull(), content(F.col("b.record_type"), F.col("fields"), F.col("plan"))))
-    error = F.coalesce("early", "m.error", key_error, F.when((F.col("b.record_type") == "entity") & ~is_entity_id(F.get_json_object("c.content", "$.entity_id")), "invalid entity_id"), "c.error")
-    path = selector_path(F.col("mode"), F.col("path"), F.col("attribute"))
-    outer = selector_path(F.col("iterator_mode"), F.col("iterator_path"), F.lit(None).cast("string"))
-    whole = Window.partitionBy("payload_id")
-    rows = each.withColumn("error", bounded_error(error)).withColumn("failed", F.min_by("error", F.when(F.col("error").isNotNull(), F.struct("item", "binding"))).over(whole)).withColumn("turn", F.row_number().over(whole.orderBy("item", "binding")))
-    kept = rows.filter(F.col("failed").isNull() | (F.col("turn") == 1))
-    ok = F.col("failed").isNull()
-    return kept.select(
-        "payload_id", "recipe_id", F.when(ok, F.col("item")).alias("item"), F.when(ok, F.col("binding")).alias("binding"), F.when(ok, F.col("b.record_type")).alias("record_type"),
-        F.when(ok & many, F.concat_ws(":", "recipe_id", F.substring(plain, 1, KEY_CHARS))).alias("dedup_key"), F.when(ok, F.col("c.content")).alias("content"),
-        F.when(ok, F.concat("source_id", F.lit("#recipe:"), "recipe_id", F.lit("@v"), "version")).alias("source_id"), F.when(ok, F.col("source_url")).alias("source_url"), F.when(ok, F.lit("unknown")).alias("license"), F.when(ok, F.col("topics")).alias("topics"),
-        F.when(ok, F.concat(F.coalesce(F.concat(F.when(many, outer), F.lit(" >> ")), F.lit("")), path)).alias("selector_path"), F.when(ok, excerpt(F.col("m.value"))).alias("excerpt"), F.col("failed").alias("error"),
+    """Records of payloads (payload_id, recipe_id, payload) by recipes (columns of RECIPE): item, binding, record_type, dedup_key, content and envelope fields, or one row with the error.
+
+    A payload and a recipe fail together as a whole; another recipe over the same payload does not.
+    """
+    made = _called(payloads, recipes, probe=False)
+    ok = F.col("error").isNull()
+    outer = F.concat(F.when(F.col("iterator_mode").isNotNull(), recipe_path(F.col("iterator_mode"), F.col("iterator_path"), F.lit(None).cast("string"))), F.lit(" >> "))
+    path = F.concat(F.coalesce(outer, F.lit("")), recipe_path(F.col("mode"), F.col("path"), F.col("attribute")))
+    when_ok = lambda c: F.when(ok, c)
+    return made.select(
+        "payload_id", "recipe_id", "item", "binding", "record_type", "dedup_key", "content",
+        when_ok(F.concat("source_id", F.lit("#recipe:"), "recipe_id", F.lit("@v"), "version")).alias("source_id"), when_ok(F.col("source_url")).alias("source_url"), when_ok(F.lit("unknown")).alias("license"),
+        when_ok(F.col("topics")).alias("topics"), when_ok(path).alias("selector_path"), when_ok(excerpt(F.col("value"))).alias("excerpt"), "error",
     )
 
 
 def probed(payloads: DataFrame, recipes: DataFrame) -> DataFrame:
     """Whether a recipe hits anything in a payload at authoring time: an iterator with any number of matches will do."""
-    both = payloads.join(recipes, "recipe_id").withColumn("items", _items(F.col("payload")))
-    hit = F.exists("items", lambda x: F.coalesce(x["main"] != "", F.lit(False)))
-    return both.select("payload_id", "recipe_id", F.size(F.coalesce("items", F.expr("array()").cast(T.ArrayType(ITEM)))).alias("n_items"), F.when(F.col("iterator_mode").isNotNull(), F.size("items") > 0).otherwise(hit).alias("ok"))
+    return _called(payloads, recipes, probe=True).select("payload_id", "recipe_id", "n_items", "ok")

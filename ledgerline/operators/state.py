@@ -86,17 +86,18 @@ def merged_topics(own: Column, plan: Column) -> Column:
     return F.concat(own, F.array_except(plan, own))
 
 
-def lineage(plans: DataFrame, key: str, parent: str, cap: int = 32) -> DataFrame:
-    """Each row's chain of parents (root, depth, id); a cycle is an error."""
+def lineage(plans: DataFrame, key: str, parent: str, cap: int = 32, start: str = "true") -> DataFrame:
+    """The chain of parents of each row that fits ``start``, newest first (root, depth, id): it ends at a missing parent or the cap; a cycle is an error."""
     chain = plans.sparkSession.sql(
         f"""
         WITH RECURSIVE chain (root, depth, id, next, path) AS (
-          SELECT {key}, 0, {key}, {parent}, array({key}) FROM {{rows}}
+          SELECT {key}, 0, {key}, {parent}, array({key}) FROM {{first}}
           UNION ALL
           SELECT c.root, c.depth + 1, r.{key}, r.{parent}, array_append(c.path, r.{key}) FROM chain c JOIN {{rows}} r ON r.{key} = c.next
           WHERE c.depth + 1 < {cap} AND NOT array_contains(c.path, c.next))
         SELECT root, depth, id, next, path FROM chain
         """,
+        first=plans.filter(start).select(key, parent),
         rows=plans.select(key, parent),
     )
     cycle = F.col("next").isNotNull() & F.array_contains("path", F.col("next"))
@@ -105,18 +106,18 @@ def lineage(plans: DataFrame, key: str, parent: str, cap: int = 32) -> DataFrame
 
 
 def promoted_rows(facts: DataFrame, claims: DataFrame, plan_topics: Column) -> DataFrame:
-    """Whole rows of promoted facts (dedup_key, support, source_id, confidence): envelope of the newest claim, and the table that the row goes to.
+    """Whole rows of promoted facts: envelope of the claim that represents each, and the table that the row goes to.
 
     claims: id, asserted_kind, observed_at, content, topics, entities.  Attributes of entities become assertions of the
     promoting agency; observations, events and relations go to their own tables.
     """
-    each = facts.select("dedup_key", F.col("source_id").alias("by"), F.col("confidence").alias("c"), "support", F.explode("support").alias("id"))
-    newest = each.join(claims, "id").groupBy("dedup_key", "by").agg(F.first("c").alias("confidence"), F.first("support").alias("support"), F.max_by(F.struct("asserted_kind", "observed_at", "content", "topics", "entities"), F.struct("observed_at", "id")).alias("x"))
+    said = claims.select(F.col("id").alias("representative_id"), F.struct("asserted_kind", "observed_at", "content", "topics", "entities").alias("x"))
+    newest = facts.select("dedup_key", F.col("source_id").alias("by"), "confidence", "n_support", "representative_id").join(said, "representative_id")
     attribute = F.col("x.asserted_kind") == "entity_attribute"
     agency = F.concat(F.lit("agency:"), F.regexp_replace("by", "^derived#", ""))
     return newest.select(
         "dedup_key", F.when(attribute, "assertion").otherwise(F.col("x.asserted_kind")).alias("record_type"), F.when(attribute, agency).alias("claimant"), F.when(attribute, F.lit("asserted")).alias("stance"), "x.content", "x.observed_at", "x.entities",
-        merged_topics(F.col("x.topics"), plan_topics).alias("topics"), F.array(F.concat(F.lit("promotion:"), F.regexp_replace("by", "^derived#", ""))).alias("tags"), F.lit("derived").alias("license"), F.col("by").alias("source_id"), "confidence", F.size("support").cast("long").alias("n_support"),
+        merged_topics(F.col("x.topics"), plan_topics).alias("topics"), F.array(F.concat(F.lit("promotion:"), F.regexp_replace("by", "^derived#", ""))).alias("tags"), F.lit("derived").alias("license"), F.col("by").alias("source_id"), "confidence", "n_support",
     )
 
 

@@ -12,6 +12,8 @@ from ..functions import vocab as V
 from ..functions.keys import decline_shape, with_source_key
 from ..functions.python_udfs import canonical_json, normalized_number
 from ..operators import audit, claims as C, dashboard as D, documents as DOC, dml, entities as E, extraction as X
+from ..operators import json_shapes as J
+from ..operators import state as S
 from ..sources import bridge as B
 from ..sources.bridge import oracle
 from ..streaming.backoff import host_backoff
@@ -94,25 +96,36 @@ def claim_summary(spark, d):
 
 # --- promotion: P1-P11, J3, S8 ------------------------------------------------------------
 
-REGISTRY = [("Agency:2", "lithium", 1), ("agency:9", None, 1), ("agency:3", "lithium", 2), ("agency:4", "cobalt", 1)]
-HASHES = """h AS (SELECT *, substr(sha256('{"asserted_kind":"relation","kind":"' || kind || '","rel_from":"' || rel_from || '","rel_to":"' || rel_to || '"}'), 1, 32) AS ch,
+# claimant, metric, topic, quorum
+REGISTRY = [("Agency:2", None, "lithium", 1), ("agency:9", None, None, 1), ("3", None, "lithium", 2), ("agency:4", None, "cobalt", 1), ("5", "click", None, None), ("agency:5", "view", "lithium", 1), ("agency:6", "purchase", None, 2), ("source:1", None, None, 1)]
+HASHES = """h AS (SELECT *, substr(sha256('{"asserted_kind":"relation","from":"' || rel_from || '","kind":"' || kind || '","to":"' || rel_to || '"}'), 1, 32) AS ch,
   substr(sha256('t:lithium' || chr(10) || 'e:' || least(rel_from, rel_to) || chr(10) || 'e:' || greatest(rel_from, rel_to) || chr(10)), 1, 32) AS sh FROM claims),
-k AS (SELECT *, 'promotion:' || ch || ':' || sh AS dedup_key, claimant = 'agency:2' AS auth FROM h),
-f AS (SELECT dedup_key, kind, rel_from, rel_to, auth, count(DISTINCT claimant) AS n_claimants, count(*) AS n_support, max_by(source_id, struct_pack(a := observed_at, b := id)) AS representative,
-  CAST(least(greatest(avg(confidence), 0), 1) AS DOUBLE) AS confidence FROM k GROUP BY ALL),
-facts AS (SELECT * FROM f WHERE auth UNION ALL SELECT * FROM f WHERE NOT auth AND n_claimants >= 2 AND dedup_key NOT IN (SELECT dedup_key FROM f WHERE auth))"""
+k AS (SELECT *, 'promotion:' || ch || ':' || sh AS dedup_key, claimant = 'agency:2' OR (claimant = 'agency:5' AND kind IN ('click', 'view')) AS auth,
+  claimant = 'agency:3' OR (claimant = 'agency:6' AND kind = 'purchase') AS lowers, struct_pack(a := observed_at, b := id) AS o FROM h),
+said AS (SELECT dedup_key, kind, rel_from, rel_to, true AS auth, CAST(1 AS BIGINT) AS n_claimants, CAST(1 AS BIGINT) AS n_support, max_by(source_id, o) AS representative, max_by(id, o) AS rid, max_by(confidence, o) AS mean FROM k WHERE auth GROUP BY ALL),
+agreed AS (SELECT dedup_key, kind, rel_from, rel_to, false AS auth, count(DISTINCT claimant) AS n_claimants, count(*) AS n_support, max_by(source_id, o) AS representative, max_by(id, o) AS rid, avg(confidence) AS mean FROM k
+  WHERE NOT auth GROUP BY dedup_key, kind, rel_from, rel_to HAVING count(DISTINCT claimant) >= CASE WHEN bool_or(lowers) THEN 2 ELSE 3 END),
+facts AS (SELECT *, CAST(least(greatest(mean, 0), 1) AS DOUBLE) AS confidence FROM (SELECT * FROM said UNION ALL SELECT * FROM agreed WHERE dedup_key NOT IN (SELECT dedup_key FROM said))),
+edges AS (SELECT dedup_key, rid AS id, 'promotion' AS role FROM facts WHERE auth UNION ALL SELECT k.dedup_key, k.id, 'consensus_support' FROM k JOIN facts f USING (dedup_key) WHERE NOT k.auth AND NOT f.auth)"""
+
+
+def _registry(spark):
+    return spark.createDataFrame(REGISTRY, "claimant string, metric string, topic string, quorum int")
 
 
 def _facts(spark, d, promoted=None):
-    registry = spark.createDataFrame(REGISTRY, "claimant string, topic string, quorum int")
-    return C.promote(B.claims(spark, d), registry, promoted if promoted is not None else spark.createDataFrame([], "dedup_key string"), TOPICS)
+    return C.promote(B.claims(spark, d), _registry(spark), promoted if promoted is not None else spark.createDataFrame([], "dedup_key string"), TOPICS)
+
+
+def _edges(spark, d):
+    judged = C.judged(B.claims(spark, d), _registry(spark), TOPICS)
+    return C.support_edges(C.promoted_groups(judged), judged)
 
 
 @query(oracle("claims", "SELECT dedup_key, kind, rel_from, rel_to, n_claimants, n_support, representative, round(confidence + 0.0000003, 4) AS confidence, CASE WHEN auth THEN 'derived#authoritative' ELSE 'derived#consensus' END AS source_id FROM facts", HASHES))
 def promoted_facts(spark, d):
     """Facts with their support; the small addend keeps 32-bit confidences from either side of a tie in rounding."""
-    f = _facts(spark, d)
-    return f.select("dedup_key", *C.TRIPLE, "n_claimants", F.size("support").cast("long").alias("n_support"), "representative", F.round(F.col("confidence").cast("double") + F.lit(3e-7), 4).alias("confidence"), "source_id")
+    return _facts(spark, d).drop("representative_id").withColumn("confidence", F.round(F.col("confidence").cast("double") + F.lit(3e-7), 4))
 
 
 @query(oracle("claims", "SELECT count(*) AS n FROM facts WHERE false", HASHES))
@@ -126,14 +139,42 @@ def promotion_report(spark, d):
     return C.promotion_report(_facts(spark, d), B.claims(spark, d))
 
 
-@query(oracle("claims", "SELECT CASE WHEN f.auth THEN 'promotion' ELSE 'consensus_support' END AS role, count(*) AS n FROM facts f JOIN k ON k.dedup_key = f.dedup_key AND k.auth = f.auth GROUP BY 1", HASHES))
+@query(oracle("claims", "SELECT role, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM edges GROUP BY 1", HASHES))
 def support_edges(spark, d):
-    return C.support_edges(_facts(spark, d)).groupBy("role").agg(F.count("*").alias("n"))
+    return _edges(spark, d).groupBy("role").agg(F.count("*").alias("n"), F.sum("parent_id").alias("ids"))
 
 
-@query(oracle("claims", "SELECT kind, count(*) AS n FROM k WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.dedup_key = k.dedup_key AND f.auth = k.auth) GROUP BY kind", HASHES))
+@query(oracle("claims", "SELECT kind, count(*) AS n FROM k WHERE id NOT IN (SELECT id FROM edges) GROUP BY kind", HASHES))
 def unpromoted_claims(spark, d):
-    return C.unpromoted(B.claims(spark, d), C.support_edges(_facts(spark, d))).groupBy("kind").agg(F.count("*").alias("n"))
+    return C.unpromoted(B.claims(spark, d), _edges(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(oracle("claims", "SELECT id, auth AS alone, CASE WHEN claimant = 'agency:2' OR (claimant = 'agency:5' AND kind = 'view') THEN 1 WHEN lowers THEN 2 END AS lowered FROM k", HASHES))
+def registry_verdicts(spark, d):
+    """What a registry with gates for metric and topic says of each claim."""
+    return C.judged(B.claims(spark, d), _registry(spark), TOPICS).select("id", "alone", "lowered")
+
+
+# --- P1 for every kind ----------------------------------------------------------------------
+
+
+@query("""SELECT event_id AS id, substr(sha256(CASE event_id % 4
+  WHEN 0 THEN '{"asserted_kind":"observation","currency":null,"metric":"m' || (user_id % 7) || '","period":"annual","unit":"t","value":' || CAST(user_id AS BIGINT) || '.5,"value_uncertainty":null}'
+  WHEN 1 THEN '{"actors":["company:' || user_id || '"],"asserted_kind":"event","direction":null,"event_type":"' || event_type || '","headline":"h"}'
+  WHEN 2 THEN '{"asserted_kind":"relation","from":"company:' || user_id || '","kind":"owns","to":"mine:1"}'
+  ELSE '{"asserted_kind":"entity_attribute","entity_id":"mine:' || user_id || '","key":"size","value":{"kind":"number","value":' || user_id || '.0}}' END), 1, 32) AS hash FROM events""")
+def content_hashes(spark, d):
+    """Hashes of what each kind of claim asserts, whatever the order of its fields; fields that are always written are null where they are not given."""
+    u = F.col("user_id").cast("string")
+    which = F.col("event_id") % 4
+    content = (
+        F.when(which == 0, F.concat(F.lit('{ "value": '), u, F.lit('.50, "unit": "t", "period":"annual", "metric":"m'), F.col("user_id") % 7, F.lit('"}')))
+        .when(which == 1, F.concat(F.lit('{"headline":"h","event_type":"'), "event_type", F.lit('","actors":["company:'), u, F.lit('"]}')))
+        .when(which == 2, F.concat(F.lit('{"to":"mine:1","kind":"owns","from":"company:'), u, F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"value":{"value":'), u, F.lit('.0,"kind":"number"},"key":"size","entity_id":"mine:'), u, F.lit('"}')))
+    )
+    kind = F.when(which == 0, "observation").when(which == 1, "event").when(which == 2, "relation").otherwise("entity_attribute")
+    return B.table(spark, d, "events").select(F.col("event_id").alias("id"), C.asserted_hash(kind, content).alias("hash"))
 
 
 # --- keys and plan scoping: P22, PF1, J4, J7-J9, J11, S2, PF18 ------------------------------
@@ -426,7 +467,9 @@ def selected_pages(spark, d):
 
 @query("SELECT 'k' AS path, 'number' AS value_kind, count(*) AS n, min(json_extract_string(props, '$.k')) AS sample, CAST(NULL AS INT) AS longest FROM events")
 def json_shape(spark, d):
-    return DOC.json_shape(B.table(spark, d, "events"), "event_id", "props")
+    """Paths one level deep with their kinds, counts, least samples and longest arrays."""
+    paths = J.json_paths(B.table(spark, d, "events"), ["event_id"], "props").filter("size(place) = 1")
+    return paths.groupBy(F.substring("path", 3, 1000).alias("path"), F.col("kind").alias("value_kind")).agg(F.count("*").alias("n"), F.min("sample").alias("sample"), F.max("length").cast("int").alias("longest"))
 
 
 @query(r"SELECT event_id, regexp_replace(regexp_replace('call with Bearer abc' || event_id || ' and ' || repeat('ab12', 12) || ' end', '([Bb]earer )\S+', '\1***', 'g'), '[A-Za-z0-9+/_-]{40,}', '***', 'g') AS line FROM events WHERE event_type = 'error'")
@@ -572,10 +615,18 @@ def expectation_coverage(spark, d):
 def recipe_lineage(spark, d):
     n = F.right("recipe_id", F.lit(12)).cast("long")
     r = B.recipes(spark, d).withColumn("prior", F.when(n % 20 != 0, B.uu(n - 1)))
-    return D.lineage(r, "version = 3", "prior").select("root", "depth", "recipe_id")
+    return S.lineage(r, "recipe_id", "prior", start="version = 3").select("root", "depth", F.col("id").alias("recipe_id"))
 
 
-@query(None)
+_ATTEMPTS = """a AS (SELECT 'h' || (user_id % 50) AS host, ts AS tm, event_type = 'error' AS failed, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 3000 END AS retry_after, event_id AS seq FROM events),
+b AS (SELECT *, (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE AS now FROM a), r AS (SELECT *, count(*) FILTER (WHERE NOT failed) OVER (PARTITION BY host ORDER BY tm, seq) AS run FROM b WHERE tm <= now),
+c AS (SELECT *, count(*) FILTER (WHERE failed) OVER (PARTITION BY host, run ORDER BY tm, seq) AS failures FROM r), w AS (SELECT *, struct_pack(a := tm, s := seq) AS o, CAST(coalesce(retry_after, least(60, 2 ** least(failures - 1, 6))) AS BIGINT) AS wait FROM c),
+l AS (SELECT host, max_by(failures, o) AS failures, max_by(wait, o) FILTER (WHERE failed) AS wait, max_by(tm, o) FILTER (WHERE failed) AS tm, max(now) AS now FROM w GROUP BY 1)"""
+
+
+@query("WITH " + _ATTEMPTS + " SELECT host, CAST(failures AS INT) AS failures, coalesce(wait, 0) AS wait, CASE WHEN tm + to_seconds(wait) > now THEN 'blocked' WHEN failures > 0 THEN 'recovering' ELSE 'clean' END AS state FROM l")
 def backoff_states(spark, d):
-    events = B.table(spark, d, "events").select(F.concat(F.lit("h"), F.col("user_id") % 50).alias("host"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, 30)).alias("retry_after"), (F.col("event_type") == "error").alias("failed"), F.col("event_id").alias("seq"))
-    return host_backoff(events)
+    """The state of each host half an hour before the last event."""
+    events = B.table(spark, d, "events").select(F.concat(F.lit("h"), F.col("user_id") % 50).alias("host"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, 3000)).alias("retry_after"), (F.col("event_type") == "error").alias("failed"), F.col("event_id").alias("seq"))
+    now = events.agg((F.max("at") - F.expr("INTERVAL 30 MINUTES")).alias("now")).first()["now"]
+    return host_backoff(events, F.lit(now)).select("host", "failures", "wait", "state")

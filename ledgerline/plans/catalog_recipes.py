@@ -16,7 +16,7 @@ PLAN = '{"topic":"wind","tags":["a","b"],"scope":{"regions":[{"name":"north"}]}}
 
 def _recipes(spark, *rows):
     """Recipes with defaults for what a row does not say."""
-    base = {"recipe_id": "r", "source_id": "src", "version": 2, "source_url": "https://x.org/f", "mode": "json_path", "path": "$.v", "attribute": None, "iterator_mode": None, "iterator_path": None, "inner": [], "topics": ["wind", "storms"], "plan": PLAN, "bindings": []}
+    base = {"recipe_id": "r", "source_id": "src", "version": 2, "source_url": "https://x.org/f", "mode": "json_path", "path": "$.v", "attribute": None, "iterator_mode": None, "iterator_path": None, "inner": [], "topics": ["wind", "storms"], "plan": PLAN, "bindings": [], "grp": None, "filter_column": None, "filter_value": None, "spot": None}
     names = list(base)
     return spark.createDataFrame([tuple((base | r)[n] for n in names) for r in rows], R.RECIPE)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import audit, claims as C, dml
 from ..operators import documents as DOC
 from ..operators import state as S
@@ -127,14 +128,17 @@ def gated_kinds(spark, d):
     return kept.groupBy("kind").agg(F.count("*").alias("n")).union(c.agg(F.concat(F.lit("other: "), F.array_join(other, ",")).alias("kind"), F.lit(0).cast("long"))).union(DOC.plan_gate(c, [])[0].agg(F.lit("all"), F.count("*")))
 
 
-@query("SELECT c_custkey AS id, count(p) AS n FROM customer LEFT JOIN (SELECT unnest(['[\"mine_1\",\"mine:2\"]', '[\"mineX1\"]', '[]']) AS p) ON p LIKE '%\"mine_' || (c_custkey % 4) || '\"%' GROUP BY 1")
+_PATTERNS = """t AS (SELECT s_suppkey AS id, '{"a":["mine_' || (s_suppkey % 5) || '","mineX' || (s_suppkey % 3) || '"],"b":"x"y' || (s_suppkey % 2) || '"}' AS p FROM supplier),
+n AS (SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN 'mine_' || (c_custkey % 7) WHEN 1 THEN 'x_y' || (c_custkey % 4) ELSE '_in__' || (c_custkey % 5) END AS name FROM customer)"""
+
+
+@query("WITH " + _PATTERNS + " SELECT name, count(*) AS n FROM n JOIN t ON p LIKE '%\"' || name || '\"%' GROUP BY 1")
 def named_by_pattern(spark, d):
-    """Names looked for in JSON by LIKE, where an underscore in a name fits any character."""
-    plans = spark.createDataFrame([('["mine_1","mine:2"]',), ('["mineX1"]',), ("[]",)], "p string")
-    e = B.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 4).alias("m"))
-    names = e.select("m").distinct().withColumn("pattern", F.concat(F.lit('%"mine_'), "m", F.lit('"%')))
-    per = names.join(plans, F.expr("p LIKE pattern")).groupBy("m").agg(F.count("*").alias("n"))
-    return e.join(per, "m", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """Names looked for between the quotes of JSON as LIKE does, where an underscore in a name fits any character, even a quote."""
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    texts = B.table(spark, d, "supplier").select(k.alias("id"), F.concat(F.lit('{"a":["mine_'), k % 5, F.lit('","mineX'), k % 3, F.lit('"],"b":"x"y'), k % 2, F.lit('"}')).alias("p"))
+    names = B.table(spark, d, "customer").select(F.when(c % 3 == 0, F.concat(F.lit("mine_"), c % 7)).when(c % 3 == 1, F.concat(F.lit("x_y"), c % 4)).otherwise(F.concat(F.lit("_in__"), c % 5)).alias("name"))
+    return T.quoted_names(texts, "id", "p", names, "name").groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query(oracle("outcomes recipes", "SELECT o.kind, count(*) AS n FROM outcomes o JOIN r ON r.recipe_id = o.recipe_id AND r.dedup_key LIKE o.plan_id || ':host1%' GROUP BY 1", "r AS (SELECT recipe_id, plan_id || ':' || source_id || ':metric:' || slot AS dedup_key FROM recipes)"))
@@ -161,7 +165,7 @@ def plan_lineage(spark, d):
     return S.lineage(B.table(spark, d, "supplier").select(k.alias("plan"), F.when(k % 7 != 1, k - 1).alias("reclassified_from")), "plan", "reclassified_from")
 
 
-@query(oracle("claims", "SELECT f.dedup_key, CASE WHEN c.id % 2 = 0 THEN 'relation' ELSE 'assertion' END AS record_type, CASE WHEN c.id % 2 = 1 THEN CASE WHEN auth THEN 'agency:authoritative' ELSE 'agency:consensus' END END AS claimant, c.kind || ',lithium,extra' AS topics, n_support, 'derived' AS license FROM facts f JOIN newest USING (dedup_key, auth) JOIN claims c ON c.id = newest.id", HASHES + ", newest AS (SELECT dedup_key, auth, max_by(id, struct_pack(a := observed_at, b := id)) AS id FROM k GROUP BY 1, 2)"))
+@query(oracle("claims", "SELECT f.dedup_key, CASE WHEN c.id % 2 = 0 THEN 'relation' ELSE 'assertion' END AS record_type, CASE WHEN c.id % 2 = 1 THEN CASE WHEN auth THEN 'agency:authoritative' ELSE 'agency:consensus' END END AS claimant, c.kind || ',lithium,extra' AS topics, n_support, 'derived' AS license FROM facts f JOIN claims c ON c.id = f.rid", HASHES))
 def promoted_rows(spark, d):
     """Whole rows of facts: relations to their table, attributes as assertions of the promoting agency, topics of the plan added."""
     c = B.claims(spark, d).select("id", F.when(F.col("id") % 2 == 0, "relation").otherwise("entity_attribute").alias("asserted_kind"), "observed_at", F.to_json(F.struct("kind", "rel_from")).alias("content"), F.array("kind", F.lit("lithium")).alias("topics"), F.array("rel_from", "rel_to").alias("entities"))
@@ -228,7 +232,7 @@ def merged_reports(spark, d):
     return S.merged_reports(_runs(spark, d).drop("run_id"))
 
 
-@query(oracle("claims", """SELECT id, substr(sha256('{"asserted_kind":"relation","kind":"a\\"b","rel_from":"' || rel_from || '","rel_to":"c\\\\d"}'), 1, 32) AS hash FROM claims""".replace("\\\\\\\\", "\\\\")))
+@query(oracle("claims", """SELECT id, substr(sha256('{"asserted_kind":"relation","from":"' || rel_from || '","kind":"a\\"b","to":"c\\\\d"}'), 1, 32) AS hash FROM claims""".replace("\\\\\\\\", "\\\\")))
 def quoted_content_hashes(spark, d):
     """Quotes and backslashes in a value are escaped in the text that is hashed."""
     c = B.claims(spark, d).select("id", F.lit('a"b').alias("kind"), "rel_from", F.lit("c\\d").alias("rel_to"))

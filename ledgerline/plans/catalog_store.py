@@ -12,6 +12,7 @@ from ..sources import bridge as B
 from ..sources import store
 from ..sources.bridge import oracle
 from . import catalog
+from ..operators import dashboard as D
 from .catalog import query
 
 
@@ -66,14 +67,14 @@ def recipe_keys(spark, d):
     return B.recipes(spark, d).groupBy(recipe_dedup_key(F.col("plan_id"), F.col("source_id"), F.lit("metric"), F.col("slot")).alias("dedup_key")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey AS id, n_name AS suggestion FROM nation WHERE length(n_name) > 2")
+@query("SELECT c_custkey AS id, n_name AS suggestion FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE length(n_name) > 2")
 def near_misses(spark, d):
     """Names with two letters swapped, and the only name near them."""
-    n = B.table(spark, d, "nation")
-    names = n.agg(F.collect_set("n_name").alias("names"))  # one row of 25 names
+    names = B.table(spark, d, "nation")
     wrong = F.concat(F.substring("n_name", 2, 1), F.substring("n_name", 1, 1), F.substring("n_name", 3, 100))
     typo = F.when(F.substring("n_name", 1, 1) == F.substring("n_name", 2, 1), F.concat("n_name", F.lit("x"))).otherwise(wrong)
-    return n.filter("length(n_name) > 2").crossJoin(F.broadcast(names)).withColumn("typo", typo).select(F.col("n_nationkey").alias("id"), T.near_miss(F.col("typo"), F.col("names")).alias("suggestion"))
+    rows = B.table(spark, d, "customer").join(names.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey").filter("length(n_name) > 2").select(F.col("c_custkey").alias("id"), typo.alias("typo"))
+    return rows.join(T.near_misses(rows, "typo", names, "n_name"), "typo").select("id", "suggestion")
 
 
 @query("SELECT c_custkey AS id, c_acctbal / 50 BETWEEN -180 AND 180 AND c_acctbal / 100 BETWEEN -90 AND 90 AS ok FROM customer")
@@ -81,7 +82,7 @@ def valid_positions(spark, d):
     return B.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), V.valid_position(F.col("c_acctbal") / 50, F.col("c_acctbal") / 100).alias("ok"))
 
 
-@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN c_custkey || ' t' WHEN 1 THEN 'yes' ELSE 'a, b' END AS shown FROM customer")
+@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN format('{:,}', c_custkey) || ' t' WHEN 1 THEN 'true' ELSE '{\"kind\":\"topic_list\",\"value\":[\"a\",\"b\"]}' END AS shown FROM customer")
 def attribute_tiles(spark, d):
     i = F.col("c_custkey")
     number = F.concat(F.lit('{"kind":"number","value":{"value":'), i, F.lit(',"unit":"t"}}'))
@@ -104,10 +105,10 @@ def nomination_status(spark, d):
 RUNS = 40
 
 
-@query(oracle("outcomes", "SELECT recipe_id, " + ", ".join(f"count(*) FILTER (WHERE run_id = {r}) AS run{r}" for r in range(RUNS)) + " FROM outcomes GROUP BY 1"))
+@query(oracle("outcomes", "SELECT recipe_id, " + ", ".join(f"count(*) FILTER (WHERE place = {r}) AS run{r}" for r in range(1, RUNS + 1)) + " FROM outcomes JOIN r USING (run_id) GROUP BY 1", "r AS (SELECT run_id, row_number() OVER (ORDER BY max(attempted_at) DESC, run_id) AS place FROM outcomes GROUP BY 1)"))
 def outcome_heatmap(spark, d):
-    cells = B.outcomes(spark, d).groupBy("recipe_id").pivot("run_id", list(range(RUNS))).agg(F.count(F.lit(1)))
-    return cells.select("recipe_id", *[F.coalesce(F.col(str(r)), F.lit(0)).cast("long").alias(f"run{r}") for r in range(RUNS)])
+    """Outcomes of each recipe in each of the latest runs, newest first: the columns are places, whatever the runs are called."""
+    return D.heatmap(B.outcomes(spark, d), RUNS)
 
 
 @query(oracle("docs", "SELECT id, length(body) > 0 AND norm = 'text/html' AS html, norm IN ('text/html', 'text/plain') AS eligible FROM (SELECT id, body, lower(trim(split_part(mime, ';', 1))) AS norm FROM docs)"))

@@ -116,7 +116,8 @@ def text_file(path: str) -> str:
 
 
 def attribute_text(value: Column) -> Column:
-    """An attribute value (JSON with kind and value) as a tile shows it."""
+    """An attribute value (JSON with kind and value) as a tile shows it; a kind that tiles do not know is shown as its JSON."""
     get = lambda p: F.get_json_object(value, p)
-    number = F.concat_ws(" ", get("$.value.value"), get("$.value.unit"))
-    return F.when(get("$.kind") == "number", number).when(get("$.kind") == "boolean", F.when(get("$.value") == "true", "yes").otherwise("no")).when(get("$.kind").isin("entity_list", "topic_list"), F.array_join(F.from_json(get("$.value"), "array<string>"), ", ")).otherwise(get("$.value"))
+    kind = get("$.kind")
+    number = F.concat_ws(" ", F.regexp_replace(F.call_function("format_number", get("$.value.value").try_cast("double"), F.lit("#,##0.###")), r"\.$", ""), F.nullif(get("$.value.unit"), F.lit("")))
+    return F.when(kind == "number", number).when(kind.isin("text", "boolean", "country", "topic", "entity"), get("$.value")).otherwise(value)

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from ledgerline.plans.catalog_state import catalog
+from ledgerline.plans.catalog_listings import catalog
 
 TABLES = Path("/root/testdata/sf0.001")
 
