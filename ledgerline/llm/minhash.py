@@ -12,7 +12,7 @@ low ``BITS`` bits of every minimum are packed into a signature, one bit plane af
   size, pairs of different components whose sizes allow it.  Only candidates whose similarity,
   estimated by counting equal places in the packed signatures and corrected for the places that
   agree by chance (one in 2^BITS), comes near the threshold leave the tile; of these again only
-  those whose parities (``PARITY`` bits that each shingle flips one of) allow a link: the bits in
+  those whose parities (2,048 bits that each shingle flips one of) allow a link: the bits in
   which two sets differ are never more than the shingles in which they do.
 * Every candidate is confirmed on the whole sets.
 
@@ -39,16 +39,14 @@ from . import bytewords as bw
 from . import set_join as sj
 from .exchange import slices
 from .shared import giving_back, materialise
+from .sketches import parities, parted
+from .tiles import TILE, compared
 
 PERCENT, WORDS = 80, 4
 HASHES, ROWS, BITS = 192, 5, 4
 BANDS = HASHES // ROWS
 #: Estimates this far below the threshold are still confirmed.
 MARGIN = 0.22
-#: Classes of one band value that one task compares with so many others.
-TILE = 4096
-#: Bits of a set's parities.
-PARITY = 2048
 #: Shingles hashed at a time.
 CHUNK = 1 << 14
 
@@ -105,21 +103,6 @@ def estimated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((HASHES - differ) / HASHES - chance) / (1 - chance)
 
 
-def parities(token: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each set, of which of its PARITY groups of shingles it has an odd number."""
-    n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    odd = np.bincount(row * PARITY + (bw.mix(token ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(PARITY)).astype(np.int64), minlength=n * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, PARITY), axis=1).view("<u8")
-
-
-def apart(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
-    """Whether parities show that sets of these sizes differ in too many shingles for a link."""
-    total = nx.astype(np.int64) + ny
-    shared = -(-percent * total // (100 + percent))
-    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) > total - 2 * shared
-
-
 def _described(k: int):
     """Each row's set size, identity, signature, parities and bands."""
 
@@ -147,48 +130,18 @@ def _described(k: int):
     return describe
 
 
-def _tile(percent: int):
-    """Pairs of different components inside a tile whose sizes and estimates allow a link."""
-
-    @giving_back
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("n")
-        key, label, n, side = (table.column(c).to_numpy() for c in ("key", "label", "n", "side"))
-        packed, odd = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<u8").reshape(len(key), -1) for c in ("packed", "odd"))
-        # Sides: 0 and 1 in a tile of two blocks, 2 in the tile of one block with itself.
-        until = np.searchsorted(n, (n * 100) // percent, side="right")
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(key), 64):
-            hi = min(lo + 64, len(key))
-            top = int(until[lo:hi].max())
-            j = np.arange(lo, top)
-            open_ = (label[lo:hi, None] != label[None, j]) & (j[None, :] > np.arange(lo, hi)[:, None]) & (j[None, :] < until[lo:hi, None]) & ((side[lo:hi, None] != side[None, j]) | (side[lo:hi, None] == 2))
-            i, at = np.nonzero(open_)
-            for part in range(0, len(i), 1 << 18):
-                x, y = i[part : part + (1 << 18)] + lo, j[at[part : part + (1 << 18)]]
-                like = estimated(packed[x], packed[y]) >= percent / 100 - MARGIN
-                x, y = x[like], y[like]
-                like = ~apart(odd[x], odd[y], n[x], n[y], percent)
-                xs.append(x[like])
-                ys.append(y[like])
-        x, y = key[np.concatenate(xs)], key[np.concatenate(ys)]
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
-
-    return compare
-
-
-def _inside(entries: DataFrame, classes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Candidates of different components that share a band's value, by estimate."""
+def _inside(entries: DataFrame, classes: DataFrame, label: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """Candidates of different components that share a band's value, by size, estimate and parities."""
     marked = entries.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    open_ = marked.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).filter("lo < hi").select("band", "many")
+    open_ = marked.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
     held = marked.join(open_, "band").join(classes.select(F.col("number").alias("key"), "n", "packed", "odd"), "key")
-    # A value that more than TILE classes have is cut into blocks; each pair of blocks is a tile.
-    blocks = F.ceil(F.col("many") / TILE).cast("int")
-    held = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), F.when(o == F.col("block"), 2).when(o < F.col("block"), 1).otherwise(0).alias("side"))))
-    whole = held.filter("blocks = 1").select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "key", "label", "n", "packed", "odd")
-    tiles = held.filter("blocks > 1").select("band", tile.alias("t"), "key", "label", "n", "packed", "odd").select("band", "t.i", "t.j", "t.side", "key", "label", "n", "packed", "odd")
-    return whole.union(tiles).groupBy("band", "i", "j").applyInArrow(_tile(percent), "x long, y long").distinct()
+
+    def test(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        near = estimated(c["packed"][x], c["packed"][y]) >= percent / 100 - MARGIN
+        near[near] = ~parted(c["odd"][x[near]], c["odd"][y[near]], c["n"][x[near]], c["n"][y[near]], percent)
+        return near.astype(np.int64)
+
+    return compared(held, ["band"], "n", lambda c: c["n"].astype(np.int64) * 100 // percent, test, tile).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = WORDS) -> DataFrame:
@@ -225,7 +178,7 @@ def _estimated(percent: int):
         for batch in batches:
             of = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
             x, y, ox, oy = (np.frombuffer(b"".join(of(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("px", "py", "ox", "oy"))
-            near = (estimated(x, y) >= percent / 100 - MARGIN) & ~apart(ox, oy, of("nx").to_numpy(), of("ny").to_numpy(), percent)
+            near = (estimated(x, y) >= percent / 100 - MARGIN) & ~parted(ox, oy, of("nx").to_numpy(), of("ny").to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("x", "y")], names=["x", "y"]).filter(pa.array(near))
 
     return keep

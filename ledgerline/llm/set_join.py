@@ -9,13 +9,15 @@ Jaccard similarity reaches ``percent``; the result is the component of each docu
   first 2 m + 1; a set with too few shingles there that any other set has cannot have a
   partner.  Most sets end here, and their texts are not read again.
 * The rest is indexed: the first m + 1 shingles of each, the widely used ones last.  Index
-  lists are cut into blocks by size band; blocks of other bands are skipped, and within
-  blocks an entry is skipped if the places of the shingle in both sets, or the parity
-  bitmaps of both sets, leave too few common shingles.
-* Answers of similar sets are derived, not searched: first every set is compared with at
-  most four leaders of each block (least and greatest by key and by size), which joins the
-  copies of one text in a step linear in their number.  Sets of one component then share
-  their answer, and the lists are searched only for pairs of different components.
+  lists are cut by size band; sets of other bands are skipped.
+* First every set is compared with at most four leaders of each list (least and greatest by key
+  and by size), which joins the copies of one text in a step linear in their number.  What each
+  set has in common with its most similar leader is kept as its answer.
+* Then lists that hold sets of different components are searched, in tiles of bounded size and
+  in the order of the shingle's place in the sets: blocks of places that leave too few common
+  shingles on either side are skipped.  A pair with one leader is derived from its answers: they
+  bound what the two have in common from above, which ends most, and from below, which links some
+  unseen.  Parities (2,048 bits, each shingle flips one) end most of the others.
 
 Every remaining candidate pair is verified on the whole sets.  Rows are known by 96 bits of two
 hashes of id and text, sets by 128 bits and their size, and classes by numbers given to them.
@@ -40,6 +42,8 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .exchange import dealt, slices
 from .shared import giving_back, group_count, materialise
+from .sketches import parities, parted
+from .tiles import compared
 
 PERCENT, WORDS = 90, 3
 GROUPS = 4
@@ -175,7 +179,7 @@ def _usage(bodies: DataFrame, k: int) -> np.ndarray:
 
 
 def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFrame:
-    """Index entries: token, key, n, place, band, four words of parity bitmap, and the two shingles before."""
+    """Index entries: token, key, n, place, band, four words of parity bitmap, the two shingles before, and with a set's first entry all its parities."""
     level = np.log2(np.maximum(usage, 1)).astype(np.uint8)
     shared = bodies.sparkSession.sparkContext.broadcast(level)
 
@@ -195,45 +199,89 @@ def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFr
                 first = token[order].view(np.int64)
                 before = [pa.array(np.roll(first, j)[keep], pa.int64(), mask=place[keep] < j) for j in (1, 2)]
                 band = np.floor(np.log(n[r]) / math.log(100 / percent)).astype(np.int32)
+                odd = parities(token, offsets)
+                first_entry = place[keep] == 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[order][keep].view(np.int64)), part.column(0).take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(band), *[pa.array(np.ascontiguousarray(bitmap[r, j])) for j in range(4)], *before],
-                    names=["token", "key", "n", "place", "band", "w0", "w1", "w2", "w3", "p1", "p2"],
+                    [pa.array(token[order][keep].view(np.int64)), part.column(0).take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(band), *[pa.array(np.ascontiguousarray(bitmap[r, j])) for j in range(4)], *before, pa.array([odd[i].tobytes() if one else None for i, one in zip(r.tolist(), first_entry.tolist(), strict=True)], pa.binary())],
+                    names=["token", "key", "n", "place", "band", "w0", "w1", "w2", "w3", "p1", "p2", "odd"],
                 )
 
-    return bodies.select("key", "body").mapInArrow(entries, "token long, key long, n int, place int, band int, w0 long, w1 long, w2 long, w3 long, p1 long, p2 long")
+    return bodies.select("key", "body").mapInArrow(entries, "token long, key long, n int, place int, band int, w0 long, w1 long, w2 long, w3 long, p1 long, p2 long, odd binary")
 
 
-def _possible(x: str, y: str, percent: int) -> Column:
-    """Whether two index entries of a shingle can belong to linked sets, by sizes, places and bitmaps."""
-    total = f"({x}.n + {y}.n)"
-    least = f"CAST(ceil({percent} * {total} / {100.0 + percent}D - 1e-9D) AS INT)"
-    differ = " + ".join(f"bit_count({x}.w{j} ^ {y}.w{j})" for j in range(4))
-    return F.expr(
-        f"least({x}.n, {y}.n) * 100 >= greatest({x}.n, {y}.n) * {percent}"
-        f" AND least({x}.place, {y}.place) + least({x}.n - {x}.place, {y}.n - {y}.place) >= {least}"
-        f" AND {differ} <= {total} - 2 * {least}"
-    )
-
-
-def _verified(pairs: DataFrame, bodies: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets reach the similarity."""
+def _overlaps(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
+    """x, y with the size of their whole sets (nx, ny) and of what these have in common (both)."""
 
     @giving_back
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            found = []
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 (ta, oa), (tb, ob) = _sets(part.column(2), k), _sets(part.column(3), k)
                 for i in range(part.num_rows):
                     a, b = ta[oa[i] : oa[i + 1]], tb[ob[i] : ob[i + 1]]
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+                    found.append((len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))))
+            sizes = [pa.array(c, pa.int32()) for c in (zip(*found, strict=True) if found else ([], [], []))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes], names=["x", "y", "nx", "ny", "both"])
 
     a = bodies.select(F.col("key").alias("x"), F.col("body").alias("bx"))
     b = bodies.select(F.col("key").alias("y"), F.col("body").alias("by"))
-    return pairs.join(a, "x").join(b, "y").select("x", "y", "bx", "by").mapInArrow(verify, "x long, y long")
+    return pairs.join(a, "x").join(b, "y").select("x", "y", "bx", "by").mapInArrow(count, "x long, y long, nx int, ny int, both int")
+
+
+def _linked(overlaps: DataFrame, percent: int) -> DataFrame:
+    return overlaps.filter(F.col("both").cast("long") * 100 >= percent * (F.col("nx").cast("long") + F.col("ny") - F.col("both"))).select("x", "y")
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs (x, y) whose whole sets reach the similarity."""
+    return _linked(_overlaps(pairs, bodies, k), percent)
+
+
+def _answers(overlaps: DataFrame) -> DataFrame:
+    """Of each set the most similar leader it was compared with: lead, the size of what they have in common (over), and the leader's own (lead_n)."""
+    both = overlaps.select(F.col("x").alias("key"), F.col("y").alias("lead"), F.col("both").alias("over"), F.col("ny").alias("lead_n")).union(overlaps.select("y", "x", "both", "nx"))
+    best = F.max_by(F.struct("lead", "over", "lead_n"), F.struct("over", -F.col("lead")))
+    return both.groupBy("key").agg(best.alias("a")).select("key", "a.*")
+
+
+def _derivable(percent: int):
+    """The test of two index entries of a shingle: 0 if they cannot be linked, 1 if their whole sets must be compared, 2 if they are linked by what is known of their leader."""
+
+    def test(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, place, lead, over = c["n"].astype(np.int64), c["place"], c["lead"], c["over"].astype(np.int64)
+        total = n[x] + n[y]
+        least = -(-percent * total // (100 + percent))
+        ok = (c["own"][x] | c["own"][y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        ok &= np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y]) >= least
+        # A pair is made at its first common shingle: later lists leave it out where one of the two shingles before is common.
+        for a, at_a in (("p1", 1), ("p2", 2)):
+            for b, at_b in (("p1", 1), ("p2", 2)):
+                ok &= ~((place[x] >= at_a) & (place[y] >= at_b) & (c[a][x] == c[b][y]))
+        # What two sets have in common beside a third: at most what one has with it and the other without it, at least what both must have with it.
+        same = (lead[x] == lead[y]) & (lead[x] >= 0)
+        most = np.minimum(over[x] + n[y] - over[y], over[y] + n[x] - over[x])
+        sure = same & (over[x] + over[y] - c["lead_n"][x] >= least)
+        ok &= ~same | (most >= least)
+        # The leader itself: the answer is there.
+        ok &= (lead[x] != c["key"][y]) & (lead[y] != c["key"][x])
+        ok[ok] = ~parted(c["odd"][x[ok]], c["odd"][y[ok]], n[x[ok]], n[y[ok]], percent)
+        return np.where(ok, np.where(sure, 2, 1), 0)
+
+    return test
+
+
+def _reach(percent: int):
+    """Up to which place an entry's partners can stand in their sets."""
+
+    def until(c: dict[str, np.ndarray]) -> np.ndarray:
+        n = c["n"].astype(np.int64)
+        # The larger of two sets has 100 n / percent shingles at most; beyond, too few places are left on either side.
+        largest = n * 100 // percent
+        return c["place"] + largest + -percent * (n + largest) // (100 + percent)
+
+    return until
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
@@ -367,26 +415,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pick = F.explode(F.array(*[F.struct(*[F.col(f"{h}.{c}").alias(c) for c in ("key", "n", *rest)]) for h in "abcd"]))
     led = index.alias("x").join(heads, ["token", "band"]).select("x.*", pick.alias("y")).filter("key <> y.key").filter(_possible_flat(percent))
     pairs = led.select(F.least("key", "y.key").alias("x"), F.greatest("key", "y.key").alias("y")).distinct()
-    links = materialise(_verified(pairs, bodies, percent, k))
+    seen = materialise(_overlaps(pairs, bodies, k))
+    links = _linked(seen, percent)
     label = components(links)
 
-    # Then only pairs of different components, in lists that hold any.
-    marked = index.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    # Then only pairs of different components, in lists that hold any: by position, and with what the leaders' answers tell.
+    marked = index.drop("w0", "w1", "w2", "w3", "odd").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    open_ = materialise(marked.join(mixed, "token"))
-    larger = open_.withColumn("block", F.explode(F.array("band", F.col("band") - 1)))
-    smaller = open_.withColumn("block", F.col("band"))
-    # A pair is made at its first common shingle: later lists leave it out where one of the two shingles before is common.
-    first_met = F.expr("NOT (coalesce(x.p1 = y.p1, false) OR coalesce(x.p1 = y.p2, false) OR coalesce(x.p2 = y.p1, false) OR coalesce(x.p2 = y.p2, false))")
-    near = smaller.alias("x").join(larger.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") != F.col("y.label")) & F.expr("x.n < y.n OR (x.n = y.n AND x.key < y.key)") & first_met & _possible("x", "y", percent))
-    more = _verified(near.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct(), bodies, percent, k)
-    label = components(links.union(more))
-
+    about = index.filter("odd IS NOT NULL").select("key", "odd").join(_answers(seen), "key", "left")
+    open_ = marked.join(mixed, "token").join(about, "key")
+    zero = {c: F.coalesce(c, F.lit(z)) for c, z in (("p1", 0), ("p2", 0), ("lead", -1), ("over", 0), ("lead_n", 0))}
+    entries = open_.withColumns(zero).withColumn("block", F.explode(F.array("band", F.col("band") - 1))).withColumn("own", F.col("block") == F.col("band")).drop("band")
+    more = materialise(compared(entries, ["token", "block"], "place", _reach(percent), _derivable(percent)))
+    sure = more.filter("mark = 2").select("x", "y")
+    label = components(links.union(sure).union(_verified(more.filter("mark = 1").select("x", "y"), bodies, percent, k)))
     return of_rows(docs, doc_id, text, rows, classes, label)
 
 
 def _possible_flat(percent: int) -> Column:
-    """_possible for an entry and its leader in the struct column y."""
+    """Whether an index entry and its leader (the struct column y) can belong to linked sets, by sizes, places and bitmaps."""
     total = "(n + y.n)"
     least = f"CAST(ceil({percent} * {total} / {100.0 + percent}D - 1e-9D) AS INT)"
     differ = " + ".join(f"bit_count(w{j} ^ y.w{j})" for j in range(4))
