@@ -5,14 +5,18 @@ else one blank).  A window is one 64-bit key of four 16-bit characters, so the k
 its context and of its lower orders are shifts and masks of it; counts and probabilities
 lie in arrays sorted by key.  Counts of all orders, discounts and totals of contexts cover every
 training text and are made by Spark.  The model, not the corpus, is bounded: every language has
-an equal share of MAX_CELLS probabilities and keeps its most frequent windows of each order; what
-a context loses so goes to the lower order, so that its probabilities still add up to one.
+an equal share of MAX_WINDOWS windows of each order, MOST_KEPT at most, and keeps its most frequent
+ones; what a context loses so goes to the lower order, so that its probabilities still add up to
+one.  With few languages the arrays have a column for each; with many (beyond DENSE_CELLS cells)
+they list only the languages that have a window, so that their size grows with the windows and not
+with the square of the languages.  Both give the same probabilities.
 
 A text gets the language with the lowest cross-entropy a character.  The score is a soft
 minimum over the languages; its sharpness, and the entropy above which a text is marked
 rejected (one in REJECTED of its language), are set on about CALIBRATION_ROWS labelled training
 texts, a tenth of them at most.  These are an equal share of the hash range of texts and are left out
-of the counts, with all their copies.
+of the counts, with all their copies.  A language with fewer than REJECTED of them has the entropy
+from an exponential tail beyond its median.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to
 the language first in order; no training rows make every text ``und``; repeated rows
@@ -33,9 +37,10 @@ from .exchange import slices
 from .shared import giving_back, materialise
 
 ORDER = 4
-MAX_CELLS = 16_000_000
-#: Windows of each order that a language keeps at least, if it has them.
-LEAST_KEPT = 1_000
+#: Windows of each order in the model, over all languages, and of one language at most.
+MAX_WINDOWS, MOST_KEPT = 8_000_000, 1_000_000
+#: Cells (windows times languages) of an order up to which it has a column for each language.
+DENSE_CELLS = 16_000_000
 CALIBRATION_ROWS, CALIBRATION_SHARE, REJECTED = 10_000, 0.1, 1_000
 UNKNOWN = "und"
 
@@ -125,46 +130,104 @@ def window_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 Grams = tuple[np.ndarray, np.ndarray, np.ndarray, float]
 
 
+class _Language:
+    """One language's interpolated probabilities of all orders, while the model is made."""
+
+    def __init__(self, grams: list[Grams], floor: float):
+        self.floor = np.float32(np.log(floor))
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # keys, log probabilities
+        self.backoff: list[tuple[np.ndarray, np.ndarray]] = []  # contexts, log weight of the lower order
+        for k, (keys, n, total, d) in enumerate(grams, 1):
+            contexts, own = np.unique(keys >> np.uint64(16), return_inverse=True)
+            sure = np.maximum(n - d, 0) / total
+            # What the windows at hand do not take; without any left out, discount times kinds over total.
+            back = np.maximum(1 - np.bincount(own, sure, len(contexts)), 1e-9)
+            lower = np.exp(self.log_p(keys & np.uint64((1 << 16 * (k - 1)) - 1), k - 1).astype(np.float64))
+            self.levels.append((keys, np.log(back[own] * lower + sure).astype(np.float32)))
+            self.backoff.append((contexts, np.log(back).astype(np.float32)))
+
+    def log_p(self, keys: np.ndarray, k: int) -> np.ndarray:
+        if k == 0:
+            return np.full(len(keys), self.floor, np.float32)
+        out, missed = _found(self.levels[k - 1], keys)
+        rest = keys[missed]
+        out[missed] = self.log_p(rest & np.uint64((1 << 16 * (k - 1)) - 1), k - 1) + _found(self.backoff[k - 1], rest >> np.uint64(16))[0]
+        return out
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each key, 0 where there is none, and the places without."""
+    known, value = table
+    if not len(known):
+        return np.zeros(len(keys), np.float32), np.arange(len(keys))
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = known[at] == keys
+    return np.where(hit, value[at], np.float32(0)), np.flatnonzero(~hit)
+
+
+class _Listed:
+    """For sorted keys, the languages that have each and their values, one key after another."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        keys = np.concatenate([p[0] for p in parts])
+        lang = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(p[0]) for p in parts])
+        order = np.lexsort((lang, keys))
+        self.lang, self.value = lang[order], np.concatenate([p[1] for p in parts])[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys))
+
+    def entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, language and value of all entries of the keys."""
+        if not len(self.keys):
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        many = np.where(self.keys[at] == keys, self.first[at + 1] - self.first[at], 0)
+        row = np.repeat(np.arange(len(keys)), many)
+        spot = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + self.first[at][row]
+        return row, self.lang[spot], self.value[spot]
+
+
 class Model:
     """Interpolated probabilities of all languages, looked up by sorted key."""
 
-    def __init__(self, langs: list[str], grams: dict[int, list[Grams]]):
+    def __init__(self, langs: list[str], grams: dict[int, list[Grams]], dense_cells: int = DENSE_CELLS):
         self.langs = langs
         size = len(langs)
         letters = np.unique(np.concatenate([g[0] for g in grams[1]]))
         self.floor = 1.0 / (len(letters) + 1)
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # keys, log probabilities (key, language)
-        self.backoff: list[tuple[np.ndarray, np.ndarray]] = []  # contexts, log weight of the lower order
-        for k in range(1, ORDER + 1):
-            union = np.unique(np.concatenate([g[0] for g in grams[k]]))
-            contexts = np.unique(union >> np.uint64(16))
-            weight = np.zeros((len(contexts), size))
-            lower = np.exp(self.log_p(union & np.uint64((1 << 16 * (k - 1)) - 1), k - 1))
-            value = np.empty((len(union), size))
-            place = np.searchsorted(contexts, union >> np.uint64(16))
-            for j, (keys, n, total, d) in enumerate(grams[k]):
-                own = np.searchsorted(contexts, keys >> np.uint64(16))
-                sure = np.maximum(n - d, 0) / total
-                # What the windows at hand do not take; without any left out, discount times kinds over total.
-                back = np.maximum(1 - np.bincount(own, sure, len(contexts)), 1e-9)
-                p = back[place] * lower[:, j]
-                p[np.searchsorted(union, keys)] += sure
-                value[:, j] = np.log(p)
-                weight[:, j] = np.log(back)
-            self.levels.append((union, value.astype(np.float32)))
-            self.backoff.append((contexts, weight.astype(np.float32)))
+        models = [_Language([grams[k][j] for k in range(1, ORDER + 1)], self.floor) for j in range(size)]
+        unions = [np.unique(np.concatenate([m.levels[k][0] for m in models])) for k in range(ORDER)]
+        self.dense = max(map(len, unions)) * size <= dense_cells
+        self.levels: list = []  # with a column for each language: keys, log probabilities; else what is listed
+        self.backoff: list = []  # contexts, log weight of the lower order
+        for k in range(ORDER):
+            if self.dense:
+                keys, contexts = unions[k], np.unique(unions[k] >> np.uint64(16))
+                self.levels.append((keys, np.stack([m.log_p(keys, k + 1) for m in models], axis=1)))
+                self.backoff.append((contexts, np.stack([_found(m.backoff[k], contexts)[0] for m in models], axis=1)))
+            else:
+                self.levels.append(_Listed([m.levels[k] for m in models]))
+                self.backoff.append(_Listed([m.backoff[k] for m in models]))
 
     def log_p(self, keys: np.ndarray, k: int) -> np.ndarray:
         """Log probability in each language of the last character of each gram of k characters."""
         if k == 0:
             return np.full((len(keys), len(self.langs)), np.log(self.floor), np.float32)
+        mask = np.uint64((1 << 16 * (k - 1)) - 1)
+        if not self.dense:
+            out = self.log_p(keys & mask, k - 1)
+            row, lang, value = self.backoff[k - 1].entries(keys >> np.uint64(16))
+            out[row, lang] += value
+            row, lang, value = self.levels[k - 1].entries(keys)
+            out[row, lang] = value
+            return out
         known, value = self.levels[k - 1]
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         out = value[at]
         missed = np.flatnonzero(known[at] != keys)
         if len(missed):
             rest = keys[missed]
-            low = self.log_p(rest & np.uint64((1 << 16 * (k - 1)) - 1), k - 1)
+            low = self.log_p(rest & mask, k - 1)
             contexts, weight = self.backoff[k - 1]
             c = rest >> np.uint64(16)
             spot = np.minimum(np.searchsorted(contexts, c), len(contexts) - 1)
@@ -177,9 +240,10 @@ class Model:
         n = len(has)
         chars = np.bincount(row, minlength=n)
         sums = np.zeros((n, len(self.langs)))
-        for lo in range(0, len(keys), 1 << 18):
-            p = self.log_p(keys[lo : lo + (1 << 18)], ORDER)
-            r = row[lo : lo + (1 << 18)]
+        step = max(1, min(1 << 18, (1 << 22) // len(self.langs)))
+        for lo in range(0, len(keys), step):
+            p = self.log_p(keys[lo : lo + step], ORDER)
+            r = row[lo : lo + step]
             for j in range(len(self.langs)):
                 sums[:, j] -= np.bincount(r, p[:, j], n)
         return sums / np.maximum(chars, 1)[:, None], chars, has
@@ -201,7 +265,7 @@ def gram_counts(windows: DataFrame) -> DataFrame:
     return both.withColumn("total", F.sum("n").over(Window.partitionBy("k", "lang", F.shiftrightunsigned("key", 16))))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_cells: int = MAX_CELLS, least_kept: int = LEAST_KEPT) -> Model | None:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_windows: int = MAX_WINDOWS, dense_cells: int = DENSE_CELLS) -> Model | None:
     """The models of all languages with a row of text; counts come from every row."""
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     grams = materialise(gram_counts(materialise(window_counts(rows, text, lang))))
@@ -211,7 +275,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_cells: int
     if not shape:
         return None
     langs = sorted({r["lang"] for r in shape})
-    share = max(least_kept, max_cells // len(langs) ** 2)
+    share = min(MOST_KEPT, max(1, max_windows // len(langs)))
     kinds: dict[tuple, dict[int, int]] = {}
     for r in shape:
         kinds.setdefault((r["lang"], r["k"]), {})[r["level"]] = r["kinds"]
@@ -234,7 +298,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_cells: int
             own = own[np.argsort(keys[own].view(np.uint64))]
             seen = kinds[name, order]
             out.setdefault(order, []).append((keys[own].view(np.uint64), n[own], total[own], _discount(seen.get(0, 0), seen.get(16, 0))))
-    return Model(langs, out)
+    return Model(langs, out, dense_cells)
 
 
 def _calibrated(model: Model, docs: DataFrame, text: str, lang: str) -> tuple[float, np.ndarray]:
@@ -257,12 +321,20 @@ def _calibrated(model: Model, docs: DataFrame, text: str, lang: str) -> tuple[fl
     e, chars, right = np.array([r["e"] for r in found]), np.array([r["chars"] for r in found]), np.array([model.langs.index(r["lang"]) for r in found])
     loss = {t: float(-np.log(np.maximum(_soft(e, chars, t)[np.arange(len(e)), right], 1e-9)).mean()) for t in (0.05, 0.1, 0.2, 0.4, 0.8, 1.0)}
     for j in range(len(model.langs)):
-        # Of n texts the highest is exceeded by one in n + 1: with fewer than REJECTED, nothing better is known.
         if (right == j).any():
-            limit[j] = np.quantile(e[right == j, j], 1 - 1 / REJECTED, method="higher")
+            limit[j] = _exceeded_by_few(e[right == j, j])
     return min(loss, key=loss.get), limit
 
 
+def _exceeded_by_few(e: np.ndarray) -> float:
+    """The entropy that one text in REJECTED exceeds: as observed, or with fewer texts from an exponential tail beyond the median, no lower than the highest."""
+    highest = float(np.quantile(e, 1 - 1 / REJECTED, method="higher"))
+    if len(e) >= REJECTED:
+        return highest
+    middle = float(np.median(e))
+    return max(highest, middle + max(float((e[e >= middle] - middle).mean()), 0.02 * middle) * float(np.log(REJECTED / 2)))
+
+
 def _soft(e: np.ndarray, chars: np.ndarray, sharp: float) -> np.ndarray:
     """Weights of the languages by their entropy over the whole text, damped by the calibrated sharpness."""
     gap = (e - e.min(axis=1, keepdims=True)) * np.maximum(chars, 1)[:, None] * sharp
@@ -270,13 +342,13 @@ def _soft(e: np.ndarray, chars: np.ndarray, sharp: float) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
-def identify(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS, max_cells: int = MAX_CELLS) -> DataFrame:
+def identify(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected for every row, by models of the rows where train holds."""
     kind = docs.schema[doc_id].dataType.simpleString()
     labelled = docs.filter(train & F.col(text).isNotNull() & F.col(lang).isNotNull())
     share = min(CALIBRATION_SHARE, calibration_rows / max(1, labelled.count()))
     held = F.pmod(F.xxhash64(text), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
-    model = fit(labelled.filter(~held), text, lang, max_cells)
+    model = fit(labelled.filter(~held), text, lang, max_windows)
     sharp, limit = _calibrated(model, labelled.filter(held), text, lang) if model else (1.0, np.zeros(0))
     shared = docs.sparkSession.sparkContext.broadcast((model, sharp, limit))
 

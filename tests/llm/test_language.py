@@ -76,8 +76,8 @@ def test_probabilities_equal_a_plain_implementation(spark):
 
 def test_pruned_models_still_add_up_to_one(spark):
     rows = _rows(3, {"aa": 80, "bb": 80})
-    for cells in (10**7, 400):
-        model = K.fit(spark.createDataFrame(rows, SCHEMA), max_cells=cells, least_kept=1)
+    for most in (10**7, 200):
+        model = K.fit(spark.createDataFrame(rows, SCHEMA), max_windows=most)
         letters = np.unique(np.concatenate([model.levels[0][0]]))
         for context in ("tea", "a e", "lun"):
             base = sum(ord(c) << 16 * (3 - i) for i, c in enumerate(context))
@@ -89,12 +89,47 @@ def test_pruned_models_still_add_up_to_one(spark):
 def test_rare_language_beside_large_ones(spark):
     """Under a small bound a language with little text keeps its windows and its label."""
     rows = _rows(4, {"aa": 400, "bb": 400, "cc": 12})
-    fitted = K.fit(spark.createDataFrame(rows, SCHEMA), max_cells=3_000, least_kept=50)
+    fitted = K.fit(spark.createDataFrame(rows, SCHEMA), max_windows=1_000)
     assert fitted.langs == ["aa", "bb", "cc"]
     e, _, _ = fitted.entropies(pa.array([t for _, t, x in _rows(5, {"cc": 20})]))
     assert (e.argmin(axis=1) == 2).all()
 
 
+def test_listed_arrays_give_the_same_probabilities(spark):
+    fitted = {}
+    rows = _rows(8, {"aa": 60, "bb": 50, "cc": 9})
+    for cells in (10**9, 0):
+        fitted[cells] = K.fit(spark.createDataFrame(rows, SCHEMA), max_windows=1_500, dense_cells=cells)
+    dense, listed = fitted[10**9], fitted[0]
+    assert dense.dense and not listed.dense
+    column = pa.array([t for _, t, _ in rows] + ["xzkw etao", "", None, "зж q"])
+    keys, _, _ = K.windows(column)
+    for k in range(1, K.ORDER + 1):
+        part = keys & np.uint64((1 << 16 * k) - 1)
+        assert np.allclose(dense.log_p(part, k), listed.log_p(part, k), atol=1e-4)
+
+
+def test_a_hundred_languages(spark):
+    """Languages of one alphabet that differ in their syllables: the share of each falls with their number, not with its square."""
+    rng = random.Random(12)
+    syllables = {f"l{j:03}": [rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") + rng.choice(["", "", "n", "s", "r"]) for _ in range(25)] for j in range(100)}
+    text = lambda name, n: " ".join("".join(rng.choices(syllables[name], k=rng.randint(1, 4))) for _ in range(n))
+    rows = [(100 * i + j, text(name, 25), name) for j, name in enumerate(syllables) for i in range(24)]
+    got = {}
+    for most in (K.MAX_WINDOWS, 40_000):
+        found = K.identify(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") % 400 < 300, max_windows=most).select("doc_id", "lang_pred", "rejected").collect()
+        held = [r for r in found if r["doc_id"] % 400 >= 300]
+        got[most] = sum(r["lang_pred"] == f"l{r['doc_id'] % 100:03}" for r in held) / len(held)
+    assert got[K.MAX_WINDOWS] > 0.99 and got[40_000] > 0.97
+
+
+def test_few_texts_reject_few():
+    rng = np.random.default_rng(3)
+    for n in (5, 15, 75):
+        beyond = [float((rng.gamma(40, 0.05, 4000) > K._exceeded_by_few(rng.gamma(40, 0.05, n))).mean()) for _ in range(200)]
+        assert np.mean(beyond) < (0.04 if n < 75 else 0.002)
+
+
 def test_held_out_accuracy_and_rejection(spark):
     rows = _rows(6, {"aa": 600, "bb": 600})
     rows = [(i, t, x) for i, (_, t, x) in enumerate(rows)]
