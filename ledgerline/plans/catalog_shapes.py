@@ -221,7 +221,7 @@ def refused_recipes(spark, d):
     return R.applied(payloads, recipes).groupBy("error").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_orderkey AS payload_id, CAST(i AS INT) AS item, 'p' || (o_orderkey + i) || ' & <b>' AS main, CASE WHEN i = 0 THEN 'first' ELSE 'q' END AS inner_text FROM orders, (SELECT unnest([0, 1, 2]) AS i) WHERE o_orderkey % 2 = 0""")
+@query("""SELECT o_orderkey AS payload_id, CAST(i AS INT) AS item, 'p' || (o_orderkey + i) || ' & <b>' AS main, CASE WHEN i = 0 THEN 'first' ELSE 'q' END AS inner_text FROM orders, (SELECT unnest([0, 1, 2]) AS i)""")
 def selected_children(spark, d):
     """Selector lists, child steps and items whose end tags are left out."""
     k = F.col("o_orderkey")
@@ -229,7 +229,7 @@ def selected_children(spark, d):
     page = F.concat(F.lit("<div class=menu><li><a>no</a></div><ul id=list>"), li(0, "first"), li(1, "q"), li(2, "q"), F.lit("</ul><dl><dt><a>never</a></dl>"))
     binding = ("event", "headline", [("event_type", "inner", None), ("headline", "extracted", None)])
     recipe = {"mode": "css_select", "iterator_mode": "css_select", "iterator_path": "ol > li, ul#list > li", "path": "a", "inner": [("event_type", "b, i", None)], "bindings": [binding]}
-    rows = B.table(spark, d, "orders").filter(k % 2 == 0).select(k.alias("payload_id"), F.lit("r").alias("recipe_id"), page.alias("payload"))
+    rows = B.table(spark, d, "orders").select(k.alias("payload_id"), F.lit("r").alias("recipe_id"), page.alias("payload"))
     return R.applied(rows, _recipes(spark, recipe)).select("payload_id", "item", F.get_json_object("content", "$.headline").alias("main"), F.get_json_object("content", "$.event_type").alias("inner_text"))
 
 

@@ -149,12 +149,12 @@ def outcomes_of_prefixed_recipes(spark, d):
     return o.join(r, "recipe_id").filter(F.col("dedup_key").startswith(F.concat("plan_id", F.lit(":host1")))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(oracle("docs", "SELECT s.k, s.sample, d.id FROM (SELECT id % 50 AS k, min(source_id) AS sample FROM docs GROUP BY 1) s LEFT JOIN docs d ON d.source_id = s.sample AND d.id % 2 = 0"))
+@query(oracle("docs", "SELECT s.k, s.sample, d.id FROM (SELECT id % 50 AS k, min(source_id) AS sample FROM docs GROUP BY 1) s LEFT JOIN docs d ON d.source_id = s.sample AND length(d.body) > 2000"))
 def documents_of_samples(spark, d):
     """A left join that gives a row for each document of a sample's source, and one for a sample without any."""
     docs = B.documents(spark, d).select("id", "source_id")
     s = docs.groupBy((F.col("id") % 50).alias("k")).agg(F.min("source_id").alias("sample"))
-    right = docs.filter("id % 2 = 0").select("id", F.col("source_id").alias("sample"))
+    right = B.documents(spark, d).filter("length(body) > 2000").select("id", F.col("source_id").alias("sample"))
     return s.join(right, "sample", "left").select("k", "sample", "id")
 
 

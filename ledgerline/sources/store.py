@@ -68,6 +68,11 @@ def written(records: DataFrame, folder: str, batch: str) -> None:
     records.drop(*CHILDREN).write.mode("overwrite").parquet(f"{folder}/records/batch={batch}")
 
 
+def appended(rows: DataFrame, folder: str, batch: str) -> None:
+    """Audit rows (runs, outcomes, attempts, histories) under their batch: nothing that is there changes, and a batch written again after a failure replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     return rebuilt(spark.read.parquet(f"{folder}/records").drop("batch"), {c: spark.read.parquet(f"{folder}/{c}").drop("batch") for c in CHILDREN})
 

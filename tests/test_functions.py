@@ -149,6 +149,21 @@ def test_a_cycle_in_a_lineage_is_an_error(spark):
     assert state.lineage(long, "id", "parent", start="id = 0").count() == 32
 
 
+def test_audit_rows_are_appended_once(spark, tmp_path):
+    for batch, rows in (("1", [(1, "a")]), ("2", [(2, "b")]), ("2", [(2, "b"), (3, "c")])):
+        store.appended(spark.createDataFrame(rows, "id long, kind string"), str(tmp_path / "outcomes"), batch)
+    assert sorted((r.id, r.kind) for r in spark.read.parquet(str(tmp_path / "outcomes")).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_attribute_values_as_tiles_show_them(spark):
+    cases = {
+        '{"kind":"number","value":{"value":1234567.5,"unit":"t"}}': "1,234,567.5 t", '{"kind":"number","value":{"value":3}}': "3", '{"kind":"boolean","value":false}': "false", '{"kind":"text","value":"x y"}': "x y", '{"kind":"country","value":"CL"}': "CL",
+        '{"kind":"entity_list","value":["a"]}': '{"kind":"entity_list","value":["a"]}',
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "v string").select("v", store.attribute_text(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in got} == cases
+
+
 def test_reports_are_appended(spark, tmp_path):
     for n in (1, 2):
         store.appended_jsonl(spark.createDataFrame([(n,)], "trial long"), str(tmp_path / "r"))

@@ -22,7 +22,7 @@ def duck():
 
 def _plain(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    show = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
+    show = lambda v: f"{v:.10g}" if isinstance(v, float) else str(v)
     return sorted(tuple(show(r[i]) for i in order) for r in rows)
 
 
