@@ -134,7 +134,7 @@ def _inside(entries: DataFrame, classes: DataFrame, label: DataFrame, percent: i
     """Candidates of different components that share a band's value, by size, estimate and parities."""
     marked = entries.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     open_ = marked.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
-    held = marked.join(open_, "band").join(classes.select(F.col("number").alias("key"), "n", "packed", "odd"), "key")
+    held = materialise(marked.join(open_, "band").join(classes.select(F.col("number").alias("key"), "n", "packed", "odd"), "key"))
 
     def test(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
         near = estimated(c["packed"][x], c["packed"][y]) >= percent / 100 - MARGIN

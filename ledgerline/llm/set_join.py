@@ -16,8 +16,8 @@ Jaccard similarity reaches ``percent``; the result is the component of each docu
 * Then lists that hold sets of different components are searched, in tiles of bounded size and
   in the order of the shingle's place in the sets: blocks of places that leave too few common
   shingles on either side are skipped.  A pair with one leader is derived from its answers: they
-  bound what the two have in common from above, which ends most, and from below, which links some
-  unseen.  Parities (2,048 bits, each shingle flips one) end most of the others.
+  bound what the two have in common from above, which ends some, and from below, which links some
+  unseen.  Parities (256 bits, each shingle flips one) end most of the others.
 
 Every remaining candidate pair is verified on the whole sets.  Rows are known by 96 bits of two
 hashes of id and text, sets by 128 bits and their size, and classes by numbers given to them.
@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .exchange import dealt, slices
 from .shared import giving_back, group_count, materialise
-from .sketches import parities, parted
 from .tiles import compared
 
 PERCENT, WORDS = 90, 3
@@ -179,7 +178,7 @@ def _usage(bodies: DataFrame, k: int) -> np.ndarray:
 
 
 def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFrame:
-    """Index entries: token, key, n, place, band, four words of parity bitmap, the two shingles before, and with a set's first entry all its parities."""
+    """Index entries: token, key, n, place, band, four words of parity bitmap, and the two shingles before."""
     level = np.log2(np.maximum(usage, 1)).astype(np.uint8)
     shared = bodies.sparkSession.sparkContext.broadcast(level)
 
@@ -199,14 +198,12 @@ def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFr
                 first = token[order].view(np.int64)
                 before = [pa.array(np.roll(first, j)[keep], pa.int64(), mask=place[keep] < j) for j in (1, 2)]
                 band = np.floor(np.log(n[r]) / math.log(100 / percent)).astype(np.int32)
-                odd = parities(token, offsets)
-                first_entry = place[keep] == 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[order][keep].view(np.int64)), part.column(0).take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(band), *[pa.array(np.ascontiguousarray(bitmap[r, j])) for j in range(4)], *before, pa.array([odd[i].tobytes() if one else None for i, one in zip(r.tolist(), first_entry.tolist(), strict=True)], pa.binary())],
-                    names=["token", "key", "n", "place", "band", "w0", "w1", "w2", "w3", "p1", "p2", "odd"],
+                    [pa.array(token[order][keep].view(np.int64)), part.column(0).take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(band), *[pa.array(np.ascontiguousarray(bitmap[r, j])) for j in range(4)], *before],
+                    names=["token", "key", "n", "place", "band", "w0", "w1", "w2", "w3", "p1", "p2"],
                 )
 
-    return bodies.select("key", "body").mapInArrow(entries, "token long, key long, n int, place int, band int, w0 long, w1 long, w2 long, w3 long, p1 long, p2 long, odd binary")
+    return bodies.select("key", "body").mapInArrow(entries, "token long, key long, n int, place int, band int, w0 long, w1 long, w2 long, w3 long, p1 long, p2 long")
 
 
 def _overlaps(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
@@ -266,7 +263,9 @@ def _derivable(percent: int):
         ok &= ~same | (most >= least)
         # The leader itself: the answer is there.
         ok &= (lead[x] != c["key"][y]) & (lead[y] != c["key"][x])
-        ok[ok] = ~parted(c["odd"][x[ok]], c["odd"][y[ok]], n[x[ok]], n[y[ok]], percent)
+        x, y = x[ok], y[ok]
+        differ = sum(np.bitwise_count(c[f"w{j}"][x] ^ c[f"w{j}"][y]).astype(np.int64) for j in range(4))
+        ok[ok] = differ <= (total - 2 * least)[ok]
         return np.where(ok, np.where(sure, 2, 1), 0)
 
     return test
@@ -420,12 +419,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     label = components(links)
 
     # Then only pairs of different components, in lists that hold any: by position, and with what the leaders' answers tell.
-    marked = index.drop("w0", "w1", "w2", "w3", "odd").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    marked = index.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    about = index.filter("odd IS NOT NULL").select("key", "odd").join(_answers(seen), "key", "left")
-    open_ = marked.join(mixed, "token").join(about, "key")
     zero = {c: F.coalesce(c, F.lit(z)) for c, z in (("p1", 0), ("p2", 0), ("lead", -1), ("over", 0), ("lead_n", 0))}
-    entries = open_.withColumns(zero).withColumn("block", F.explode(F.array("band", F.col("band") - 1))).withColumn("own", F.col("block") == F.col("band")).drop("band")
+    open_ = materialise(marked.join(mixed, "token").join(_answers(seen), "key", "left").withColumns(zero))
+    entries = open_.withColumn("block", F.explode(F.array("band", F.col("band") - 1))).withColumn("own", F.col("block") == F.col("band")).drop("band")
     more = materialise(compared(entries, ["token", "block"], "place", _reach(percent), _derivable(percent)))
     sure = more.filter("mark = 2").select("x", "y")
     label = components(links.union(sure).union(_verified(more.filter("mark = 1").select("x", "y"), bodies, percent, k)))

@@ -20,6 +20,8 @@ from .shared import giving_back, materialise
 
 #: Rows of a group's block, rows of tiles that one task reads at a time, about, and pairs tested at a time.
 TILE, TASK_ROWS, STEP = 4096, 50_000, 1 << 18
+#: Large groups that are broadcast: 24 bytes each.
+BROADCAST_GROUPS = 200_000
 #: Groups up to this size are compared all at once, by the distance of their rows.
 SMALL = 64
 
@@ -28,10 +30,11 @@ Columns = dict[str, np.ndarray]
 
 def _tiles(rows: DataFrame, group: list[str], tile: int) -> DataFrame:
     """Rows with the number of their tile and their side in it: 2 in a tile of one block with itself, else 0 or 1."""
-    many = rows.groupBy(*group).agg(F.count("*").alias("many")).filter("many > 1")
-    held = rows.join(many, group).withColumn("blocks", F.ceil(F.col("many") / tile).cast("int"))
+    # Groups beyond a tile: one row for that many rows at least, broadcast while they are few.
+    large = materialise(rows.groupBy(*group).agg(F.count("*").alias("many")).filter(F.col("many") > tile))
+    held = rows.join(F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large, group, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("many") / tile), F.lit(1)).cast("int"))
     held = held.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), F.when(o == F.col("block"), 2).when(o < F.col("block"), 1).otherwise(0).alias("side"))
+    other = lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), F.when(o == F.col("block"), 2).when(o < F.col("block"), 1).otherwise(0).cast("byte").alias("side"))
     held = held.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), other)))
     return held.withColumns({"tile": F.xxhash64(*group, "t.i", "t.j"), "side": F.col("t.side")}).drop(*group, "many", "blocks", "block", "t")
 
@@ -76,11 +79,11 @@ def _matched(columns: Columns, order: np.ndarray, until: np.ndarray, test: Calla
 def compared(rows: DataFrame, group: list[str], by: str, until: Callable[[Columns], np.ndarray], test: Callable[[Columns, np.ndarray, np.ndarray], np.ndarray], tile: int = TILE) -> DataFrame:
     """x, y (the lesser key first) and what the test says of the pairs that it lets through: 1, or 2 where the pair is known to be a link.
 
-    rows have the columns of group, key, label, and what the test reads (numbers, or binaries of words of 64 bits); rows
+    rows is a stored table, or made of one without a shuffle: it is read several times.  It has the columns of group, key, label, and what the test reads (numbers, or binaries of words of 64 bits); rows
     stand in the order of ``by``, and the test takes the columns and places x, y (x before y) and gives 0, 1 or 2.
     """
-    held = materialise(_tiles(rows, group, tile))
-    tasks = max(1, held.count() // TASK_ROWS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = _tiles(rows, group, tile)
+    tasks = max(rows.count() // TASK_ROWS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     @giving_back
     def compare(table: pa.Table) -> pa.Table:

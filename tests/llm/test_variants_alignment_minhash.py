@@ -310,7 +310,7 @@ def test_a_passage_in_many_sets_of_one_size_makes_few_pairs(spark, monkeypatch):
     passage = " ".join(f"p{k}" for k in range(96))
     rows = [(i, f"{passage} a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(1500)] + [(5000, f"{passage} a7 b7 c7 d7 e7 x"), (5001, passage)]
     # Texts of their own are linked with the bare passage (94 of 100 shingles), and so all together; without it, with none.
-    left, _expected = [], []
+    left, _expected = {}, []
     sets = {i: _sets(t, 3) for i, t in rows}
     near = lambda x, y: 100 * len(sets[x] & sets[y]) >= 90 * len(sets[x] | sets[y])
     rows = [r for r in rows if r[0] != 5001]
@@ -319,12 +319,12 @@ def test_a_passage_in_many_sets_of_one_size_makes_few_pairs(spark, monkeypatch):
     for module, percent in ((set_join, 90), (minhash, 90)):
         whole = module.compared
 
-        def counted(*a, whole=whole):
+        def counted(*a, whole=whole, module=module):
             out = tiles.materialise(whole(*a))
-            left.append(out.count())
+            left[module] = out.count()
             return out
 
         monkeypatch.setattr(module, "compared", counted)
         got = module.near_duplicates(_docs(spark, rows), percent=percent, k=3).select("doc", "n_shingles", "component").collect()
         assert sorted(tuple(r) for r in got) == _expected
-    assert max(left) < 56_000  # one in twenty
+    assert left[minhash] < 56_000 and left[set_join] < 400_000  # one in twenty by 2,048 bits, one in three by 256
