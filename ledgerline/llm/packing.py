@@ -402,14 +402,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, budget: int | None =
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int | None = None, budget: int | None = BUDGET) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...); pieces is read several times, so give a stored table."""
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...), and whether the plan is proven to need the fewest sequences; pieces is read several times, so give a stored table."""
     spark = pieces.sparkSession
     kept = pieces.columns
     total = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # capacity rows at most
         total[r["length"]] = r["n"]
     if not total.any():
-        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("proven"))
     # Each length has its own slots, one for about group_rows rows; pieces get one of them by hash.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group_rows = group_rows or min(GROUP_ROWS, max(64, int(total.sum()) // (8 * n)))
@@ -424,7 +424,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int | None =
     ends, each, number, offset = [], [], [], []
     taken: dict[int, list] = {}
     sequence = 0
-    for filling, times in plan({s: int(total[s]) for s in np.flatnonzero(total).tolist()}, capacity, budget)[0]:
+    fillings, proven = plan({s: int(total[s]) for s in np.flatnonzero(total).tolist()}, capacity, budget)
+    for filling, times in fillings:
         at = 0
         for s, k in filling:
             taken.setdefault(s, []).append((times * k, k, sequence, at))
@@ -454,7 +455,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int | None =
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(number[k] + copy), pa.array(offset[k] + turn * length)], names=[*kept, "sequence_id", "offset"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*kept).schema.fields)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long").withColumn("proven", F.lit(bool(proven)))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
