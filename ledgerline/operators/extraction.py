@@ -59,8 +59,9 @@ def regex_capture(text: Column, pattern: Column, group: Column) -> Column:
     return result(F.when(hit, F.call_function("regexp_extract", text, pattern, group)), F.lit("no match"))
 
 
-_COMPOUND = re.compile(r"(?P<tag>[a-zA-Z][a-zA-Z0-9-]*|\*)?(?P<tests>(?:[.#][A-Za-z0-9_-]+|\[[^\]]+\])*)")
-_STEP = re.compile(r"\s*(?P<mark>[>,])\s*|(?P<blank>\s+)|(?P<part>(?:[A-Za-z0-9_*.#-]|\[[^\]]*\])+)")
+_TEST = r"[.#][A-Za-z0-9_-]+|\[[^\]]+\]|:first-child|:nth-child\( *(?:odd|even|[+-]?[0-9]*n *(?:[+-] *[0-9]+)?|[0-9]+) *\)"
+_COMPOUND = re.compile(rf"(?P<tag>[a-zA-Z][a-zA-Z0-9-]*|\*)?(?P<tests>(?:{_TEST})*)")
+_STEP = re.compile(r"\s*(?P<mark>[>,])\s*|(?P<blank>\s+)|(?P<part>(?:[A-Za-z0-9_*.#:-]|\[[^\]]*\]|\([^)]*\))+)")
 # Start tags that end an open element, and the elements that they do not reach beyond.
 _BLOCKS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 _ENDS = {
@@ -71,7 +72,7 @@ _ENDS = {
 
 @functools.lru_cache(maxsize=1024)
 def _parts(selector: str) -> list[list[tuple[bool, str, list[str]]]] | None:
-    """Alternatives of a selector; each from its last element outwards: whether the next one must be the parent, tag, tests.  Null if it has more than tags, classes, ids, attributes, blanks, ``>`` and commas."""
+    """Alternatives of a selector; each from its last element outwards: whether the next one must be the parent, tag, tests.  Null if it has more than tags, classes, ids, attributes, places among siblings, blanks, ``>`` and commas."""
     text, at, found, child = selector.strip(), 0, [[]], False
     while at < len(text):
         step = _STEP.match(text, at)
@@ -83,7 +84,7 @@ def _parts(selector: str) -> list[list[tuple[bool, str, list[str]]]] | None:
         elif step["mark"]:
             child = True
         elif part:
-            found[-1].append((child, (part["tag"] or "*").lower(), re.findall(r"[.#][A-Za-z0-9_-]+|\[[^\]]+\]", part["tests"])))
+            found[-1].append((child, (part["tag"] or "*").lower(), re.findall(_TEST, part["tests"])))
             child = False
         at = step.end()
     return None if child or not all(found) else [f[::-1] for f in found]
@@ -93,12 +94,24 @@ def is_selector(selector: str) -> bool:
     return _parts(selector) is not None
 
 
-def _has(tag: str, attrs: dict, want: str, tests: list[str]) -> bool:
+def _is_nth(place: int, rule: str) -> bool:
+    """Whether a place among siblings, from 1, fits a rule: a number, odd, even or an+b."""
+    rule = {"odd": "2n+1", "even": "2n"}.get(rule, rule)
+    if "n" not in rule:
+        return place == int(rule)
+    times, _, plus = rule.partition("n")
+    a, b = int(times + "1" if times in ("", "+", "-") else times), int(plus or 0)
+    return place == b if a == 0 else (place - b) % a == 0 and (place - b) // a >= 0
+
+
+def _has(tag: str, attrs: dict, place: int, want: str, tests: list[str]) -> bool:
     if want not in ("*", tag):
         return False
     for test in tests:
         if test[0] == "." and test[1:] not in (attrs.get("class") or "").split() or test[0] == "#" and attrs.get("id") != test[1:]:
             return False
+        if test[0] == ":" and not _is_nth(place, test.partition("(")[2].rstrip(")").replace(" ", "") or "1"):
+            return False
         if test[0] == "[":
             name, eq, value = test[1:-1].partition("=")
             if name.strip() not in attrs or eq and attrs[name.strip()] != value.strip().strip("'\""):
@@ -112,19 +125,24 @@ class _Finder(HTMLParser):
     def __init__(self, selector: str):
         super().__init__(convert_charrefs=True)
         self.want = _parts(selector) or []
-        self.open: list[tuple[str, dict, dict | None]] = []  # tag, attributes, and what an element gathers
+        self.open: list[tuple[str, dict, int, dict | None]] = []  # tag, attributes, place among siblings, and what an element gathers
+        self.children = [0]  # of the document and of each open element
         self.found: list[dict] = []
 
-    def _fits(self, parts: list, tag: str, attrs: dict) -> bool:
+    def _close(self, at: int) -> None:
+        del self.open[at:]
+        del self.children[at + 1 :]
+
+    def _fits(self, parts: list, tag: str, attrs: dict, place: int) -> bool:
         """Whether an element and those around it fit; an element of a descendant step is the nearest that lets the rest fit."""
-        if not _has(tag, attrs, *parts[0][1:]):
+        if not _has(tag, attrs, place, *parts[0][1:]):
             return False
 
         def above(k: int, top: int) -> bool:
             if k == len(parts):
                 return True
             for at in range(top - 1, -1, -1):
-                if _has(*self.open[at][:2], *parts[k][1:]) and above(k + 1, at):
+                if _has(*self.open[at][:3], *parts[k][1:]) and above(k + 1, at):
                     return True
                 if parts[k - 1][0]:
                     return False
@@ -141,26 +159,29 @@ class _Finder(HTMLParser):
             if self.open[k][0] in closes:
                 last = k
         if last is not None:
-            del self.open[last:]
+            self._close(last)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._end_implied(tag)
         attrs = dict(attrs)
         item = None
-        if any(self._fits(parts, tag, attrs) for parts in self.want):
+        self.children[-1] += 1
+        place = self.children[-1]
+        if any(self._fits(parts, tag, attrs, place) for parts in self.want):
             item = {"text": [], "attrs": attrs}
             self.found.append(item)
         if tag not in VOID:
-            self.open.append((tag, attrs, item))
+            self.open.append((tag, attrs, place, item))
+            self.children.append(0)
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
+                self._close(k)
                 return
 
     def handle_data(self, data: str) -> None:
-        for _, _, item in self.open:
+        for *_, item in self.open:
             if item is not None:
                 item["text"].append(data)
 
@@ -179,7 +200,7 @@ class _Cutter(_Finder):
     """Also gathers the markup inside each element found."""
 
     def _keep(self, raw: str) -> None:
-        for _, _, item in self.open:
+        for *_, item in self.open:
             if item is not None:
                 item["text"].append(raw)
 

@@ -132,7 +132,7 @@ def json_paths(df: DataFrame, keys: list[str], payload: str, depth: int | None =
 
     each = _walked(_root(df, keys, F.col(payload), "$"), keys, depth, step)
     v, k = F.col("node.v"), F.col("kind")
-    leaf = truncated(F.when(k == "null", "null").when(k == "string", F.to_json(v)).otherwise(F.to_json(v)), LEAF_BYTES)
+    leaf = truncated(F.to_json(v), LEAF_BYTES)
     found = each.withColumn("kind", kind(v)).withColumn("length", F.when(k == "array", F.size(_array(v)).cast("long"))).withColumn("sample", F.when(~k.isin("object", "array"), leaf))
     return found.select(*[F.col(f"`{c}`") for c in keys], F.col("node.path").alias("path"), F.col("node.place").alias("place"), "kind", "length", "sample")
 
@@ -173,7 +173,6 @@ def json_outlines(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
     # An array inside an array has no place of its own to show elements of.
     head = paths.filter("length > 0").groupBy(*keys).agg(F.min_by(F.struct("path", "length"), "place").alias("head"))
     shown = lines.join(head, keys, "left").join(df.select(*keys, payload), keys)
-    of_head = F.expr(f"to_json(slice(try_variant_get(try_parse_json(`{payload}`), head.path, 'array<variant>'), 1, {HEAD}))")
     # Paths are read back with the names quoted.
     at = F.concat(F.lit("$"), F.regexp_replace(F.substr("head.path", F.lit(2)), r"\.([^.]+)", r"['$1']"))
     node = F.call_function("get_json_object", F.col(payload), at)
@@ -257,7 +256,7 @@ def table_rows(df: DataFrame, keys: list[str], body: str) -> DataFrame:
     best = table_candidates(df, keys, body).drop("table").groupBy(*keys).agg(F.min_by(F.struct("path", "table_kind", "text"), rank).alias("t")).select(*keys, "t.*")
     v = F.try_parse_json("text")
     quoted = lambda k: F.to_json(F.struct(k.alias("Key")))
-    pair = lambda m: F.concat(F.expr("''"), F.regexp_replace(quoted(m["name"]), r"\}\z", ""), F.lit(',"Value":'), F.to_json(F.element_at(_object(v), m["name"])), F.lit("}"))
+    pair = lambda m: F.concat(F.regexp_replace(quoted(m["name"]), r"\}\z", ""), F.lit(',"Value":'), F.to_json(F.element_at(_object(v), m["name"])), F.lit("}"))
     rows = F.when(F.col("table_kind") == "array_of_objects", F.transform(_array(v), lambda x: F.to_json(x))).otherwise(F.transform(_in_order(F.json_object_keys("text")), pair))
     return best.select(*keys, "path", F.posexplode(rows).alias("row", "content"))
 

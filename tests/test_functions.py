@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import text as T
 from ledgerline.functions import vocab as V
 from ledgerline.functions.python_udfs import canonical, link_density, number
-from ledgerline.operators import audit, claims, dashboard, dml, documents, entities, extraction as X, recipe_records, state
+from ledgerline.operators import audit, claims, dml, documents, entities, extraction as X, recipe_records, state
 from ledgerline.sources import store
 
 

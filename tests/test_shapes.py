@@ -199,7 +199,8 @@ def test_selectors():
     assert find("div.a > p") == ["1", "2"] and find("div p") == ["1", "2", "3"] and find("div.a > div > p") == ["3"] and find("div > div.a") == []
     assert find("p.b, ul > li") == ["4", "x", "yz", "z", "w"] and find("p[data-x=q]", "class") == ["a b"] and find('p[data-x="q"].a.b') == ["4"]
     assert find("tr > td") == ["5", "6", "7"] and find("option") == ["o", "p"] and find("ul ul li") == ["z"] and find("div div.a p") == []
-    assert all(map(X.is_selector, ("a", "*", "#id", "a.b#c[d]", "a>b", "a > b c , d"))) and not any(map(X.is_selector, ("", "a:hover", "a + b", "> a", "a >", "a,", "a ~ b", "a[", "li:nth-child(2)")))
+    assert find("tr > td:nth-child(2)") == ["6"] and find("table tr:nth-child(2) td:first-child") == ["7"] and find("li:nth-child(odd)") == ["x", "z", "w"] and find("li:nth-child( 2n + 1 ), ul li:nth-child(3)") == ["x", "z", "w"] and find("p:nth-child(-n+2)") == ["1", "2", "3", "4"]
+    assert all(map(X.is_selector, ("li:nth-child(2)", "a:first-child b:nth-child(2n-1)", "a", "*", "#id", "a.b#c[d]", "a>b", "a > b c , d"))) and not any(map(X.is_selector, ("", "a:hover", "a + b", "> a", "a >", "a,", "a ~ b", "a[", "li:nth-child()", "li:last-child", "li:nth-child(x)")))
 
 
 def test_tables_of_page_text():
