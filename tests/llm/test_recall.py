@@ -25,12 +25,16 @@ def _iban(rng):
     return f"{country}{98 - rest:02}{account}"
 
 
+def _grouped(rng, number, marks):
+    return rng.choice(marks).join(number[i : i + 4] for i in range(0, len(number), 4))
+
+
 PERSONAL = {
     "email": lambda rng: f"{rng.choice(['a.b', 'x+y', 'n_1', 'Q%q'])}{rng.randint(1, 99)}@{rng.choice(['mail', 'ex-1'])}.{rng.choice(['org', 'co.uk'])}",
     "ip": lambda rng: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
-    "card": lambda rng: rng.choice(["", " ", "-"]).join((n := _luhn(rng, rng.randint(14, 19)))[i : i + 4] for i in range(0, len(n), 4)),
+    "card": lambda rng: _grouped(rng, _luhn(rng, rng.randint(14, 19)), ["", " ", "-"]),
     "phone": lambda rng: rng.choice(["+{} {} {}", "+{} ({}) {}", "+{}.{}.{}", "+{}-{}-{}"]).format(rng.randint(1, 99), rng.randint(100, 999), rng.randint(100_000, 9_999_999)),
-    "iban": lambda rng: rng.choice(["", " "]).join((n := _iban(rng))[i : i + 4] for i in range(0, len(n), 4)),
+    "iban": lambda rng: _grouped(rng, _iban(rng), ["", " "]),
 }
 
 
