@@ -264,7 +264,9 @@ def _derivable(percent: int):
         # The leader itself: the answer is there.
         ok &= (lead[x] != c["key"][y]) & (lead[y] != c["key"][x])
         x, y = x[ok], y[ok]
-        differ = sum(np.bitwise_count(c[f"w{j}"][x] ^ c[f"w{j}"][y]).astype(np.int64) for j in range(4))
+        # Bits of a signed number are counted without its sign.
+        words = (c[f"w{j}"].view(np.uint64) for j in range(4))
+        differ = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
         ok[ok] = differ <= (total - 2 * least)[ok]
         return np.where(ok, np.where(sure, 2, 1), 0)
 

@@ -298,6 +298,41 @@ def test_parities_part_no_linked_sets():
     assert parted > 100
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_no_linked_pair_is_ended_in_a_tile(spark, percent):
+    """Entries of random linked sets: the test lets each pair through at its first common shingle, whatever a leader tells."""
+    rng = np.random.default_rng(17)
+    bodies, sets = [], {}
+    for i in range(400):
+        size = int(rng.integers(1, 200))
+        base = [f"w{i}_{j}" for j in range(size + 2)]
+        near = [w if rng.random() > 0.02 else f"x{i}_{j}" for j, w in enumerate(base)] + [f"y{i}_{j}" for j in range(int(rng.integers(0, 3)))]
+        third = [w if rng.random() > 0.03 else f"z{i}_{j}" for j, w in enumerate(base)]
+        for k, words in enumerate((base, near, third)):
+            bodies.append((3 * i + k, bytearray(" ".join(words).encode())))
+            sets[3 * i + k] = _sets(" ".join(words), 3)
+    df = spark.createDataFrame(bodies, "key long, body binary")
+    index = set_join._index(df, set_join._usage(df, 3), percent, 3).toPandas()
+    rows = {key: part.set_index("token") for key, part in index.groupby("key")}
+    linked = 0
+    for i in range(400):
+        x, y, lead = 3 * i, 3 * i + 1, 3 * i + 2
+        both = len(sets[x] & sets[y])
+        if 100 * both < percent * len(sets[x] | sets[y]):
+            continue
+        linked += 1
+        tokens = [t for t in rows[x].index if t in rows[y].index]
+        columns = {c: np.array([rows[k].loc[t, c] if not (c in ("p1", "p2") and np.isnan(rows[k].loc[t, c])) else 0 for t in tokens for k in (x, y)]).astype(np.int64) for c in ("n", "place", "band", "w0", "w1", "w2", "w3", "p1", "p2")}
+        columns |= {"key": np.array([x, y] * len(tokens)), "lead": np.full(2 * len(tokens), lead), "lead_n": np.full(2 * len(tokens), len(sets[lead])), "own": columns["band"] == np.repeat(columns["band"].reshape(-1, 2).min(axis=1), 2)}
+        columns["over"] = np.array([len(sets[x] & sets[lead]), len(sets[y] & sets[lead])] * len(tokens))
+        marks = set_join._derivable(percent)(columns, np.arange(0, 2 * len(tokens), 2), np.arange(1, 2 * len(tokens), 2))
+        # The entry that stands earlier looks as far as the other one stands.
+        places, reach = columns["place"].reshape(-1, 2), set_join._reach(percent)(columns).reshape(-1, 2)
+        met = [reach[t, places[t].argmin()] >= places[t].max() for t in range(len(tokens))]
+        assert ((marks > 0) & np.array(met)).any()
+    assert linked > 150
+
+
 def test_minhash_and_set_join_agree(spark):
     rows = _near_copies(random.Random(9), 200)
     docs = _docs(spark, rows)

@@ -136,3 +136,32 @@ def test_components_of_links(spark, monkeypatch):
         found = set_join.components(spark.createDataFrame(links, "x long, y long").repartition(7))
         assert sorted((r.key, r.label) for r in found.collect()) == want
     assert set_join.components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+def test_no_stage_of_the_pipeline_is_computed_twice(spark, monkeypatch):
+    """Rows that leave each stage are counted where they are made: each row once, though the stages after read them several times."""
+    import corpus_pipeline
+
+    made, kept = {}, {}
+
+    def counting(name, stage):
+        made[name] = spark.sparkContext.accumulator(0)
+
+        def run(spark, docs, sf_dir, total=made[name]):
+            def count(batches):
+                for b in batches:
+                    total.add(b.num_rows)
+                    yield b
+
+            kept[name] = docs.count()
+            out = stage(spark, docs, sf_dir)
+            return out.mapInArrow(count, out.schema)
+
+        return run
+
+    stages = [(name, counting(name, stage)) for name, stage in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    n = len(corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect())
+    names = [name for name, _ in stages]
+    # What a stage gets is what the one before has made, and it was made once.
+    assert [made[a].value for a in names[:-1]] == [kept[b] for b in names[1:]] and made[names[-1]].value == n
