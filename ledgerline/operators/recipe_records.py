@@ -226,14 +226,18 @@ class ExtractRecords:
 
     @staticmethod
     def analyze(payload: AnalyzeArgument, recipe: AnalyzeArgument, json_items: AnalyzeArgument, probe: AnalyzeArgument) -> AnalyzeResult:
-        known = set(recipe.dataType.fieldNames()) if isinstance(recipe.dataType, T.StructType) else set()
-        if missing := sorted(set(_USED) - known):
-            raise Exception(f"the recipe lacks {', '.join(missing)}")
+        # A recipe comes as a struct, or as the JSON of one, which is read once and not for each row.
+        if not isinstance(recipe.dataType, T.StringType):
+            known = set(recipe.dataType.fieldNames()) if isinstance(recipe.dataType, T.StructType) else set()
+            if missing := sorted(set(_USED) - known):
+                raise Exception(f"the recipe lacks {', '.join(missing)}")
         if not probe.isConstantExpression:
             raise Exception("probe must be a constant")
         return AnalyzeResult(_PROBE if probe.value else _RECORD)
 
-    def eval(self, payload: str, recipe: T.Row, json_items: list, probe: bool) -> Iterator[tuple]:
+    def eval(self, payload: str, recipe: T.Row | str, json_items: list | str, probe: bool) -> Iterator[tuple]:
+        recipe = _parsed(recipe) if isinstance(recipe, str) else recipe
+        json_items = json.loads(json_items) if isinstance(json_items, str) else json_items
         try:
             if probe:
                 items = _items(payload, recipe, json_items)
@@ -259,8 +263,9 @@ def _json_items(payload: Column) -> Column:
 
 
 def _called(payloads: DataFrame, recipes: DataFrame, probe: bool) -> DataFrame:
-    recipe = F.struct(*[F.col(c) for c in _USED])
-    both = payloads.join(recipes, "recipe_id").withColumn("_recipe", recipe).withColumn("_json", _json_items(F.col("payload")))
+    whole = {"ignoreNullFields": "false"}
+    recipes = recipes.withColumn("_recipe", F.to_json(F.struct(*[F.col(c) for c in _USED]), whole))
+    both = payloads.join(recipes, "recipe_id").withColumn("_json", F.to_json(_json_items(F.col("payload")), whole))
     # What built-in functions have found needs no payload on the other side.
     both = both.withColumn("_text", F.when(F.col("mode") != "json_path", F.col("payload"))).drop("payload")
     return both.lateralJoin(ExtractRecords(F.col("_text").outer(), F.col("_recipe").outer(), F.col("_json").outer(), F.lit(probe)))
