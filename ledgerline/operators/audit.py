@@ -57,7 +57,8 @@ def decline_counts(outcomes: DataFrame) -> DataFrame:
 
 
 def rolling_sum(df: DataFrame, key: str, at: str, value: str, seconds: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.unix_timestamp(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
+    """Sums over the rows of a key in the seconds up to each row, counted to the microsecond."""
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return df.withColumn("rolling", F.sum(value).over(w))
 
 
