@@ -6,14 +6,12 @@ One Arrow-batched pass lists the elements of a page; everything after that, coun
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .extraction import _ENDS, VOID
+from .extraction import _ENDS, VOID, Reader
 from .presentation import truncated
 
 # Bounds of a digest, and the elements whose text is not seen.
@@ -24,11 +22,11 @@ ELEMENT = T.StructType().add("tag", "string").add("element_id", "string").add("c
 PAGE = T.StructType().add("elements", T.ArrayType(ELEMENT)).add("visible", "string")
 
 
-class _Lister(HTMLParser):
+class _Lister(Reader):
     """Elements in document order with what stands in them: rows and first-row cells of tables, items of lists, text of headings."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.elements: list[dict] = []
         self.open: list[tuple[str, dict]] = []
         self.visible: list[str] = []
@@ -48,7 +46,7 @@ class _Lister(HTMLParser):
                 last = k
         if last is not None:
             self._close(last)
-        found = dict(attrs)
+        found = {k: self.plain(v) for k, v in attrs}
         element = {"tag": tag, "element_id": found.get("id"), "classes": found.get("class"), "rows": 0, "cols": 0, "text": [] if tag in ("title", "h1") else None}
         for name, outer in self.open:
             if name == "table":
@@ -71,22 +69,19 @@ class _Lister(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        data = self.plain(data)
         for _, element in self.open:
             if element["text"] is not None:
                 element["text"].append(data)
         if not self.unseen and not any(tag in ("title", "head") for tag, _ in self.open):
             self.visible.append(data)
 
-    def unknown_decl(self, data: str) -> None:
-        return
-
 
 @F.pandas_udf(PAGE)
 def listed(pages: pd.Series) -> pd.DataFrame:
     def one(page: str | None) -> dict:
         lister = _Lister()
-        lister.feed(page or "")
-        lister.close()
+        lister.read(page)
         blank = lambda t: " ".join(t.split())
         fields = ("tag", "element_id", "classes", "rows", "cols")
         elements = [{f: e[f] for f in fields} | {"text": blank("".join(e["text"])) if e["text"] is not None else None} for e in lister.elements]
