@@ -1,11 +1,11 @@
 """Recipes applied to payloads as a whole: five modes, iterators, field sources, typed records.
 
-``extract_records`` is a table function in a lateral join: one payload and its recipe go in, the
-records (or one row with the error) come out, so that a payload is neither shuffled nor copied
-for each record.  Its output depends on how it is called: with ``probe`` it only says whether the
-recipe hits anything.  Each mode finds its matches in its own way: JSON by built-in functions
-before the call; markup, CSV cells, regular expressions and tables of page text in a branch of
-the function each.  A match meets every binding, and an error in any of them fails the payload.
+Recipes are few and are sent to the payloads; one pass over these gives the records of each, or one
+row with the error, so that a payload is neither shuffled nor copied for each record.  To probe
+only says whether the recipe hits anything.  Each mode finds its matches in its own way: JSON by
+built-in functions before the pass; markup, CSV cells, regular expressions and tables of page text
+in a branch of ``_items`` each.  A match meets every binding, and an error in any of them fails the
+payload.  ``ExtractRecords`` is the same for SQL, a table function in a lateral join.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ import json
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.python_udfs import canonical, number
-from .extraction import ERROR_CHARS, RECORD_CAP, SCALAR_BYTES, _json, cell, excerpt, first_json, is_selector, selected_elements, spot_value
+from .extraction import ERROR_CHARS, RECORD_CAP, SCALAR_BYTES, Page, _json, cell, excerpt, first_json, is_selector, spot_value
 
 # Content paths that hold strings, by record type.
 _MAGNITUDE = ("magnitude.metric", "magnitude.unit", "magnitude.currency", "magnitude.period")
@@ -98,7 +100,8 @@ def assembled(record_type: str, fields: list[tuple[str, str, str | None]], plan:
                 return None, f"path segment {segment} expected an object"
         at[last] = got
     for name, kinds in NEEDED[record_type].items():
-        if not isinstance(content.get(name), kinds) or isinstance(content.get(name), bool):
+        got = content.get(name)
+        if not isinstance(got, kinds) or isinstance(got, bool):
             return None, f"{record_type} content: missing or wrong {name}"
     if record_type == "entity" and (len(content["entity_id"].encode()) > 128 or not _ENTITY_ID.fullmatch(content["entity_id"])):
         return None, "invalid entity_id"
@@ -141,13 +144,13 @@ def _css_items(payload: str, r: dict) -> list[tuple[str | None, dict]]:
     for selector in filter(None, (r["iterator_path"], r["path"], *[x["selector"] for x in r["inner"] or ()])):
         if not is_selector(selector):
             raise _Failed(f"selector not supported: {selector}")
-    first = lambda element, selector, attribute: next((x for x in selected_elements(element, selector, attribute) if x), None)
-    inner = lambda element: {s["path"]: first(element, s["selector"], s["attribute"]) for s in r["inner"] or ()}
+    page = Page(payload)
+    first = lambda selector, attribute, scope: next(filter(None, (page.value(e, attribute) for e in page.selected(selector, scope))), None)
+    inner = lambda scope: {s["path"]: first(s["selector"], s["attribute"], scope) for s in r["inner"] or ()}
     if r["iterator_mode"]:
-        return [(first(e, r["path"], r["attribute"]), inner(e)) for e in selected_elements(payload, r["iterator_path"], None, whole=True)]
-    found = selected_elements(payload, r["path"], r["attribute"])
-    scope = next(iter(selected_elements(payload, r["path"], None, whole=True)), "") if r["inner"] else ""
-    return [(found[0], inner(scope))] if found else []
+        return [(first(r["path"], r["attribute"], e), inner(e)) for e in page.selected(r["iterator_path"])]
+    found = page.selected(r["path"])
+    return [(page.value(found[0], r["attribute"]), inner(found[0]))] if found else []
 
 
 def _scalar_item(payload: str, r: dict) -> list[tuple[str | None, dict]]:
@@ -168,7 +171,20 @@ def _scalar_item(payload: str, r: dict) -> list[tuple[str | None, dict]]:
     return [(value, {})]
 
 
-def _items(payload: str | None, r: dict, json_items: list | None) -> list[tuple[str | None, dict]]:
+class _Found:
+    """Matches of a JSON recipe that built-in functions have found: how many, and those that are spelled out."""
+
+    def __init__(self, n: int, items: list):
+        self.n, self.items = n, [(x["main"], x["inner"] or {}) for x in items]
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[tuple[str | None, dict]]:
+        return iter(self.items)
+
+
+def _items(payload: str | None, r: dict, json_items: _Found | None) -> list[tuple[str | None, dict]] | _Found:
     mode, iterator = r["mode"], r["iterator_mode"]
     if mode not in MODES:
         raise _Failed(f"unknown mode: {mode}")
@@ -177,7 +193,7 @@ def _items(payload: str | None, r: dict, json_items: list | None) -> list[tuple[
     if mode == "json_path":
         if json_items is None:
             raise _Failed("not JSON")
-        items = [(x["main"], x["inner"] or {}) for x in json_items]
+        items = json_items
     else:
         items = (_css_items if mode == "css_select" else _scalar_item)(payload or "", r)
     if not items:
@@ -199,7 +215,7 @@ def _key(recipe_id: str, binding: dict, fields: list[tuple[str, str, str | None]
     return f"{recipe_id}:{(value or '')[:KEY_CHARS]}"
 
 
-def records(payload: str | None, r: dict, json_items: list | None) -> Iterator[tuple]:
+def records(payload: str | None, r: dict, json_items: _Found | None) -> Iterator[tuple]:
     """item, binding, record_type, dedup_key, content and value of all records; _Failed if there is an error anywhere."""
     items = _items(payload, r, json_items)
     if len(items) > RECORD_CAP:
@@ -207,8 +223,7 @@ def records(payload: str | None, r: dict, json_items: list | None) -> Iterator[t
     for i, (main, inner) in enumerate(items):
         main = _bounded(main)
         for b, binding in enumerate(r["bindings"]):
-            value = {"extracted": lambda f: main, "inner": lambda f: inner.get(f["path"])}  # noqa: B023
-            fields = [(f["path"], f["source"], value.get(f["source"], lambda f: f["value"])(f)) for f in binding["fields"]]
+            fields = [(f["path"], f["source"], main if f["source"] == "extracted" else inner.get(f["path"]) if f["source"] == "inner" else f["value"]) for f in binding["fields"]]
             key = _key(r["recipe_id"], binding, fields) if r["iterator_mode"] else None
             content, error = assembled(binding["record_type"], fields, r["plan"])
             if error:
@@ -236,39 +251,80 @@ class ExtractRecords:
         return AnalyzeResult(_PROBE if probe.value else _RECORD)
 
     def eval(self, payload: str, recipe: T.Row | str, json_items: list | str, probe: bool) -> Iterator[tuple]:
-        recipe = _parsed(recipe) if isinstance(recipe, str) else recipe
-        json_items = json.loads(json_items) if isinstance(json_items, str) else json_items
-        try:
-            if probe:
-                items = _items(payload, recipe, json_items)
-                yield len(items), bool(recipe["iterator_mode"]) or any(m for m, _ in items)
-            else:
-                for x in list(records(payload, recipe, json_items)):
-                    yield *x, None
-        except _Failed as e:
-            yield (0, False) if probe else (None, None, None, None, None, None, _shortened(str(e)))
-
-
-def _json_items(payload: Column) -> Column:
-    """The matches of JSON recipes, null for other modes and for payloads that are no JSON; inner values are looked for within each match."""
+        yield from _answers(payload, recipe, json_items, probe)
+
+
+def _answers(payload: str | None, recipe: T.Row | str, json_items: list | str | None, probe: bool) -> list[tuple]:
+    """The rows of a payload: its records, or one with the error; with probe, whether there are any matches."""
+    recipe = _parsed(recipe) if isinstance(recipe, str) else recipe
+    if isinstance(json_items, str):
+        found = json.loads(json_items)
+        json_items = _Found(found["n"], found["items"] or ())
+    elif json_items is not None:
+        json_items = _Found(len(json_items), json_items)
+    try:
+        if probe:
+            items = _items(payload, recipe, json_items)
+            return [(len(items), bool(recipe["iterator_mode"]) or any(m for m, _ in items))]
+        return [(*x, None) for x in records(payload, recipe, json_items)]
+    except _Failed as e:
+        return [(0, False) if probe else (None, None, None, None, None, None, _shortened(str(e)))]
+
+
+def _json_items(payload: Column, probe: bool) -> tuple[Column, Column]:
+    """How many matches a JSON recipe has, null for other modes and for payloads that are no JSON; and the matches themselves, with inner values looked for within each.
+
+    Matches are spelled out only where they are asked for: not to probe an iterator, nor of a payload that has too many.
+    """
     path = F.col("path")
-    found = F.from_json(_json(payload, F.col("iterator_path")), "array<string>")
+    listed = _json(payload, F.col("iterator_path"))
     inner = lambda node: F.map_from_arrays(F.transform("inner", lambda s: s["path"]), F.transform("inner", lambda s: F.call_function("get_json_object", node, s["selector"])))
     within = lambda node: F.struct(F.when(path == "$", node).otherwise(first_json(node, path)).alias("main"), inner(node).alias("inner"))
     scope = first_json(payload, path)
-    alone = F.array(F.struct(scope.alias("main"), inner(scope).alias("inner")))
-    many = F.transform(F.coalesce(found, F.array().cast("array<string>")), within)
+    alone, iterated = F.col("iterator_mode").isNull(), F.col("iterator_mode").isNotNull()
     sound = (F.col("mode") == "json_path") & _json(payload, F.lit("$")).isNotNull()
-    return F.when(sound & F.col("iterator_mode").isNull(), alone).when(sound, many)
+    n = F.when(sound, F.when(alone, 1).otherwise(F.coalesce(F.json_array_length(listed), F.lit(0))))
+    many = F.transform(F.from_json(listed, "array<string>"), within)
+    wanted = F.lit(False) if probe else iterated & F.col("_n").between(1, RECORD_CAP)
+    return n, F.when(alone & F.col("_n").isNotNull(), F.array(F.struct(scope.alias("main"), inner(scope).alias("inner")))).when(wanted, many)
+
+
+#: Rows in a batch that goes out: a payload may have hundreds of records.
+_ROWS_OUT = 4096
 
 
-def _called(payloads: DataFrame, recipes: DataFrame, probe: bool) -> DataFrame:
+def _called(payloads: DataFrame, recipes: DataFrame, keep: list[str], probe: bool) -> DataFrame:
+    """The columns to keep, and the fields of each record or probe."""
     whole = {"ignoreNullFields": "false"}
     recipes = recipes.withColumn("_recipe", F.to_json(F.struct(*[F.col(c) for c in _USED]), whole))
-    both = payloads.join(recipes, "recipe_id").withColumn("_json", F.to_json(_json_items(F.col("payload")), whole))
+    # Recipes are few and payloads many to each: the recipes go to the payloads, which stay where they are.
+    both = payloads.join(F.broadcast(recipes), "recipe_id")
+    n, items = _json_items(F.col("payload"), probe)
+    both = both.withColumn("_n", n).withColumn("_json", F.to_json(F.when(F.col("_n").isNotNull(), F.struct(F.col("_n").alias("n"), items.alias("items"))), whole))
     # What built-in functions have found needs no payload on the other side.
-    both = both.withColumn("_text", F.when(F.col("mode") != "json_path", F.col("payload"))).drop("payload")
-    return both.lateralJoin(ExtractRecords(F.col("_text").outer(), F.col("_recipe").outer(), F.col("_json").outer(), F.lit(probe)))
+    both = both.select(*keep, F.when(F.col("mode") != "json_path", F.col("payload")).alias("_text"), "_recipe", "_json")
+    made = _PROBE if probe else _RECORD
+    types = to_arrow_schema(made)
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            kept = batch.select(keep).take(pa.array(at, pa.int32()))
+            return pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)]], [*keep, *types.names])
+
+        for batch in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            for i, row in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_text", "_recipe", "_json")], strict=True)):
+                found = _answers(*row, probe)
+                rows += found
+                at += [i] * len(found)
+                if len(rows) >= _ROWS_OUT:
+                    yield out(batch, at, rows)
+                    at, rows = [], []
+            if rows:
+                yield out(batch, at, rows)
+
+    return both.mapInArrow(answered, T.StructType([*both.select(*keep).schema.fields, *made.fields]))
 
 
 def recipe_path(mode: Column, path: Column, attribute: Column) -> Column:
@@ -286,18 +342,19 @@ def applied(payloads: DataFrame, recipes: DataFrame) -> DataFrame:
 
     A payload and a recipe fail together as a whole; another recipe over the same payload does not.
     """
-    made = _called(payloads, recipes, probe=False)
-    ok = F.col("error").isNull()
     outer = F.concat(F.when(F.col("iterator_mode").isNotNull(), recipe_path(F.col("iterator_mode"), F.col("iterator_path"), F.lit(None).cast("string"))), F.lit(" >> "))
     path = F.concat(F.coalesce(outer, F.lit("")), recipe_path(F.col("mode"), F.col("path"), F.col("attribute")))
-    when_ok = lambda c: F.when(ok, c)
+    source = F.concat("source_id", F.lit("#recipe:"), "recipe_id", F.lit("@v"), "version")
+    said = recipes.withColumn("_said", F.struct(source.alias("source_id"), "source_url", "topics", path.alias("selector_path")))
+    made = _called(payloads, said, ["payload_id", "recipe_id", "_said"], probe=False)
+    when_ok = lambda c: F.when(F.col("error").isNull(), c)
     return made.select(
         "payload_id", "recipe_id", "item", "binding", "record_type", "dedup_key", "content",
-        when_ok(F.concat("source_id", F.lit("#recipe:"), "recipe_id", F.lit("@v"), "version")).alias("source_id"), when_ok(F.col("source_url")).alias("source_url"), when_ok(F.lit("unknown")).alias("license"),
-        when_ok(F.col("topics")).alias("topics"), when_ok(path).alias("selector_path"), when_ok(excerpt(F.col("value"))).alias("excerpt"), "error",
+        when_ok(F.col("_said.source_id")).alias("source_id"), when_ok(F.col("_said.source_url")).alias("source_url"), when_ok(F.lit("unknown")).alias("license"),
+        when_ok(F.col("_said.topics")).alias("topics"), when_ok(F.col("_said.selector_path")).alias("selector_path"), when_ok(excerpt(F.col("value"))).alias("excerpt"), "error",
     )
 
 
 def probed(payloads: DataFrame, recipes: DataFrame) -> DataFrame:
     """Whether a recipe hits anything in a payload at authoring time: an iterator with any number of matches will do."""
-    return _called(payloads, recipes, probe=True).select("payload_id", "recipe_id", "n_items", "ok")
+    return _called(payloads, recipes, ["payload_id", "recipe_id"], probe=True)
