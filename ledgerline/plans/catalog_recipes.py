@@ -28,7 +28,7 @@ _STORMS = "s AS (SELECT o_orderkey AS id, i, 'storm ' || (o_orderkey + i) AS nam
 
 def _storm_payloads(spark, d):
     item = lambda i: F.concat(F.lit('{"name":"storm '), F.col("o_orderkey") + i, F.lit('","id":"st:'), F.col("o_orderkey") + i, F.lit('","wind":"'), F.format_number(F.col("o_orderkey") % 1000 + 1000 * i, 0), F.lit(' kt"}'))
-    return B.table(spark, d, "orders").select(F.col("o_orderkey").alias("payload_id"), F.lit("r").alias("recipe_id"), F.concat(F.lit('{"storms":['), F.concat_ws(",", item(0), item(1), item(2)), F.lit("]}")).alias("payload"))
+    return B.spread(spark, d, "orders", "o_orderkey").select(F.col("o_orderkey").alias("payload_id"), F.lit("r").alias("recipe_id"), F.concat(F.lit('{"storms":['), F.concat_ws(",", item(0), item(1), item(2)), F.lit("]}")).alias("payload"))
 
 
 @query("WITH " + _STORMS + """ SELECT id AS payload_id, CAST(i AS INT) AS item, 0 AS binding, 'event' AS record_type, 'r:' || name AS dedup_key, '{"event_type":"storm","headline":"' || name || '","magnitude":{"metric":"north","unit":"kt","value":' || wind || '.0}}' AS content, 'src#recipe:r@v2' AS source_id, 'json:$.storms >> json:$.wind' AS selector_path, 'wind,storms' AS topics FROM s""")
@@ -71,7 +71,7 @@ def failed_recipes(spark, d):
     )
     which = F.col("o_orderkey") % 6
     listed = F.when(which == 0, F.array().cast("array<string>")).when(which == 2, F.array_repeat(F.lit('"x"'), 501)).otherwise(F.array(F.lit('"x"'), F.lit('"y"')))
-    payloads = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("payload_id"), which.cast("string").alias("recipe_id"), F.concat(F.lit('{"a":['), F.array_join(listed, ","), F.lit("]}")).alias("payload"))
+    payloads = B.spread(spark, d, "orders", "o_orderkey").select(F.col("o_orderkey").alias("payload_id"), which.cast("string").alias("recipe_id"), F.concat(F.lit('{"a":['), F.array_join(listed, ","), F.lit("]}")).alias("payload"))
     return R.applied(payloads, recipes).groupBy("error").agg(F.count("*").alias("n"))
 
 
@@ -80,7 +80,7 @@ def probed_recipes(spark, d):
     """Probes at authoring time: an iterator with 400 and more matches is sound, one with none is not."""
     recipes = _recipes(spark, {"recipe_id": "0", "iterator_mode": "json_path", "iterator_path": "$.a", "path": "$"}, {"recipe_id": "1", "path": "$.b"})
     k = F.col("o_orderkey")
-    payloads = B.table(spark, d, "orders").select(k.alias("payload_id"), (k % 2).cast("string").alias("recipe_id"), F.concat(F.lit('{"a":['), F.array_join(F.array_repeat(F.lit("7"), (k % 4 * 200).cast("int")), ","), F.lit("]"), F.when(k % 3 > 0, ',"b":1').otherwise(""), F.lit("}")).alias("payload"))
+    payloads = B.spread(spark, d, "orders", "o_orderkey").select(k.alias("payload_id"), (k % 2).cast("string").alias("recipe_id"), F.concat(F.lit('{"a":['), F.array_join(F.array_repeat(F.lit("7"), (k % 4 * 200).cast("int")), ","), F.lit("]"), F.when(k % 3 > 0, ',"b":1').otherwise(""), F.lit("}")).alias("payload"))
     return R.probed(payloads, recipes).select("payload_id", "n_items", "ok")
 
 

@@ -28,7 +28,7 @@ def _nested(spark, d):
     flag = F.when(k % 2 == 0, "true").otherwise('{"deep":[[1,2],[]]}')
     lines = F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.concat(F.lit('{"q":'), k, F.lit("}"))).otherwise('{"q":null},{"q":0.5,"t":"a \\"b\\" {["}')
     text = F.concat(F.lit('{"customer":{"id":'), "o_custkey", F.lit(',"tier":'), tier, F.lit('},"flag":'), flag, F.lit(',"lines":['), lines, F.lit("]}"))
-    return B.table(spark, d, "orders").select(k.alias("k"), text.alias("j"))
+    return B.spread(spark, d, "orders", "o_orderkey").select(k.alias("k"), text.alias("j"))
 
 
 _TREE = _NESTED + r""", t AS (SELECT k, regexp_replace(fullkey, '\[[0-9]+\]', '[]', 'g') AS path, id, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
@@ -55,7 +55,7 @@ def path_outlines(spark, d):
 def json_outlines(spark, d):
     """Whole outlines, with the first elements of the first array."""
     body = F.concat(F.lit('{"v":[null,'), "event_id", F.lit(',null],"k":'), F.get_json_object("props", "$.k"), F.lit("}"))
-    return J.json_outlines(B.table(spark, d, "events").select(F.col("event_id").alias("id"), body.alias("j")), ["id"], "j")
+    return J.json_outlines(B.spread(spark, d, "events", "event_id").select(F.col("event_id").alias("id"), body.alias("j")), ["id"], "j")
 
 
 # --- D9, D10, D11: tables and charts in documents, repair -------------------------------------
@@ -110,7 +110,7 @@ def chart_series(spark, d):
     full = F.replace(full, F.lit('{"alpha":"x",'), F.concat(F.lit("{"), three("alpha", 3), F.lit(",")))
     bare = F.concat(F.lit('{"id":"i","name":"n","timestamp":[1,2],"rate":[5,'), k, F.lit('],"more":[[7,'), k + 1, F.lit("]],\"cut\":[1,2"))
     body = F.when(k % 4 == 0, full).when(k % 4 == 1, bare).when(k % 4 == 2, '{"close":[1,2]}').otherwise('{"timestamp":[1,2],"close":[1,2,3]}')
-    series = J.chart_catalogs(B.table(spark, d, "orders").select(k.alias("id"), body.alias("body")), ["id"], "body")
+    series = J.chart_catalogs(B.spread(spark, d, "orders", "o_orderkey").select(k.alias("id"), body.alias("body")), ["id"], "body")
     return series.select("id", "place", "series", "label", F.size("timestamps").alias("points"), F.element_at("values", -1).alias("last"))
 
 
@@ -194,7 +194,7 @@ def _all_modes(spark, d):
             {"path": "$.v"}, {"path": "td.v", "attribute": "data-x"}, {"path": "production", "filter_column": "country", "filter_value": "Chile"}, {"path": "Production: *([0-9]+) *tonnes", "grp": 1}, {"path": None, "spot": [2, 0, 1, 1]},
         ), strict=True))],
     )
-    return R.applied(B.table(spark, d, "orders").select(k.alias("payload_id"), mode.cast("string").alias("recipe_id"), text.alias("payload")), recipes)
+    return R.applied(B.spread(spark, d, "orders", "o_orderkey").select(k.alias("payload_id"), mode.cast("string").alias("recipe_id"), text.alias("payload")), recipes)
 
 
 @query(f"""SELECT o_orderkey AS payload_id, CASE WHEN o_orderkey % 3 <> 0 THEN '{{"metric":"output","period":"annual","unit":"t","value":' || o_orderkey || '.0}}' END AS content, CASE WHEN o_orderkey % 3 <> 0 THEN {_cases('o_orderkey % 5', dict(enumerate(_PATHS)))} END AS selector_path, CASE WHEN o_orderkey % 3 = 0 THEN {_cases('o_orderkey % 5', dict(enumerate(_ERRORS)))} END AS error FROM orders""")
@@ -214,7 +214,7 @@ def refused_recipes(spark, d):
         {"mode": "csv_cell", "iterator_mode": "json_path", "iterator_path": "$.a"}, {"inner": [("headline", "x", None)]}, {"path": "(open"}, {"grp": 2}, {"mode": "css_select", "path": "td:hover"}, {"mode": "xpath"}, {}, {},
     ))])
     k = F.col("o_orderkey") % 8
-    payloads = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("payload_id"), k.cast("string").alias("recipe_id"), F.when(k == 6, F.repeat(F.lit("é"), 1025)).when(k == 7, F.repeat(F.lit("é"), 1024)).otherwise("text").alias("payload"))
+    payloads = B.spread(spark, d, "orders", "o_orderkey").select(F.col("o_orderkey").alias("payload_id"), k.cast("string").alias("recipe_id"), F.when(k == 6, F.repeat(F.lit("é"), 1025)).when(k == 7, F.repeat(F.lit("é"), 1024)).otherwise("text").alias("payload"))
     return R.applied(payloads, recipes).groupBy("error").agg(F.count("*").alias("n"))
 
 
@@ -226,7 +226,7 @@ def selected_children(spark, d):
     page = F.concat(F.lit("<div class=menu><li><a>no</a></div><ul id=list>"), li(0, "first"), li(1, "q"), li(2, "q"), F.lit("</ul><dl><dt><a>never</a></dl>"))
     binding = ("event", "headline", [("event_type", "inner", None), ("headline", "extracted", None)])
     recipe = {"mode": "css_select", "iterator_mode": "css_select", "iterator_path": "ol > li, ul#list > li", "path": "a", "inner": [("event_type", "b, i", None)], "bindings": [binding]}
-    rows = B.table(spark, d, "orders").select(k.alias("payload_id"), F.lit("r").alias("recipe_id"), page.alias("payload"))
+    rows = B.spread(spark, d, "orders", "o_orderkey").select(k.alias("payload_id"), F.lit("r").alias("recipe_id"), page.alias("payload"))
     return R.applied(rows, _recipes(spark, recipe)).select("payload_id", "item", F.get_json_object("content", "$.headline").alias("main"), F.get_json_object("content", "$.event_type").alias("inner_text"))
 
 
