@@ -509,7 +509,7 @@ def vocabulary_checks(spark, d):
 def extracted_scalars(spark, d):
     recipes = spark.createDataFrame([(0, "json_path", "$.k", None, 0), (1, "regex_capture", "([0-9]{2,})", None, 1)], "recipe_id long, mode string, path string, attribute string, grp int")
     payloads = B.table(spark, d, "events").select("event_id", (F.col("user_id") % 2).alias("recipe_id"), F.col("props").alias("payload"))
-    return X.apply_recipes(payloads, recipes).select("event_id", "value", "error", "selector_path")
+    return X.apply_recipes(payloads, F.broadcast(recipes)).select("event_id", "value", "error", "selector_path")
 
 
 @query("SELECT o_orderkey AS id, CAST(i AS INT) AS item_index, 's' || (o_orderkey + i) AS name, CAST(NULL AS VARCHAR) AS error FROM orders, (SELECT unnest([0, 1]) AS i) WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, NULL, NULL, 'no match' FROM orders WHERE o_orderkey % 3 = 0")
