@@ -45,9 +45,7 @@ def nested_paths(spark, d):
 @query("WITH " + _TREE + ", s AS (SELECT k, path, min(id) AS id, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kinds, min(length) AS lo, max(length) AS hi, count(DISTINCT kind) > 1 AND NOT bool_or(kind IN ('object', 'array')) AS poly, list(sample ORDER BY id) FILTER (WHERE sample IS NOT NULL)[1:5] AS samples FROM t GROUP BY 1, 2) SELECT k, string_agg(path || ' : ' || CASE WHEN poly THEN kinds || '   ← polymorphic; first ' || len(samples) || ' values: [' || array_to_string(list_transform(samples, lambda x: '\"' || replace(replace(x, '\\', '\\\\'), '\"', '\\\"') || '\"'), ', ') || ']' WHEN kinds = 'array' THEN 'array[' || CASE WHEN lo = hi THEN lo || '' ELSE lo || '..' || hi END || ']' ELSE kinds END, ' ; ' ORDER BY id) AS lines FROM s GROUP BY k")
 def path_outlines(spark, d):
     """The lines of each document's outline, in the order of a walk through it."""
-    stats = J.path_statistics(J.json_paths(_nested(spark, d), ["k"], "j"), ["k"], [])
-    line = F.concat("path", F.lit(" : "), J.path_label(stats))
-    return stats.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", line.alias("line")))), lambda x: x["line"]), " ; ").alias("lines"))
+    return J.document_statistics(_nested(spark, d), ["k"], "j").select("k", F.array_join(J.path_lines(F.col("paths")), " ; ").alias("lines"))
 
 
 @query("""SELECT event_id AS id, '--- JSON shape ---' || chr(10) || '$ : object' || chr(10) || '$.k : number' || chr(10) || '$.v : array[3]' || chr(10) || '$.v[] : null|number   ← polymorphic; first 3 values: ["null", "' || event_id || '", "null"]' || chr(10)
