@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,11 @@ STOPWORDS = (
 )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -96,7 +102,8 @@ def _character(reference: Column) -> Column:
 
 def decoded(t: Column) -> Column:
     """References replaced, each once: what a decoded ampersand begins is not decoded again."""
-    return F.array_join(F.zip_with(F.split(t, _REFERENCE, -1), F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)), lambda part, r: F.concat(part, F.coalesce(F.when(r.isNull(), ""), _character(r)))), "")
+    read = lambda x: F.zip_with(F.split(x, _REFERENCE, -1), F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0)), lambda part, r: F.concat(part, F.coalesce(F.when(r.isNull(), ""), _character(r))))
+    return F.array_join(once(t, read), "")
 
 
 def relevance_words(*texts: Column) -> Column:

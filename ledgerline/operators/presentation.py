@@ -19,10 +19,12 @@ def _read(data: Column) -> Column:
 
 def first_bytes(text: Column, limit: int) -> Column:
     """The longest beginning of a text with at most so many bytes."""
-    # A character cut in two decodes to one replacement character.
-    most = F.length(_read(F.substring(F.encode(text, "UTF-8"), 1, limit)))
-    whole = F.substr(text, F.lit(1), most)
-    return F.when(F.octet_length(text) <= limit, text).when(F.octet_length(whole) <= limit, whole).otherwise(F.substr(text, F.lit(1), most - 1))
+    def cut(t: Column) -> Column:
+        # A character cut in two decodes to one replacement character.
+        most = F.length(_read(F.substring(F.encode(t, "UTF-8"), 1, limit)))
+        return T.once(F.substr(t, F.lit(1), most), lambda whole: F.when(F.octet_length(whole) <= limit, whole).otherwise(F.substr(whole, F.lit(1), F.length(whole) - 1)))
+
+    return T.once(text, lambda t: F.when(F.octet_length(t) <= limit, t).otherwise(cut(t)))
 
 
 def lossy_excerpt(data: Column, limit: int = EXCERPT) -> Column:
@@ -58,6 +60,19 @@ def fetched_documents(fetches: DataFrame) -> DataFrame:
     )
 
 
+def placed(rows: DataFrame, key: str, step: str, order: list[Column]) -> DataFrame:
+    """place: the turn of each row of a key, from 1, in an order that begins with a step of few values (a day), last ones first.
+
+    Rows of a step are counted in their order, and the rows of the steps before added: no task meets all rows of a key.
+    """
+    before = Window.partitionBy("_key").orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = rows.groupBy(F.col(key).alias("_key"), F.col(step).alias("_step")).agg(F.count("*").alias("_n"))
+    steps = steps.select("_key", "_step", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    turn = F.row_number().over(Window.partitionBy(key, step).orderBy(*order))
+    both = rows.withColumn("_turn", turn).join(F.broadcast(steps), F.col(key).eqNullSafe(F.col("_key")) & F.col(step).eqNullSafe(F.col("_step")))
+    return both.withColumn("place", F.col("_before") + F.col("_turn")).drop("_key", "_step", "_before", "_turn")
+
+
 def duration(seconds: Column) -> Column:
     h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
     part = lambda n, unit: F.concat(n.cast("long").cast("string"), F.lit(unit))

@@ -29,7 +29,7 @@ def truncated_texts(spark, d):
 def fetched_documents(spark, d):
     """Bodies bounded by their kind of content, and the document made of each fetch."""
     i = F.col("id")
-    fetches = B.documents(spark, d).select(
+    fetches = B.dealt(B.documents(spark, d), "id").select(
         "id", F.concat(F.lit("host"), i % 7).alias("source_id"), F.lit("r").alias("recipe_id"), F.lit(3).alias("version"), F.concat(F.lit("https://x.org/"), i).alias("source_url"), F.col("mime").alias("content_type"),
         F.repeat(F.when(i % 2 == 0, "a").otherwise("b"), (i % 3 * 70000).cast("int")).alias("body"), F.array(F.lit("t")).alias("topics"), F.lit("2024-01-01").alias("fetched_at"),
     )
@@ -124,8 +124,9 @@ def observation_rows(spark, d):
     """Rows of a metric's detail view: newest first, with what the source id says."""
     from ..functions.keys import with_source_key
 
-    w = D.Window.partitionBy("metric").orderBy(F.desc("valid_at"), F.desc("seq"), F.desc("part"))
-    return with_source_key(B.observations(spark, d)).select("metric", "seq", F.col("valid_at").cast("date").cast("string").alias("day"), F.col("src_base").alias("src"), F.col("recipe_version").alias("version"), F.row_number().over(w).cast("long").alias("place"))
+    rows = with_source_key(B.observations(spark, d)).withColumn("day", F.col("valid_at").cast("date"))
+    placed = P.placed(rows, "metric", "day", [F.desc("valid_at"), F.desc("seq"), F.desc("part")])
+    return placed.select("metric", "seq", F.col("day").cast("string").alias("day"), F.col("src_base").alias("src"), F.col("recipe_version").alias("version"), "place")
 
 
 @query("SELECT o_orderpriority AS kind, array_to_string(list_slice(list(v ORDER BY f, v), 1, 8), '|') AS samples FROM (SELECT o_orderpriority, trim(o_clerk) AS v, min(o_orderkey) AS f FROM (SELECT *, ' c' || (o_custkey % 30) AS o_clerk FROM orders WHERE o_custkey % 5 <> 0) GROUP BY 1, 2) GROUP BY 1")

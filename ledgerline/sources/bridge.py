@@ -14,13 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """A table whose rows are much work each: dealt over the cores by key, as a file or row group may hold all of them.
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that are much work each, dealt over the cores by key, as a file or row group may hold all of them.
 
     What a query makes of a row (payloads, bodies) comes after this, so that few bytes a row move.
     """
+    spark = rows.sparkSession
     n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return table(spark, sf_dir, name).repartition(n, *keys)
+    return rows.repartition(n, *keys)
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, name), *keys)
 
 
 def uu(c: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ledgerline.operators import audit
 from ledgerline.operators import extraction as X
 from ledgerline.operators import html_digest as H
 from ledgerline.operators import json_shapes as J
+from ledgerline.operators import presentation as P
 from ledgerline.operators import recipe_records as R
 from ledgerline.plans.catalog_recipes import _recipes
 
@@ -64,3 +67,26 @@ def test_charts_and_outlines_are_made_within_the_row(spark):
     assert "Exchange" not in _plan(charts) + _plan(outlines)
     assert [tuple(r) for r in charts.orderBy("place").collect()] == [(1, 0, "close", [1.0, 2.0], [3.0, 4.5], "n"), (1, 1, "b", [1.0, 2.0], [5.0, 6.0], "n")]
     assert {r["id"]: r["outline"].split("\n")[3] for r in outlines.collect()} == {4: '$.v[] : number|string   ← polymorphic; first 2 values: ["1.5", "\\"a\\""]'}
+
+
+def test_bodies_of_fetches_are_computed_once(spark):
+    fetches = spark.createDataFrame([("s", "r", 1, "u", "text/html", "<p>" + "é" * 20000, "2024")], "source_id string, recipe_id string, version int, source_url string, content_type string, body string, fetched_at string").withColumn("topics", F.array())
+    made = P.fetched_documents(fetches)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("<script") == 1
+    assert made.first()["body"] == "é" * 16384
+
+
+def test_no_task_meets_all_rows_of_a_metric(spark):
+    rows = spark.createDataFrame([(i,) for i in range(40)], "id long").select((F.col("id") * 0).alias("k"), F.when(F.col("id") % 9 > 0, F.col("id") % 9).alias("day"), "id")
+    got = P.placed(rows, "k", "day", [F.desc("day"), F.desc("id")])
+    want = sorted(range(40), key=lambda i: (-(i % 9), -i))
+    assert [r["id"] for r in got.orderBy("place").collect()] == want
+    assert re.search(r"hashpartitioning\(k#\w+, day#\w+", _plan(got)) and not re.search(r"hashpartitioning\(k#\w+, \d", _plan(got))
+
+
+def test_a_digest_is_made_in_one_pass(spark):
+    """Pages are read once and a few at a time, and nothing of a digest is joined."""
+    pages = spark.createDataFrame([(1, "<title>t</title><h1>a</h1><ul class=x><li class=y>1<li class=y>2</ul>")], "id long, html string")
+    plans = [_plan(H.digests(pages, "id", "html", 500)), _plan(H.page_elements(pages, "id", "html"))]
+    assert all(p.count("MapInArrow") == 1 and "ArrowEvalPython" not in p and "Join" not in p and "Exchange" not in p for p in plans)
+    assert H.digests(pages, "id", "html", 500).first()["digest"].startswith('--- HTML structure ---\n<title>: t\n<h1>: a\n\nLists:\n  <ul class="x"> (2 items)\n\nRepeating element classes (iterator-eligible):\n  li.y: 2 occurrences\n')
