@@ -1,25 +1,34 @@
 """What repeats in a page: headings, shapes of tables and lists, classes that several elements share.
 
-One Arrow-batched pass lists the elements of a page; everything after that, counting the
-``tag.class`` pairs above all, is explode and group.
+One Arrow-batched pass lists the elements of a page and counts its ``tag.class`` pairs.  Rows of
+elements are exploded and grouped; a digest is put together within the row of its page.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.text import once
 from .extraction import _ENDS, VOID, Reader
 from .presentation import truncated
 
 # Bounds of a digest, and the elements whose text is not seen.
-HEADING_BYTES, TABLES, LISTS, CLASSES = 1024, 50, 50, 30
+HEADING_BYTES, TABLES, LISTS, CLASSES, LEAST = 1024, 50, 50, 30, 2
 UNSEEN = ("script", "style", "noscript")
 
 ELEMENT = T.StructType().add("tag", "string").add("element_id", "string").add("classes", "string").add("rows", "integer").add("cols", "integer").add("text", "string")
-PAGE = T.StructType().add("elements", T.ArrayType(ELEMENT)).add("visible", "string")
+PAGE = T.StructType().add("elements", T.ArrayType(ELEMENT)).add("visible", "string").add("repeated", T.ArrayType(T.StructType().add("n", "long").add("selector", "string")))
+#: Pages in a batch that goes out.
+_PAGES = 64
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 class _Lister(Reader):
@@ -77,22 +86,35 @@ class _Lister(Reader):
             self.visible.append(data)
 
 
-@F.pandas_udf(PAGE)
-def listed(pages: pd.Series) -> pd.DataFrame:
-    def one(page: str | None) -> dict:
-        lister = _Lister()
-        lister.read(page)
-        blank = lambda t: " ".join(t.split())
-        fields = ("tag", "element_id", "classes", "rows", "cols")
-        elements = [{f: e[f] for f in fields} | {"text": blank("".join(e["text"])) if e["text"] is not None else None} for e in lister.elements]
-        return {"elements": elements, "visible": blank(" ".join(lister.visible))}
+def _page(page: str | None) -> dict:
+    lister = _Lister()
+    lister.read(page)
+    blank = lambda t: " ".join(t.split())
+    fields = ("tag", "element_id", "classes", "rows", "cols")
+    elements = [{f: e[f] for f in fields} | {"text": blank("".join(e["text"])) if e["text"] is not None else None} for e in lister.elements]
+    pairs = Counter(f"{e['tag']}.{c}" for e in elements for c in _BLANKS.split(e["classes"] or "") if c)
+    repeated = sorted((-n, selector) for selector, n in pairs.items() if n >= LEAST)
+    return {"elements": elements, "visible": blank(" ".join(lister.visible)), "repeated": [{"n": -n, "selector": selector} for n, selector in repeated]}
+
+
+def _listed(pages: DataFrame, key: str, page: str) -> DataFrame:
+    """key and what stands in each page; few pages are held at a time, whatever comes in a batch."""
+    kind = to_arrow_schema(PAGE)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _PAGES):
+                part = batch.slice(lo, _PAGES)
+                found = [_page(p) for p in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([f[name] for f in found], kind.field(name).type) for name in kind.names]], [key, *kind.names])
 
-    return pd.DataFrame([one(p) for p in pages], columns=["elements", "visible"])
+    both = pages.select(key, page)
+    return both.mapInArrow(read, T.StructType([both.schema[key], *PAGE.fields]))
 
 
 def page_elements(pages: DataFrame, key: str, page: str) -> DataFrame:
     """key, place and the fields of each element, in document order."""
-    return pages.select(key, listed(F.col(page)).alias("p")).select(key, F.posexplode("p.elements").alias("place", "e")).select(key, "place", "e.*")
+    return _listed(pages, key, page).select(key, F.posexplode("elements").alias("place", "e")).select(key, "place", "e.*")
 
 
 def headings(elements: DataFrame, key: str) -> DataFrame:
@@ -102,7 +124,7 @@ def headings(elements: DataFrame, key: str) -> DataFrame:
     return kept.select(key, "tag", F.col("turn").cast("long").alias("turn"), truncated(F.col("text"), HEADING_BYTES).alias("text"))
 
 
-def repeated_classes(elements: DataFrame, key: str, least: int = 2) -> DataFrame:
+def repeated_classes(elements: DataFrame, key: str, least: int = LEAST) -> DataFrame:
     """selector (``tag.class``), how many elements it selects, and its place: most elements first, then by name."""
     each = elements.select(key, "tag", F.explode(F.split(F.trim(F.regexp_replace("classes", r"\s+", " ")), " ")).alias("class")).filter("class <> ''")
     counted = each.groupBy(key, F.concat_ws(".", "tag", "class").alias("selector")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
@@ -111,30 +133,26 @@ def repeated_classes(elements: DataFrame, key: str, least: int = 2) -> DataFrame
 
 def digests(pages: DataFrame, key: str, page: str, budget: int) -> DataFrame:
     """key and one text a page: headings, shapes, repeated classes, then as much of the visible text as the budget has left."""
-    read = pages.select(key, listed(F.col(page)).alias("p"))
-    each = read.select(key, F.posexplode("p.elements").alias("place", "e")).select(key, "place", "e.*")
-    sign = F.concat(F.lit("<"), "tag", F.coalesce(F.concat(F.lit(' id="'), "element_id", F.lit('"')), F.lit("")), F.coalesce(F.concat(F.lit(' class="'), "classes", F.lit('"')), F.lit("")), F.lit(">"))
-    shape = F.when(F.col("tag") == "table", F.concat(F.lit("  "), sign, F.lit(" ("), "rows", F.lit(" rows × "), "cols", F.lit(" cols)"))).otherwise(F.concat(F.lit("  "), sign, F.lit(" ("), "rows", F.lit(" items)")))
-
-    def section(rows: DataFrame, name: str, title: str, cap: int, order: list, line, more: str) -> DataFrame:
-        w = Window.partitionBy(key)
-        ranked = rows.withColumn("r", F.row_number().over(w.orderBy(*order))).withColumn("all", F.count("*").over(w)).filter(F.col("r") <= cap)
-        lines = F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("line")))), lambda x: x["line"])
-        rest = F.when(F.max("all") > cap, F.concat(F.lit("\n  [... "), F.max("all") - cap, F.lit(f" more {more}truncated]"))).otherwise("")
-        return ranked.groupBy(key).agg(F.concat(F.lit(title), F.array_join(lines, "\n"), rest, F.lit("\n")).alias(name))
-
-    # The rank of a title is before that of headings.
-    heads = section(headings(each, key).withColumn("o", F.col("tag") != "title"), "heads", "", 1 << 30, ["o", "turn"], F.concat(F.lit("<"), "tag", F.lit(">: "), "text"), "")
-    tables = section(each.filter("tag = 'table'"), "tables", "\nTables:\n", TABLES, ["place"], shape, "tables ")
-    lists = section(each.filter("tag IN ('ul', 'ol')"), "lists", "\nLists:\n", LISTS, ["place"], shape, "lists ")
-    repeated = section(repeated_classes(each, key), "repeated", "\nRepeating element classes (iterator-eligible):\n", CLASSES, ["place"], F.concat(F.lit("  "), "selector", F.lit(": "), "n", F.lit(" occurrences")), "")
-    whole = read.select(key, F.col("p.visible").alias("visible"))
-    for part in (heads, tables, lists, repeated):
-        whole = whole.join(part, key, "left")
-    top = F.concat(F.lit("--- HTML structure ---\n"), *[F.coalesce(c, F.lit("")) for c in ("heads", "tables", "lists", "repeated")])
+    each = _listed(pages, key, page)
+    optional = lambda name, v: F.coalesce(F.concat(F.lit(f' {name}="'), v, F.lit('"')), F.lit(""))
+    sign = lambda e: F.concat(F.lit("  <"), e["tag"], optional("id", e["element_id"]), optional("class", e["classes"]), F.lit("> ("), e["rows"])
+    of = lambda *tags: F.filter("elements", lambda e: e["tag"].isin(*tags))
+
+    def section(rows: Column, title: str, cap: int, line: Callable[[Column], Column], more: str) -> Column:
+        def shown(r: Column) -> Column:
+            rest = F.when(F.size(r) > cap, F.concat(F.lit("\n  [... "), F.size(r) - cap, F.lit(f" more {more}truncated]"))).otherwise("")
+            return F.when(F.size(r) > 0, F.concat(F.lit(title), F.array_join(F.transform(F.slice(r, 1, cap), line), "\n"), rest, F.lit("\n"))).otherwise("")
+
+        return once(rows, shown)
+
+    heads = section(F.filter(F.concat(F.slice(of("title"), 1, 1), of("h1")), lambda e: e["text"] != ""), "", 1 << 30, lambda e: F.concat(F.lit("<"), e["tag"], F.lit(">: "), truncated(e["text"], HEADING_BYTES)), "")
+    tables = section(of("table"), "\nTables:\n", TABLES, lambda e: F.concat(sign(e), F.lit(" rows × "), e["cols"], F.lit(" cols)")), "tables ")
+    lists = section(of("ul", "ol"), "\nLists:\n", LISTS, lambda e: F.concat(sign(e), F.lit(" items)")), "lists ")
+    repeated = section(F.col("repeated"), "\nRepeating element classes (iterator-eligible):\n", CLASSES, lambda e: F.concat(F.lit("  "), e["selector"], F.lit(": "), e["n"], F.lit(" occurrences")), "")
+    top = F.concat(F.lit("--- HTML structure ---\n"), heads, tables, lists, repeated)
     header = "\n--- Visible text (script/style excluded, truncated) ---\n"
     left = F.lit(budget) - F.octet_length("top") - len(header)
-    return whole.select(key, "visible", top.alias("top")).withColumn("left", left).select(key, _with_text(header).alias("digest"))
+    return each.select(key, "visible", top.alias("top")).withColumn("left", left).select(key, _with_text(header).alias("digest"))
 
 
 def _with_text(header: str):

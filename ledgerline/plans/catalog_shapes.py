@@ -137,7 +137,7 @@ n AS (SELECT page_id, tag || '.' || class AS selector, count(*) AS n FROM (SELEC
 SELECT page_id, selector, n, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n DESC, selector) AS INT) AS place FROM n""".replace("\\\\", "\\"))
 def repeated_classes(spark, d):
     """Classes that several elements of a page share: what an iterator would select."""
-    return H.repeated_classes(H.page_elements(B.table(spark, d, "pages"), "page_id", "html"), "page_id")
+    return H.repeated_classes(H.page_elements(B.spread(spark, d, "pages", "page_id"), "page_id", "html"), "page_id")
 
 
 @query("""WITH h AS (SELECT page_id, regexp_replace(html, '(?s)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g') AS html FROM pages),
@@ -145,13 +145,13 @@ e AS (SELECT page_id, 'title' AS tag, regexp_extract(html, '(?s)<title[^>]*>(.*?
 SELECT page_id, tag, CAST(turn AS BIGINT) AS turn, text FROM (SELECT page_id, tag, turn, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM e) WHERE text <> ''""".replace("\\\\", "\\"))
 def page_headings(spark, d):
     """Titles and first headings."""
-    return H.headings(H.page_elements(B.table(spark, d, "pages"), "page_id", "html"), "page_id")
+    return H.headings(H.page_elements(B.spread(spark, d, "pages", "page_id"), "page_id", "html"), "page_id")
 
 
 @query(None)
 def page_digests(spark, d):
     """Structure and visible text of each page within 4,000 bytes."""
-    return H.digests(B.table(spark, d, "pages"), "page_id", "html", 4000)
+    return H.digests(B.spread(spark, d, "pages", "page_id"), "page_id", "html", 4000)
 
 
 @query("""SELECT event_id AS id, chr(CAST(8192 + event_id % 1000 AS INT)) || chr(CAST(65 + event_id % 26 AS INT)) || ' &lt; &#38; <"' || chr(128512) || chr(39) || '&bogus; &#xD800; &#1114112; &toolonganame; & ;' AS text FROM events""")
