@@ -17,7 +17,9 @@ Jaccard similarity reaches ``percent``; the result is the component of each docu
   in the order of the shingle's place in the sets: blocks of places that leave too few common
   shingles on either side are skipped.  A pair with one leader is derived from its answers: they
   bound what the two have in common from above, which ends some, and from below, which links some
-  unseen.  Parities (256 bits, each shingle flips one) end most of the others.
+  unseen.  Parities (each shingle flips one bit; first 256 bits, then two bits a shingle) end
+  nearly all others.  Of a set, a task gives few pairs; where one has more, what is found so far is
+  linked first, and what is then still between different components is searched again.
 
 Every remaining candidate pair is verified on the whole sets.  Rows are known by 96 bits of two
 hashes of id and text, sets by 128 bits and their size, and classes by numbers given to them.
@@ -42,7 +44,8 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .exchange import dealt, slices
 from .shared import giving_back, group_count, materialise
-from .tiles import compared
+from .sketches import wide_parities
+from .tiles import BROADCAST_GROUPS, TILE, compared
 
 PERCENT, WORDS = 90, 3
 GROUPS = 4
@@ -52,6 +55,8 @@ USAGE_BITS = 22
 SLICE = 4 << 20
 #: Links that one task turns into stars, about.
 TASK_LINKS = 1_000_000
+#: Pairs of a set that one task gives in the first search, and how many times as many in each further one.
+MOST, MORE = 16, 16
 
 TOKEN = np.dtype([("token", "<u4"), ("key", "<i8"), ("known", "u1")])
 COUNT = np.dtype([("key", "<i8"), ("shared", "<i4")])
@@ -206,6 +211,19 @@ def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFr
     return bodies.select("key", "body").mapInArrow(entries, "token long, key long, n int, place int, band int, w0 long, w1 long, w2 long, w3 long, p1 long, p2 long")
 
 
+def _parities(keys: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
+    """key and wide parities of the sets that have a row in keys, a stored table."""
+
+    @giving_back
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, SLICE):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(wide_parities(*_sets(part.column(1), k)), pa.binary())], names=["key", "parity"])
+
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_GROUPS else keys
+    return bodies.join(few, "key", "left_semi").select("key", "body").mapInArrow(made, "key long, parity binary")
+
+
 def _overlaps(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
     """x, y with the size of their whole sets (nx, ny) and of what these have in common (both)."""
 
@@ -267,7 +285,11 @@ def _derivable(percent: int):
         # Bits of a signed number are counted without its sign.
         words = (c[f"w{j}"].view(np.uint64) for j in range(4))
         differ = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
-        ok[ok] = differ <= (total - 2 * least)[ok]
+        far = (total - 2 * least)[ok]
+        close = differ <= far
+        if "wide" in c:
+            close[close] = c["wide"].differ(c["at"][x[close]], c["at"][y[close]]) <= far[close]
+        ok[ok] = close
         return np.where(ok, np.where(sure, 2, 1), 0)
 
     return test
@@ -421,15 +443,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     label = components(links)
 
     # Then only pairs of different components, in lists that hold any: by position, and with what the leaders' answers tell.
-    marked = index.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
     zero = {c: F.coalesce(c, F.lit(z)) for c, z in (("p1", 0), ("p2", 0), ("lead", -1), ("over", 0), ("lead_n", 0))}
-    open_ = materialise(marked.join(mixed, "token").join(_answers(seen), "key", "left").withColumns(zero))
-    entries = open_.withColumn("block", F.explode(F.array("band", F.col("band") - 1))).withColumn("own", F.col("block") == F.col("band")).drop("band")
-    more = materialise(compared(entries, ["token", "block"], "place", _reach(percent), _derivable(percent)))
-    sure = more.filter("mark = 2").select("x", "y")
-    label = components(links.union(sure).union(_verified(more.filter("mark = 1").select("x", "y"), bodies, percent, k)))
-    return of_rows(docs, doc_id, text, rows, classes, label)
+    open_ = materialise(_mixed(index, label).join(_answers(seen), "key", "left").withColumns(zero))
+    parities = materialise(_parities(materialise(open_.select("key").distinct()), bodies, k))
+    tried, most = None, MOST
+    while True:
+        entries = open_.withColumn("block", F.explode(F.array("band", F.col("band") - 1))).withColumn("own", F.col("block") == F.col("band")).drop("band")
+        more = materialise(compared(entries, ["token", "block"], "place", _reach(percent), _derivable(percent), TILE, parities, most))
+        sure, pairs = more.filter("mark = 2").select("x", "y"), more.filter("mark = 1").select("x", "y")
+        fresh = pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti")
+        links = materialise(links.union(sure).union(_verified(fresh, bodies, percent, k)))
+        label = components(links)
+        if more.filter("mark = 0").isEmpty():
+            return of_rows(docs, doc_id, text, rows, classes, label)
+        tried = pairs if tried is None else tried.union(fresh)
+        open_, most = materialise(_mixed(open_.drop("label"), label)), most * MORE
+
+
+def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """The index entries with their component's label, of lists that hold different ones."""
+    marked = entries.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
+    return marked.join(mixed, "token")
 
 
 def _possible_flat(percent: int) -> Column:

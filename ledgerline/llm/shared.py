@@ -51,7 +51,7 @@ def _give_back() -> None:
 
 
 def giving_back(f: Callable) -> Callable:
-    """f over batches or over one group; when it is done, its worker, which waits for further tasks, keeps no freed memory."""
+    """f over batches, over one group or over two that belong together; when it is done, its worker, which waits for further tasks, keeps no freed memory."""
     if inspect.isgeneratorfunction(f):
 
         def batches(it):
@@ -65,4 +65,9 @@ def giving_back(f: Callable) -> Callable:
         _give_back()
         return out
 
-    return group
+    def two_groups(table, beside):
+        out = f(table, beside)
+        _give_back()
+        return out
+
+    return two_groups if len(inspect.signature(f).parameters) == 2 else group

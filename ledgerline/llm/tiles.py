@@ -4,7 +4,7 @@ A group with more rows than a tile holds is cut into blocks by hash; every pair
 tile, and tiles are dealt over tasks by their number, whatever their group.  In a tile rows stand in the
 order of one column, and a row is compared with those that follow it up to a bound on that
 column: the blocks beyond are skipped without being looked at.  Only pairs of different labels that
-pass the caller's test leave a tile.
+pass the caller's test leave a tile, of each key no more from a task than the caller says.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import giving_back, materialise
+from .sketches import Wide
 
 #: Rows of a group's block, rows of tiles that one task reads at a time, about, and pairs tested at a time.
 TILE, TASK_ROWS, STEP = 4096, 50_000, 1 << 18
@@ -76,22 +77,43 @@ def _matched(columns: Columns, order: np.ndarray, until: np.ndarray, test: Calla
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def compared(rows: DataFrame, group: list[str], by: str, until: Callable[[Columns], np.ndarray], test: Callable[[Columns, np.ndarray, np.ndarray], np.ndarray], tile: int = TILE) -> DataFrame:
+def _thinned(x: np.ndarray, y: np.ndarray, mark: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, no more than most of a lesser key; a key that has more is given as x and y, with mark 0."""
+    order = np.lexsort((-mark, y, x))
+    x, y, mark = x[order], y[order], mark[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
+    x, y, mark = x[new], y[new], mark[new]
+    rank = np.arange(len(x)) - np.searchsorted(x, x)
+    more = x[rank == most]
+    kept = rank < most
+    return np.concatenate([x[kept], more]), np.concatenate([y[kept], more]), np.concatenate([mark[kept], np.zeros(len(more), mark.dtype)])
+
+
+def compared(
+    rows: DataFrame, group: list[str], by: str, until: Callable[[Columns], np.ndarray], test: Callable[[Columns, np.ndarray, np.ndarray], np.ndarray], tile: int = TILE, parities: DataFrame | None = None, most: int | None = None
+) -> DataFrame:
     """x, y (the lesser key first) and what the test says of the pairs that it lets through: 1, or 2 where the pair is known to be a link.
 
     rows is a stored table, or made of one without a shuffle: it is read several times.  It has the columns of group, key, label, and what the test reads (numbers, or binaries of words of 64 bits); rows
     stand in the order of ``by``, and the test takes the columns and places x, y (x before y) and gives 0, 1 or 2.
+
+    parities (key, parity) come to each task once for each of its keys, however many rows that has there: the test finds them as
+    ``wide``, and a row's place in them as ``at``.  With ``most``, a task gives no more than so many pairs of a lesser key; keys that
+    have more come as x and y with the answer 0.
     """
     held = _tiles(rows, group, tile)
     tasks = max(rows.count() // TASK_ROWS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    @giving_back
-    def compare(table: pa.Table) -> pa.Table:
+    def found(table: pa.Table, beside: pa.Table | None) -> pa.Table:
         table = table.sort_by([("tile", "ascending"), (by, "ascending")])
         columns = {}
         for name in table.column_names:
             c = table.column(name)
             columns[name] = np.frombuffer(b"".join(c.to_pylist()), "<u8").reshape(len(c), -1) if pa.types.is_binary(c.type) else c.to_numpy()
+        if beside is not None:
+            beside = beside.sort_by("of")
+            columns["wide"] = Wide(beside.column("parity").to_pylist())
+            columns["at"] = np.searchsorted(beside.column("of").to_numpy(), columns["key"])
         said: list[np.ndarray] = []
 
         def kept(cols: Columns, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -102,7 +124,21 @@ def compared(rows: DataFrame, group: list[str], by: str, until: Callable[[Column
         x, y = _matched(columns, columns[by], until(columns), kept)
         mark = np.concatenate(said) if said else np.zeros(0, np.int64)
         key = columns["key"]
-        return pa.table({"x": np.minimum(key[x], key[y]), "y": np.maximum(key[x], key[y]), "mark": mark.astype(np.int32)})
+        pairs = np.minimum(key[x], key[y]), np.maximum(key[x], key[y]), mark.astype(np.int32)
+        return pa.table(dict(zip("x y mark".split(), pairs if most is None else _thinned(*pairs, most), strict=True)))
 
-    made = held.withColumn("task", F.pmod(F.col("tile"), F.lit(tasks))).groupBy("task").applyInArrow(compare, "x long, y long, mark int")
+    @giving_back
+    def compare(table: pa.Table) -> pa.Table:
+        return found(table, None)
+
+    @giving_back
+    def compare_beside(table: pa.Table, beside: pa.Table) -> pa.Table:
+        return found(table, beside)
+
+    held = held.withColumn("task", F.pmod(F.col("tile"), F.lit(tasks)))
+    if parities is None:
+        made = held.groupBy("task").applyInArrow(compare, "x long, y long, mark int")
+    else:
+        sent = held.select(F.col("task").alias("to"), F.col("key").alias("of")).distinct().join(parities.withColumnRenamed("key", "of"), "of")
+        made = held.groupBy("task").cogroup(sent.groupBy("to")).applyInArrow(compare_beside, "x long, y long, mark int")
     return made.groupBy("x", "y").agg(F.max("mark").alias("mark"))
