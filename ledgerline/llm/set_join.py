@@ -10,10 +10,12 @@ Jaccard similarity reaches ``percent``; the result is the component of each docu
   partner.  Most sets end here, and their texts are not read again.
 * The rest is indexed: the first m + 1 shingles of each, the widely used ones last.  Index
   lists are cut by size band; sets of other bands are skipped.
-* First every set is compared with at most four leaders of each list (least and greatest by key
+* Most lists are short, since their shingle is in a few texts by chance: their entries are sent once
+  and compared where they meet, unless many of them are near each other.
+* In the other lists every set is compared with at most four leaders (least and greatest by key
   and by size), which joins the copies of one text in a step linear in their number.  What each
   set has in common with its most similar leader is kept as its answer.
-* Then lists that hold sets of different components are searched, in tiles of bounded size and
+* Then those of them that hold sets of different components are searched, in tiles of bounded size and
   in the order of the shingle's place in the sets: blocks of places that leave too few common
   shingles on either side are skipped.  A pair with one leader is derived from its answers: they
   bound what the two have in common from above, which ends some, and from below, which links some
@@ -45,7 +47,7 @@ from . import bytewords as bw
 from .exchange import dealt, slices
 from .shared import giving_back, group_count, materialise
 from .sketches import wide_parities
-from .tiles import BROADCAST_GROUPS, TILE, compared
+from .tiles import BROADCAST_GROUPS, SMALL, TILE, compared, settled
 
 PERCENT, WORDS = 90, 3
 GROUPS = 4
@@ -183,8 +185,10 @@ def _usage(bodies: DataFrame, k: int) -> np.ndarray:
 
 
 def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFrame:
-    """Index entries: token, key, n, place, band, four words of parity bitmap, and the two shingles before."""
+    """Index entries: token, key, n, place, band, four words of parity bitmap, the two shingles before (0 if none), and whether more than SMALL sets may have the shingle."""
     level = np.log2(np.maximum(usage, 1)).astype(np.uint8)
+    # A slot counts all its sets, up to what a task counts at most.
+    limit = int(math.log2(SMALL))
     shared = bodies.sparkSession.sparkContext.broadcast(level)
 
     @giving_back
@@ -196,19 +200,20 @@ def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFr
                 row = np.repeat(np.arange(len(n)), n)
                 bits = np.bincount(row * 256 + (bw.mix(token) >> np.uint64(56)).astype(np.int64), minlength=256 * len(n)).reshape(-1, 256) & 1
                 bitmap = np.packbits(bits.astype(np.uint8), axis=1).view("<i8")
-                order = np.lexsort((token, shared.value[(token >> np.uint64(64 - USAGE_BITS)).astype(np.int64)], row))
+                used = shared.value[(token >> np.uint64(64 - USAGE_BITS)).astype(np.int64)]
+                order = np.lexsort((token, used, row))
                 place = np.arange(len(token)) - offsets[row]
                 keep = place < (_misses(n, percent) + 1)[row]
                 r = row[keep]
                 first = token[order].view(np.int64)
-                before = [pa.array(np.roll(first, j)[keep], pa.int64(), mask=place[keep] < j) for j in (1, 2)]
+                before = [pa.array(np.where(place[keep] < j, 0, np.roll(first, j)[keep]), pa.int64()) for j in (1, 2)]
                 band = np.floor(np.log(n[r]) / math.log(100 / percent)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[order][keep].view(np.int64)), part.column(0).take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(band), *[pa.array(np.ascontiguousarray(bitmap[r, j])) for j in range(4)], *before],
-                    names=["token", "key", "n", "place", "band", "w0", "w1", "w2", "w3", "p1", "p2"],
+                    [pa.array(token[order][keep].view(np.int64)), part.column(0).take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(band), *[pa.array(np.ascontiguousarray(bitmap[r, j])) for j in range(4)], *before, pa.array(used[order][keep] >= limit)],
+                    names=["token", "key", "n", "place", "band", "w0", "w1", "w2", "w3", "p1", "p2", "often"],
                 )
 
-    return bodies.select("key", "body").mapInArrow(entries, "token long, key long, n int, place int, band int, w0 long, w1 long, w2 long, w3 long, p1 long, p2 long")
+    return bodies.select("key", "body").mapInArrow(entries, "token long, key long, n int, place int, band int, w0 long, w1 long, w2 long, w3 long, p1 long, p2 long, often boolean")
 
 
 def _parities(keys: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
@@ -265,22 +270,27 @@ def _derivable(percent: int):
     """The test of two index entries of a shingle: 0 if they cannot be linked, 1 if their whole sets must be compared, 2 if they are linked by what is known of their leader."""
 
     def test(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        n, place, lead, over = c["n"].astype(np.int64), c["place"], c["lead"], c["over"].astype(np.int64)
+        n, place = c["n"].astype(np.int64), c["place"]
         total = n[x] + n[y]
         least = -(-percent * total // (100 + percent))
-        ok = (c["own"][x] | c["own"][y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        ok = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+        if "own" in c:
+            ok &= c["own"][x] | c["own"][y]
         ok &= np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y]) >= least
         # A pair is made at its first common shingle: later lists leave it out where one of the two shingles before is common.
         for a, at_a in (("p1", 1), ("p2", 2)):
             for b, at_b in (("p1", 1), ("p2", 2)):
                 ok &= ~((place[x] >= at_a) & (place[y] >= at_b) & (c[a][x] == c[b][y]))
-        # What two sets have in common beside a third: at most what one has with it and the other without it, at least what both must have with it.
-        same = (lead[x] == lead[y]) & (lead[x] >= 0)
-        most = np.minimum(over[x] + n[y] - over[y], over[y] + n[x] - over[x])
-        sure = same & (over[x] + over[y] - c["lead_n"][x] >= least)
-        ok &= ~same | (most >= least)
-        # The leader itself: the answer is there.
-        ok &= (lead[x] != c["key"][y]) & (lead[y] != c["key"][x])
+        sure = np.zeros(len(x), bool)
+        if "lead" in c:
+            lead, over = c["lead"], c["over"].astype(np.int64)
+            # What two sets have in common beside a third: at most what one has with it and the other without it, at least what both must have with it.
+            same = (lead[x] == lead[y]) & (lead[x] >= 0)
+            most = np.minimum(over[x] + n[y] - over[y], over[y] + n[x] - over[x])
+            sure = same & (over[x] + over[y] - c["lead_n"][x] >= least)
+            ok &= ~same | (most >= least)
+            # The leader itself: the answer is there.
+            ok &= (lead[x] != c["key"][y]) & (lead[y] != c["key"][x])
         x, y = x[ok], y[ok]
         # Bits of a signed number are counted without its sign.
         words = (c[f"w{j}"].view(np.uint64) for j in range(4))
@@ -431,20 +441,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bodies = materialise(bodies.dropDuplicates(["key"]))
     index = materialise(_index(bodies, _usage(bodies, k), percent, k))
 
+    # Short lists, where they meet; the long ones and those of near copies stay.
+    long = materialise(index.filter("often").groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > SMALL).select("token"))
+    few = F.broadcast(long) if long.count() <= BROADCAST_GROUPS else long
+    index = index.drop("often")
+    told = materialise(settled(index.join(few, "token", "left_anti"), "token", "place", _reach(percent), _derivable(percent)))
+    index = materialise(index.join(few, "token", "left_semi").union(told.filter("x IS NULL").select(index.columns)))
+
     # Leaders: one pass that is linear in the entries.
     rest = ("place", "w0", "w1", "w2", "w3")
     by_key, by_size = F.struct("key", "n", *rest), F.struct("n", "key", *rest)
     heads = index.groupBy("token", "band").agg(F.min(by_key).alias("a"), F.max(by_key).alias("b"), F.min(by_size).alias("c"), F.max(by_size).alias("d"), F.count("*").alias("entries")).filter("entries > 1")
     pick = F.explode(F.array(*[F.struct(*[F.col(f"{h}.{c}").alias(c) for c in ("key", "n", *rest)]) for h in "abcd"]))
     led = index.alias("x").join(heads, ["token", "band"]).select("x.*", pick.alias("y")).filter("key <> y.key").filter(_possible_flat(percent))
-    pairs = led.select(F.least("key", "y.key").alias("x"), F.greatest("key", "y.key").alias("y")).distinct()
+    pairs = led.select(F.least("key", "y.key").alias("x"), F.greatest("key", "y.key").alias("y"), F.lit(True).alias("led")).union(told.filter("x IS NOT NULL").select("x", "y", F.lit(False)))
+    pairs = materialise(pairs.groupBy("x", "y").agg(F.max("led").alias("led")))
     seen = materialise(_overlaps(pairs, bodies, k))
     links = _linked(seen, percent)
     label = components(links)
 
     # Then only pairs of different components, in lists that hold any: by position, and with what the leaders' answers tell.
-    zero = {c: F.coalesce(c, F.lit(z)) for c, z in (("p1", 0), ("p2", 0), ("lead", -1), ("over", 0), ("lead_n", 0))}
-    open_ = materialise(_mixed(index, label).join(_answers(seen), "key", "left").withColumns(zero))
+    zero = {c: F.coalesce(c, F.lit(z)) for c, z in (("lead", -1), ("over", 0), ("lead_n", 0))}
+    answers = _answers(seen.join(pairs.filter("led"), ["x", "y"], "left_semi"))
+    open_ = materialise(_mixed(index, label).join(answers, "key", "left").withColumns(zero))
     parities = materialise(_parities(materialise(open_.select("key").distinct()), bodies, k))
     tried, most = None, MOST
     while True:

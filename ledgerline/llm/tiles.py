@@ -5,6 +5,8 @@ tile, and tiles are dealt over tasks by their number, whatever their group.  In
 order of one column, and a row is compared with those that follow it up to a bound on that
 column: the blocks beyond are skipped without being looked at.  Only pairs of different labels that
 pass the caller's test leave a tile, of each key no more from a task than the caller says.
+
+Groups of few rows need no tiles: ``settled`` compares them where their rows meet.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import giving_back, materialise
 from .sketches import Wide
@@ -25,6 +28,8 @@ TILE, TASK_ROWS, STEP = 4096, 50_000, 1 << 18
 BROADCAST_GROUPS = 200_000
 #: Groups up to this size are compared all at once, by the distance of their rows.
 SMALL = 64
+#: Pairs for each row that a small group may give at once.
+FEW = 4
 
 Columns = dict[str, np.ndarray]
 
@@ -89,6 +94,33 @@ def _thinned(x: np.ndarray, y: np.ndarray, mark: np.ndarray, most: int) -> tuple
     return np.concatenate([x[kept], more]), np.concatenate([y[kept], more]), np.concatenate([mark[kept], np.zeros(len(more), mark.dtype)])
 
 
+def settled(rows: DataFrame, group: str, by: str, until: Callable[[Columns], np.ndarray], test: Callable[[Columns, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The pairs of rows that pass the test, as x, y (the lesser key first), of groups with SMALL rows at most; each row is sent once.
+
+    A group with more than FEW such pairs for each row gives none of them: its rows come back as they are, with x and y null.  The arguments are those of ``compared``.
+    """
+    tasks = max(rows.count() // TASK_ROWS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = rows.columns
+    schema = StructType([*rows.schema.fields, StructField("x", LongType()), StructField("y", LongType())])
+
+    @giving_back
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(group, "ascending"), (by, "ascending")]).select(names)
+        columns = {c: table.column(c).to_numpy() for c in names}
+        key = columns["key"]
+        x, y = _matched(columns | {"tile": columns[group], "label": key, "side": np.full(len(key), 2)}, columns[by], until(columns), lambda c, a, b: test(c, a, b) > 0)
+        _, number, many = np.unique(columns[group], return_inverse=True, return_counts=True)
+        dense = np.bincount(number[x], minlength=len(many)) > FEW * many
+        sparse = ~dense[number[x]]
+        back = table.filter(pa.array(dense[number]))
+        a, b = key[x[sparse]], key[y[sparse]]
+        blank = {c: pa.nulls(len(a), table.schema.field(c).type) for c in names}
+        none = pa.nulls(len(back), pa.int64())
+        return pa.concat_tables([back.append_column("x", none).append_column("y", none), pa.table(blank | {"x": np.minimum(a, b), "y": np.maximum(a, b)})])
+
+    return rows.withColumn("task", F.pmod(F.xxhash64(group), F.lit(tasks))).groupBy("task").applyInArrow(compare, schema)
+
+
 def compared(
     rows: DataFrame, group: list[str], by: str, until: Callable[[Columns], np.ndarray], test: Callable[[Columns, np.ndarray, np.ndarray], np.ndarray], tile: int = TILE, parities: DataFrame | None = None, most: int | None = None
 ) -> DataFrame:

@@ -92,3 +92,43 @@ def test_wide_parities_never_differ_in_more_bits_than_sets_in_shingles():
     near = (wide.size[x] <= 2 * wide.size[y]) & (wide.size[y] <= 2 * wide.size[x]) & (true > 0) & (true < 400)
     assert (differ[near] >= 0.8 * true[near]).all() and (wide.size[x] != wide.size[y])[near].any()
     assert (differ % 2 == true % 2)[near].all()
+
+
+@pytest.mark.parametrize("percent, k", [(90, 3), (80, 5)])
+def test_lists_of_chance_are_settled_where_they_meet(spark, monkeypatch, percent, k):
+    """Texts of 20 of 150 phrases: nearly all shingles are in some 25 texts that are no near copies.  None of their entries goes on to the tiles, and no link between the few near copies is lost."""
+    whole, left = set_join._mixed, []
+
+    def counted(entries, label):
+        out = tiles.materialise(whole(entries, label))
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(set_join, "_mixed", counted)
+    rng = random.Random(4)
+    phrases = [[f"f{i}_{j}" for j in range(10)] for i in range(150)]
+    texts = [[w for f in rng.sample(phrases, 20) for w in f] for _ in range(180)]
+    texts += [_edited(rng, texts[i % 40], rng.choice((1, 2, 3, 4, 5, 6, 7))) for i in range(120)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got, _ = _run(spark, monkeypatch, rows, percent, k)
+    assert got == _expected(rows, percent, k)
+    assert 120 < len({c for _, _, c in got}) < 300
+    assert sum(left) == 0
+
+
+def test_small_groups_give_their_pairs_or_come_back_whole(spark):
+    """Groups of many sizes, some with few pairs that pass and some with many: each is settled or given back, and nothing is lost."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 2, 3, 9, 20, 40, tiles.SMALL, tiles.SMALL]
+    rows = [(g, 1000 * g + i, int(rng.integers(0, 30)), int(rng.integers(0, 2 if g % 2 else 400))) for g, n in enumerate(sizes) for i in range(n)]
+    frame = tiles.materialise(spark.createDataFrame(rows, "token long, key long, place int, kind int"))
+    told = tiles.settled(frame, "token", "place", lambda c: c["place"] + 8, lambda c, x, y: np.where(c["kind"][x] == c["kind"][y], 1, 0)).collect()
+    pairs, back = {}, {}
+    for g, n in enumerate(sizes):
+        mine = [r for r in rows if r[0] == g]
+        pairs[g] = {(x[1], y[1]) for x in mine for y in mine if x[1] < y[1] and x[3] == y[3] and abs(x[2] - y[2]) <= 8}
+        if len(pairs[g]) > tiles.FEW * n:
+            back[g] = mine
+    assert back and len(back) < len(sizes)
+    assert sorted((r["x"], r["y"]) for r in told if r["x"] is not None) == sorted(p for g in pairs if g not in back for p in pairs[g])
+    assert sorted((r["token"], r["key"], r["place"], r["kind"]) for r in told if r["x"] is None) == sorted(r for rs in back.values() for r in rs)
