@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .exchange import dealt, slices
 from .shared import giving_back, group_count, materialise
-from .sketches import wide_parities
+from .sketches import Wide, wide_parities
 from .tiles import BROADCAST_GROUPS, SMALL, TILE, compared, settled
 
 PERCENT, WORDS = 90, 3
@@ -217,16 +217,35 @@ def _index(bodies: DataFrame, usage: np.ndarray, percent: int, k: int) -> DataFr
 
 
 def _parities(keys: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
-    """key and wide parities of the sets that have a row in keys, a stored table."""
+    """key, size and wide parities of the sets that have a row in keys, a stored table."""
 
     @giving_back
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, SLICE):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(wide_parities(*_sets(part.column(1), k)), pa.binary())], names=["key", "parity"])
+                token, offsets = _sets(part.column(1), k)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets).astype(np.int32)), pa.array(wide_parities(token, offsets), pa.binary())], names=["key", "n", "parity"])
 
     few = F.broadcast(keys) if keys.count() <= BROADCAST_GROUPS else keys
-    return bodies.join(few, "key", "left_semi").select("key", "body").mapInArrow(made, "key long, parity binary")
+    return bodies.join(few, "key", "left_semi").select("key", "body").mapInArrow(made, "key long, n int, parity binary")
+
+
+def _unparted(pairs: DataFrame, bodies: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs (x, y; a stored table) that wide parities do not end."""
+
+    @giving_back
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, nx, ny, px, py = batch.columns
+            total = nx.to_numpy().astype(np.int64) + ny.to_numpy()
+            at = np.arange(batch.num_rows)
+            differ = Wide(px.to_pylist() + py.to_pylist()).differ(at, at + batch.num_rows)
+            yield pa.RecordBatch.from_arrays([x, y], names=["x", "y"]).filter(pa.array(differ <= total - 2 * -(-percent * total // (100 + percent))))
+
+    keys = materialise(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "key"))
+    known = materialise(_parities(keys, bodies, k))
+    both = pairs.join(known.toDF("x", "nx", "px"), "x").join(known.toDF("y", "ny", "py"), "y")
+    return both.select("x", "y", "nx", "ny", "px", "py").mapInArrow(near, "x long, y long")
 
 
 def _overlaps(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
@@ -447,6 +466,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     index = index.drop("often")
     told = materialise(settled(index.join(few, "token", "left_anti"), "token", "place", _reach(percent), _derivable(percent)))
     index = materialise(index.join(few, "token", "left_semi").union(told.filter("x IS NULL").select(index.columns)))
+    # Parities of 256 bits are full in large sets: wider ones, each set's once, before texts are sent.
+    met = _unparted(materialise(told.filter("x IS NOT NULL").select("x", "y").distinct()), bodies, percent, k)
 
     # Leaders: one pass that is linear in the entries.
     rest = ("place", "w0", "w1", "w2", "w3")
@@ -454,7 +475,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     heads = index.groupBy("token", "band").agg(F.min(by_key).alias("a"), F.max(by_key).alias("b"), F.min(by_size).alias("c"), F.max(by_size).alias("d"), F.count("*").alias("entries")).filter("entries > 1")
     pick = F.explode(F.array(*[F.struct(*[F.col(f"{h}.{c}").alias(c) for c in ("key", "n", *rest)]) for h in "abcd"]))
     led = index.alias("x").join(heads, ["token", "band"]).select("x.*", pick.alias("y")).filter("key <> y.key").filter(_possible_flat(percent))
-    pairs = led.select(F.least("key", "y.key").alias("x"), F.greatest("key", "y.key").alias("y"), F.lit(True).alias("led")).union(told.filter("x IS NOT NULL").select("x", "y", F.lit(False)))
+    pairs = led.select(F.least("key", "y.key").alias("x"), F.greatest("key", "y.key").alias("y"), F.lit(True).alias("led")).union(met.select("x", "y", F.lit(False)))
     pairs = materialise(pairs.groupBy("x", "y").agg(F.max("led").alias("led")))
     seen = materialise(_overlaps(pairs, bodies, k))
     links = _linked(seen, percent)
@@ -464,7 +485,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     zero = {c: F.coalesce(c, F.lit(z)) for c, z in (("lead", -1), ("over", 0), ("lead_n", 0))}
     answers = _answers(seen.join(pairs.filter("led"), ["x", "y"], "left_semi"))
     open_ = materialise(_mixed(index, label).join(answers, "key", "left").withColumns(zero))
-    parities = materialise(_parities(materialise(open_.select("key").distinct()), bodies, k))
+    parities = materialise(_parities(materialise(open_.select("key").distinct()), bodies, k).select("key", "parity"))
     tried, most = None, MOST
     while True:
         entries = open_.withColumn("block", F.explode(F.array("band", F.col("band") - 1))).withColumn("own", F.col("block") == F.col("band")).drop("band")
